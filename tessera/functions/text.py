@@ -72,47 +72,7 @@ def char_entropy(c: Name) -> Column:
 def control_ratio(c: Name) -> Column:
     """Share of control characters other than tab, line feed and carriage return."""
     c = col(c)
-    return matches(c, r"[\p{C}&&[^\t\n\r]]") / F.length(c)
-
-
-def line_quality(c: Name, config: QualityConfig = QualityConfig()) -> Column:
-    """struct(kind, score, reason): early drops first, then an additive score over signals, clamped to 0..1."""
-    s = strip(c)
-    n = F.length(s)
-    letters, digits, spaces = matches(s, r"\p{L}"), matches(s, r"\p{Nd}"), matches(s, r"\s")
-    symbols = n - matches(s, r"[\p{L}\p{N}]") - spaces
-    words = F.regexp_extract_all(s, F.lit(r"\p{L}[\p{L}'\-]+"), 0)
-    count = F.size(words)
-    mean = F.when(count > 0, F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / count).otherwise(0.0)
-    space = spaces / n
-    signals = [
-        (count >= 3, 0.35, "has_words"),
-        (letters / n >= 0.25, 0.20, "enough_letters"),
-        (space >= 0.08, 0.15, "has_spacing"),
-        (mean >= 3, 0.10, "reasonable_word_length"),
-        (looks_structured(s), config.structured_bonus, "structured_text"),
-        (digits / n >= config.digit_ratio, -0.25, "too_many_digits"),
-        (symbols / n >= config.symbol_ratio, -0.25, "too_many_symbols"),
-        ((space < 0.02) & (n > 60), -0.25, "dense_no_spaces"),
-        (s.rlike(r"\S{80,}"), -0.30, "long_dense_token"),
-        (s.rlike(HEX_LINE), -0.35, "hex_like"),
-        (s.rlike(BASE64_LINE) & (spaces == 0), -0.30, "base64_like"),
-        ((space < 0.05) & (char_entropy(s) >= 4.5), -0.20, "high_entropy_dense_text"),
-    ]
-    score = F.lit(0.0)
-    for test, points, _ in signals:
-        score = score + F.when(test, F.lit(points)).otherwise(0.0)
-    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6)
-    reason = F.array_join(F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, _, name in signals))), ", ")
-    verdict = lambda kind, points, why: F.struct(F.lit(kind).alias("kind"), F.lit(points).alias("score"), F.lit(why).alias("reason"))
-    return (
-        F.when(s.isNull() | (s == ""), verdict("drop", 0.0, "empty"))
-        .when(n < 2, verdict("drop", 0.0, "too_short"))
-        .when(control_ratio(s) > 0.02, verdict("drop", 0.0, "many_control_chars"))
-        .when(s.rlike(r"(\S)\1{20,}"), verdict("drop", 0.05, "repeated_char_noise"))
-        .when(s.rlike(NUMERIC_ARRAY), verdict("drop", 0.05, "numeric_array"))
-        .otherwise(F.struct(F.when(score >= config.keep_score, "keep").otherwise("drop").alias("kind"), score.alias("score"), reason.alias("reason")))
-    )
+    return matches(c, r"[\p{C}&&[^\t\n\r]]") / F.greatest(F.length(c), F.lit(1))
 
 
 def is_encoded_row(c: Name) -> Column:
@@ -127,7 +87,7 @@ def is_noisy_payload(c: Name) -> Column:
     lines = F.filter(F.transform(F.split(col(c), r"\r\n|\n|\r"), lambda x: strip(x)), lambda x: x != "")
     total = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
     encoded = F.filter(lines, is_encoded_row)
-    share = F.aggregate(encoded, F.lit(0), lambda a, x: a + F.length(x)) / total
+    share = F.aggregate(encoded, F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(total, F.lit(1))
     marked = F.exists(lines, lambda x: F.upper(x).contains("##XYDATA") | F.upper(x).contains("##PEAKTABLE"))
     return F.coalesce((F.size(lines) >= 3) & (((F.size(encoded) >= 3) & (share >= 0.45)) | (marked & (share >= 0.65))), F.lit(False))
 

@@ -103,24 +103,28 @@ def to_triples(leaves: DataFrame, base: str, context: dict[str, str]) -> DataFra
 
 
 def group_attributes(df: DataFrame, parent: str, order: str, label: str, value: str, rel: float = 1e-6, absolute: float = 1e-9) -> DataFrame:
-    """Adds ``group``: attributes of a parent join the first group whose first member has their label and an equal value.
+    """(parent, order, ``group``): attributes of a parent join the first group whose first member has their label and an equal value.
 
     The comparison is with first members only, so it depends on the order; each
-    parent's attributes are taken in ``order``.
+    parent's attributes are one row, and many parents go to Python in one batch.
     """
-    schema = df.schema.add("group", "long")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        firsts: dict[str, list[tuple[float, int]]] = {}
-        out, n = [], 0
-        for name, v in zip(pdf[label], pdf[value], strict=True):
-            known = firsts.setdefault(name, [])
-            hit = next((g for w, g in known if abs(w - v) <= max(rel * max(abs(w), abs(v)), absolute)), None)
-            if hit is None:
-                hit, n = n, n + 1
-                known.append((v, hit))
-            out.append(hit)
-        return pdf.assign(group=out)
-
-    return df.groupBy(parent).applyInPandas(run, schema)
+
+    def number(items: pd.Series) -> pd.Series:
+        out = []
+        for row in items:
+            firsts: dict[str, list[tuple[float, int]]] = {}
+            groups, n = [], 0
+            for x in row:
+                known = firsts.setdefault(x["label"], [])
+                v = x["value"]
+                hit = next((g for w, g in known if abs(w - v) <= max(rel * max(abs(w), abs(v)), absolute)), None)
+                if hit is None:
+                    hit, n = n, n + 1
+                    known.append((v, hit))
+                groups.append(hit)
+            out.append(groups)
+        return pd.Series(out, dtype=object)
+
+    rows = df.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(label).alias("label"), F.col(value).cast("double").alias("value")))).alias("items"))
+    numbered = rows.select(parent, "items", F.pandas_udf(number, "array<long>")("items").alias("groups"))
+    return numbered.select(parent, F.explode(F.arrays_zip("items", "groups")).alias("x")).select(parent, F.col("x.items.at").alias(order), F.col("x.items.label").alias(label), F.col("x.items.value").alias(value), F.col("x.groups").alias("group"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.lines import explode_lines
+from tessera.operators.lines import explode_lines, grade
 from tessera.operators.ranking import rank_files
 from tessera.plans.base import query, table
 
@@ -24,17 +24,17 @@ g AS (SELECT *, len(words) >= 3 AS a1, letters / n >= 0.25 AS a2, spaces / n >=
   list_max(list_transform(range(1, greatest(n - 19, 2)), lambda i: CASE WHEN trim(substr(s, i, 1)) <> '' AND n >= 21 AND substr(s, i, 21) = repeat(substr(s, i, 1), 21) THEN 1 ELSE 0 END)) = 1 AS rep FROM f),
 q AS (SELECT doc_id, line_no, CASE WHEN s = '' THEN 'empty' WHEN n < 2 THEN 'too_short' WHEN controls / n > 0.02 THEN 'many_control_chars' WHEN rep THEN 'repeated_char_noise'
   WHEN regexp_matches(s, '^\s*[-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?(?:[\s,;]+[-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?){{5,}}\s*$') THEN 'numeric_array' END AS early,
-  round(least(1.0, greatest(0.0, CAST(0 AS DOUBLE) + CASE WHEN a1 THEN 0.35 ELSE 0 END + CASE WHEN a2 THEN 0.2 ELSE 0 END + CASE WHEN a3 THEN 0.15 ELSE 0 END + CASE WHEN a4 THEN 0.1 ELSE 0 END + CASE WHEN a5 THEN 0.7 ELSE 0 END
-   - CASE WHEN b1 THEN 0.25 ELSE 0 END - CASE WHEN b2 THEN 0.25 ELSE 0 END - CASE WHEN b3 THEN 0.25 ELSE 0 END - CASE WHEN b4 THEN 0.3 ELSE 0 END - CASE WHEN b5 THEN 0.35 ELSE 0 END - CASE WHEN b6 THEN 0.3 ELSE 0 END - CASE WHEN b7 THEN 0.2 ELSE 0 END)), 6) AS sc,
+  least(1.0, greatest(0.0, CAST(0 AS DOUBLE) + CASE WHEN a1 THEN 0.35 ELSE 0 END + CASE WHEN a2 THEN 0.2 ELSE 0 END + CASE WHEN a3 THEN 0.15 ELSE 0 END + CASE WHEN a4 THEN 0.1 ELSE 0 END + CASE WHEN a5 THEN 0.7 ELSE 0 END
+   - CASE WHEN b1 THEN 0.25 ELSE 0 END - CASE WHEN b2 THEN 0.25 ELSE 0 END - CASE WHEN b3 THEN 0.25 ELSE 0 END - CASE WHEN b4 THEN 0.3 ELSE 0 END - CASE WHEN b5 THEN 0.35 ELSE 0 END - CASE WHEN b6 THEN 0.3 ELSE 0 END - CASE WHEN b7 THEN 0.2 ELSE 0 END)) AS sc,
   concat_ws(', ', CASE WHEN a1 THEN 'has_words' END, CASE WHEN a2 THEN 'enough_letters' END, CASE WHEN a3 THEN 'has_spacing' END, CASE WHEN a4 THEN 'reasonable_word_length' END, CASE WHEN a5 THEN 'structured_text' END, CASE WHEN b1 THEN 'too_many_digits' END,
    CASE WHEN b2 THEN 'too_many_symbols' END, CASE WHEN b3 THEN 'dense_no_spaces' END, CASE WHEN b4 THEN 'long_dense_token' END, CASE WHEN b5 THEN 'hex_like' END, CASE WHEN b6 THEN 'base64_like' END, CASE WHEN b7 THEN 'high_entropy_dense_text' END) AS rs FROM g),
-gate AS (SELECT doc_id, line_no, CASE WHEN early IS NULL AND sc >= 0.3 THEN 'keep' ELSE 'drop' END AS kind, CAST(CASE WHEN early IN ('repeated_char_noise', 'numeric_array') THEN 0.05 WHEN early IS NOT NULL THEN 0.0 ELSE sc END AS DOUBLE) AS score, coalesce(early, rs) AS reason FROM q)"""
+gate AS (SELECT doc_id, line_no, CASE WHEN early IS NULL AND sc >= 0.3 THEN 'keep' ELSE 'drop' END AS kind, CAST(CASE WHEN early IN ('repeated_char_noise', 'numeric_array') THEN 0.05 WHEN early IS NOT NULL THEN 0.0 ELSE round(sc, 6) END AS DOUBLE) AS score, coalesce(early, rs) AS reason FROM q)"""
 
 
 @query(f"WITH {_QUALITY} SELECT * FROM gate")
 def line_quality_gate(spark, sf):
     lines = explode_lines(table(spark, sf, "documents"))
-    return lines.select("doc_id", "line_no", T.line_quality("line").alias("q")).select("doc_id", "line_no", "q.kind", "q.score", "q.reason")
+    return grade(lines).select("doc_id", "line_no", "quality.kind", "quality.score", "quality.reason")
 
 
 @query(f"WITH {_QUALITY} SELECT kind, reason, count(*) AS n FROM gate GROUP BY ALL")
@@ -89,12 +89,12 @@ def numbers_from_text(spark, sf):
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), m AS (SELECT doc_id, regexp_extract(s, '^[ \t]*([A-Za-z0-9_#.$-]{2,80})[ \t]*[:=][ \t]*(\S[^\r\n]*)$', ['key', 'value']) AS kv FROM l)
-    SELECT doc_id, kv.key AS key, kv.value AS value, count(*) AS n FROM m WHERE kv.key <> '' GROUP BY ALL"""
+    """SELECT o_orderkey AS id, unnest(['status', 'price', 'priority']) AS key, unnest([o_orderstatus, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' EUR', o_orderpriority]) AS value FROM orders"""
 )
 def kv_extract(spark, sf):
-    pairs = table(spark, sf, "documents").select("doc_id", F.explode(T.key_values("text")).alias("kv"))
-    return pairs.groupBy("doc_id", F.col("kv.key").alias("key"), F.col("kv.value").alias("value")).agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders")
+    lines = F.concat(F.lit("# order\nstatus = "), F.col("o_orderstatus"), F.lit("\n  price: "), F.floor("o_totalprice").cast("long").cast("string"), F.lit(" EUR\n=\npriority:"), F.col("o_orderpriority"))
+    return o.select(F.col("o_orderkey").alias("id"), F.explode(T.key_values(lines)).alias("kv")).select("id", "kv.key", "kv.value")
 
 
 @query(
