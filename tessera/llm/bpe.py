@@ -26,7 +26,7 @@ from tessera.llm.common import map_rows
 _SPLIT = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = "\x1c\x1d\x1e\x1f"
 #: entries kept of chunks, of words inside them, and of token pairs; a full cache starts anew
-CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS = 400_000, 600_000, 1_000_000
+CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS = 200_000, 300_000, 400_000
 
 
 @lru_cache(maxsize=1)
