@@ -29,7 +29,7 @@ from tessera.llm.common import bounded_sample, held_out_remainder, map_rows
 SAMPLE = {1: 1500, 0: 3000}
 SEED, MODULUS, HELD_OUT = 2, 5, 0
 FEATURES = 1 << 21
-ROUNDS, RATE, DECAY = 16, 0.5, 1e-5
+ROUNDS, RATE, DECAY = 16, 1.5, 1e-5
 #: a word is labelled toxic from this log-likelihood ratio on, if so many of its documents are toxic
 EVIDENCE, PURITY = 8.0, 0.9
 #: marginals up to this don't add to a document's score
