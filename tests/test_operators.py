@@ -252,3 +252,38 @@ def test_every_oracle_belongs_to_a_query():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert json.dumps(sorted(__spark_entry__.queries()))
+
+
+def test_overview_rules(spark):
+    from tessera.operators import overview as O
+
+    rows = [(1, "Acquisition settings"), (2, "no calibration given; parameter values"), (3, ""), (4, "raw data")]
+    got: dict = {}
+    for r in O.assign_groups(spark.createDataFrame(rows, "id long, s string"), "id", "s").collect():
+        got.setdefault(r.id, set()).add(r.group)
+    assert got == {1: {"acquisition_settings", "instrument_settings"}, 2: {"parameter_settings"}, 4: {"raw_data"}}
+    types = spark.createDataFrame([("qudt__Unit",), ("qudt__Thing",), ("ex__Thing",), ("swrl__x",)], "t string")
+    assert [r[0] for r in types.select(O.indexable_type(F.col("t"))).collect()] == [True, False, True, False]
+    e = [("1", "a", "uses", "b", ["in the log"]), ("2", "a", "uses", "b", ["in the log"]), ("3", "a", "uses", "z", ["x y z"]), ("4", "a", "uses", "a", ["x y z"]), ("5", "a", "contains", "b", ["x y z"]), ("6", "b", "uses", "a", ["n/a"]), ("7", "b", "seeded", "a", ["x y z"])]
+    edges = spark.createDataFrame(e, "edge_id string, source string, relation string, target string, evidence array<string>")
+    seeds = spark.createDataFrame([("b", "seeded", "a")], "source string, relation string, target string")
+    why = {r.edge_id: r.drop_reason for r in O.sanitise_edges(edges, spark.createDataFrame([("a",), ("b",)], "node_id string"), seeds).collect()}
+    assert why == {"1": None, "2": "repeated", "3": "dangling", "4": "self_loop", "5": "containment", "6": "weak_evidence", "7": "repeated"}
+    role = spark.createDataFrame([("/was_generated_by/0", "x"), ("/x/carried_out_by/1", "Bruker GmbH"), ("/x/had_input_entity/0", "JCAMP file")], "p string, w string")
+    assert [r[0] for r in role.select(O.parent_role(F.col("p"), F.col("w"), F.lit("C"))).collect()] == ["activity", "manufacturer", "parameter_file"]
+
+
+def test_ledgers(spark):
+    from tessera.operators import ledgers as L
+
+    df = spark.createDataFrame([(1, "shift", "from 0 to 10 ppm"), (2, "n", "5")], "id long, title string, value string")
+    assert sorted(tuple(r) for r in L.decompose_ranges(df, "title", "value").collect()) == [(1, "shift maximum", "10.0"), (1, "shift minimum", "0.0"), (2, "n", "5")]
+    leaves = spark.createDataFrame([(1, "/a/0/title", "string", '"Outer"'), (1, "/a/0/b/x", "number", "1"), (1, "/a/0/b/label", "string", '"Inner"')], "id long, pointer string, type string, value string")
+    got = {r.pointer: r.context for r in L.ancestor_labels(leaves).collect()}
+    assert got["/a/0/b/x"] == "Outer > Inner" and got["/a/0/title"] == "Outer"
+    old = spark.createDataFrame([("q", ["a", "b"], ["a"])], "query_id string, result_ids array<string>, selected_ids array<string>")
+    new = spark.createDataFrame([("q", ["a", "c"], ["c"])], old.schema)
+    assert L.query_ledger(old, new).first().rejected_ids == ["a"]
+    b = spark.createDataFrame([(1, "sample solvent"), (2, "solvent sample temperature")], "branch_id long, text string")
+    q = spark.createDataFrame([("q", "the sample temperature and solvent")], "query_id string, text string")
+    assert [(r.branch_id, r.score) for r in L.score_branches(b, q).orderBy("position").collect()] == [(2, 3), (1, 2)]
