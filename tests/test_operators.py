@@ -257,7 +257,7 @@ def test_every_oracle_belongs_to_a_query():
 def test_overview_rules(spark):
     from tessera.operators import overview as O
 
-    rows = [(1, "Acquisition settings"), (2, "no calibration given; parameter values"), (3, ""), (4, "raw data")]
+    rows = [(1, "Acquisition settings"), (2, "no calibration was ever given for this run; further down stand parameter values"), (3, ""), (4, "raw data")]
     got: dict = {}
     for r in O.assign_groups(spark.createDataFrame(rows, "id long, s string"), "id", "s").collect():
         got.setdefault(r.id, set()).add(r.group)
