@@ -179,3 +179,49 @@ def sample_windows(df: DataFrame, id_col: str, text_col: str, budget: int) -> Da
     whole = F.array(F.struct(F.lit("whole").alias("part"), text.alias("content")))
     three = F.array(window("beginning", F.lit(1), half), window("middle", F.floor(n / 2).cast("int") - quarter // 2 + 1, quarter), window("end", n - quarter + 1, quarter))
     return df.select(id_col, F.explode(F.when(n <= chars, whole).otherwise(three)).alias("w")).select(id_col, "w.part", "w.content")
+
+
+def hashed_embedding(c: Column | str, dimensions: int = 64) -> Column:
+    """A deterministic stand-in for an embedding model: counts of words by hash."""
+    words = F.transform(T.search_words(c), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
+    counts = F.aggregate(words, F.array_repeat(F.lit(0), dimensions), lambda a, w: F.transform(a, lambda v, i: v + (i == w).cast("int")))
+    return F.transform(counts, lambda v: v.cast("float"))
+
+
+def semantic_chunks(lines: DataFrame, percentile: float = 95, buffer: int = 1, min_lines: int = 100, embed=hashed_embedding, id_col: str = "doc_id") -> DataFrame:
+    """(id, chunk_no, start, end): documents cut where windows of neighbouring lines are least alike.
+
+    The break line ends one chunk and begins the next, and the last break never
+    cuts. Documents under ``min_lines`` lines are one chunk and aren't embedded.
+    """
+    sized = lines.withColumn("__lines", F.count("*").over(Window.partitionBy(id_col)))
+    short = sized.filter(F.col("__lines") < min_lines).groupBy(id_col).agg(F.min("line_no").alias("start"), F.max("line_no").alias("end")).select(id_col, F.lit(0).cast("long").alias("chunk_no"), "start", "end")
+    windows = buffer_windows(sized.filter(F.col("__lines") >= min_lines), buffer, id_col).withColumn("__v", embed("window_text"))
+    marked = percentile_breaks(adjacent_distances(windows, "line_no", "__v", [id_col]), "line_no", percentile, [id_col])
+    spans = marked.groupBy(id_col).agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.array_sort(F.collect_list(F.when(F.col("is_break"), F.col("line_no")))).alias("b"))
+    n = F.greatest(F.size("b"), F.lit(1))
+    cut = spans.select(id_col, "first", "last", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"), n.alias("n"))
+    start = F.when(F.col("k") == 0, F.col("first")).otherwise(F.get("b", F.col("k") - 1))
+    end = F.when(F.col("k") == F.col("n") - 1, F.col("last")).otherwise(F.get("b", F.col("k")))
+    return short.unionByName(cut.select(id_col, F.col("k").cast("long").alias("chunk_no"), start.alias("start"), end.alias("end")))
+
+
+def cap_chunks(chunks: DataFrame, lines: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:
+    """Chunks over ``budget`` tokens packed anew, each within its own span; others as they are."""
+    c = chunks.select(id_col, "chunk_no", F.col("start").alias("__s"), F.col("end").alias("__e"))
+    inside = lines.join(c, id_col).filter((F.col("line_no") >= F.col("__s")) & (F.col("line_no") <= F.col("__e")))
+    packed = pack(inside.withColumnRenamed("chunk_no", "__source"), budget, id_col, within=["__source"])
+    w = Window.partitionBy(id_col).orderBy("__source", "__part")
+    return packed.withColumnRenamed("chunk_no", "__part").withColumn("chunk_no", (F.row_number().over(w) - 1).cast("long")).drop("__source", "__part")
+
+
+def chunk_documents(docs: DataFrame, strategy: str = "fixed", budget: int = 1024, least: int = 64, gap: int = 32, id_col: str = "doc_id", text_col: str = "text", protected: DataFrame | None = None, **semantic) -> DataFrame:
+    """Texts to chunks: lines, quality filter (``protected`` lines stay), ``fixed`` or ``semantic`` chunks, token cap, gap split and small-chunk merge."""
+    from tessera.operators.lines import explode_lines, protect, quality_filter
+
+    if strategy not in ("fixed", "semantic"):
+        raise ValueError("strategy is fixed or semantic")
+    lines = explode_lines(docs, id_col, text_col)
+    lines = quality_filter(lines) if protected is None else quality_filter(protect(lines, protected, id_col), protected=F.col("is_protected")).drop("is_protected")
+    chunks = pack(lines, budget, id_col) if strategy == "fixed" else cap_chunks(semantic_chunks(lines, id_col=id_col, **semantic), lines, budget, id_col)
+    return post_process(chunks.select(id_col, "chunk_no", "start", "end"), lines, least, budget, gap, id_col)

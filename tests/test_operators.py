@@ -287,3 +287,12 @@ def test_ledgers(spark):
     b = spark.createDataFrame([(1, "sample solvent"), (2, "solvent sample temperature")], "branch_id long, text string")
     q = spark.createDataFrame([("q", "the sample temperature and solvent")], "query_id string, text string")
     assert [(r.branch_id, r.score) for r in L.score_branches(b, q).orderBy("position").collect()] == [(2, 3), (1, 2)]
+
+
+def test_chunk_documents(spark):
+    text = "\n".join(f"the {w} line number {k} speaks of {w}" for k, w in enumerate(["cats"] * 6 + ["ships"] * 6 + ["stones"] * 6))
+    docs = spark.createDataFrame([("d", text + "\n" + "-" * 40), ("e", "one short line of text"), ("f", None)], "doc_id string, text string")
+    for strategy, more in (("fixed", {}), ("semantic", {"min_lines": 5, "percentile": 90})):
+        got = C.chunk_documents(docs, strategy, budget=60, least=5, **more).orderBy("doc_id", "chunk_no").collect()
+        assert {r.doc_id for r in got} == {"d", "e"} and all(r.tokens <= 60 for r in got) and max(r.end for r in got) == 17
+    assert C.chunk_documents(docs, protected=spark.createDataFrame([("d", 18)], "doc_id string, line_no long")).agg(F.max("end")).first()[0] == 18
