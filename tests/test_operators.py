@@ -296,3 +296,16 @@ def test_chunk_documents(spark):
         got = C.chunk_documents(docs, strategy, budget=60, least=5, **more).orderBy("doc_id", "chunk_no").collect()
         assert {r.doc_id for r in got} == {"d", "e"} and all(r.tokens <= 60 for r in got) and max(r.end for r in got) == 17
     assert C.chunk_documents(docs, protected=spark.createDataFrame([("d", 18)], "doc_id string, line_no long")).agg(F.max("end")).first()[0] == 18
+
+
+def test_placement(spark):
+    from tessera.operators import placement as P
+
+    parents = spark.createDataFrame([("d", "/p0", "software", "TopSpin", "TopSpin software"), ("d", "/p1", "manufacturer", "Bruker", "Bruker GmbH"), ("e", "/p2", "solvent", "CDCl3", "solvent")], "doc string, parent string, role string, title string, words string")
+    evidence = spark.createDataFrame([("d", "c1", "software_signal", "TopSpin version 3.5"), ("d", "c2", "other", "made by Bruker"), ("d", "c3", "other", "Bruker frequency"), ("e", "c4", "other", "the weather")], "doc string, candidate_id string, category string, text string")
+    assert {(r.parent, r.candidate_id): r.score for r in P.score_parents(parents, evidence).collect()} == {("/p0", "c1"): 12, ("/p1", "c2"): 7}
+    notes = spark.createDataFrame([(k, f"temp_{k}", "other", "f", "title of it") for k in range(8)] + [(9, "7", "measurement_signal", "f", "x")], "o long, note_id string, category string, file_path string, text string")
+    groups = P.projection_groups(notes, "o").collect()
+    assert sorted(len(g.note_ids) for g in groups) == [2, 6] and all(g.path == "/title" and g.group_id.startswith("group:title:") for g in groups)
+    b = spark.createDataFrame([(["device"], "carried_out_by", "AgenticEntity", 1, True, 2), (["parameter_setting"], "title", "x", 1, False, 0)], "h array<string>, s string, r string, d int, ok boolean, n int")
+    assert [r[0] for r in b.select(P.branch_points(*(F.col(c) for c in ("h", "s", "r", "d", "ok", "n")))).collect()] == [64, -70]
