@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Sequence
@@ -35,7 +36,7 @@ EVIDENCE, PURITY = 8.0, 0.9
 #: marginals up to this don't add to a document's score
 NEGLIGIBLE = 0.5
 _WORD = re.compile(r"[^\W_]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def fold(text: str) -> str:
@@ -143,26 +144,28 @@ class ChainModel:
     def __post_init__(self):
         self.known: dict[str, float] = {}
 
-    def emission(self, words: Sequence[str]) -> list[float]:
+    def emission(self, words: Sequence[str]) -> np.ndarray:
+        """Odds of tag 1 of each token by itself."""
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        out = []
-        for w in words:
+        out = np.empty(len(words), np.float32)
+        for i, w in enumerate(words):
             e = known.get(w)
             if e is None:
                 e = known[w] = math.exp(min(30.0, max(-30.0, float(self.weights[features(w)].sum()))))
-            out.append(e)
+            out[i] = e
         return out
 
-    def marginals(self, docs: Sequence[Sequence[str]]) -> list[np.ndarray]:
-        """Marginals of each document's tokens; documents of like length are run together."""
-        out: list[np.ndarray] = [np.empty(0)] * len(docs)
-        order = sorted((i for i, d in enumerate(docs) if d), key=lambda i: len(docs[i]))
-        for part, lengths in _alike(order, [len(d) for d in docs]):
+    def marginals(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Marginals of each text's tokens; texts of like length are run together."""
+        own = [self.emission(tokens(t)) for t in texts]
+        out: list[np.ndarray] = [np.empty(0)] * len(own)
+        order = sorted((i for i, d in enumerate(own) if len(d)), key=lambda i: len(own[i]))
+        for part, lengths in _alike(order, [len(d) for d in own]):
             odds = np.ones((lengths[-1], len(part)))
             for k, i in enumerate(part):
-                odds[: lengths[k], k] = self.emission(docs[i])
+                odds[: lengths[k], k] = own[i]
             p = forward_backward(odds, lengths, self.trans)
             for k, i in enumerate(part):
                 out[i] = p[: lengths[k], k].copy()
@@ -174,23 +177,23 @@ class ChainModel:
 
 
 def _alike(order: Sequence[int], sizes: Sequence[int], most: int = 256):
-    """Runs of ``order`` (by size) of at most ``most`` documents and 8 million cells, with their sizes."""
+    """Runs of ``order`` (by size) of at most ``most`` documents and 2 million cells, with their sizes."""
     at = 0
     while at < len(order):
         end = min(len(order), at + most)
-        while end > at + 1 and sizes[order[end - 1]] * (end - at) > 1 << 23:
+        while end > at + 1 and sizes[order[end - 1]] * (end - at) > 1 << 21:
             end = (at + end) // 2
         yield order[at:end], np.array([sizes[i] for i in order[at:end]])
         at = end
 
 
-def fit(docs: Sequence[tuple[list[str], int]]) -> ChainModel:
+def fit(labelled: Sequence[tuple[str | None, int]]) -> ChainModel:
     """Fit the chain to the tokens of labelled documents by AdaGrad on the exact gradient, then calibrate the scores.
 
     Without toxic and other documents to learn from, nothing is toxic.
     """
     model = ChainModel(np.zeros(FEATURES), np.ones((2, 2)))
-    docs = [d for d in docs if d[0]]
+    docs = [d for d in ((list(map(sys.intern, tokens(t))), label) for t, label in labelled) if d[0]]  # equal words are one object
     bad = toxic_words(docs)
     if not bad:
         return model
@@ -225,8 +228,8 @@ def fit(docs: Sequence[tuple[list[str], int]]) -> ChainModel:
         square_t += grad_t * grad_t
         log_trans = np.clip(log_trans + RATE / 2 * grad_t / np.sqrt(square_t), -3, 3)
     model.weights, model.trans = weights.astype(np.float32), np.exp(log_trans)
-    x = np.array([mass(p) for p in model.marginals([words for words, _ in docs])])
-    model.slope, model.shift = _logistic(x, np.array([float(label) for _, label in docs]))
+    x = np.array([mass(p) for p in model.marginals([t for t, _ in labelled])])
+    model.slope, model.shift = _logistic(x, np.array([float(label) for _, label in labelled]))
     return model
 
 
@@ -253,7 +256,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         return fit([])
     chosen = spark.createDataFrame(rows, f"__pick {dict(labels.dtypes)[id_col]}, __label int")
     got = df.select(F.col(id_col).alias("__pick"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__pick").select("__pick", "__text", "__label").collect()
-    return fit([(tokens(t), k) for _, t, k in sorted(got, key=lambda r: (r[0], r[1] or ""))])
+    return fit([(t, k) for _, t, k in sorted(got, key=lambda r: (r[0], r[1] or ""))])
 
 
 def spans(text: str, marginals: np.ndarray, least: float = 0.5) -> list[dict]:
@@ -265,7 +268,7 @@ OUT = "held_out boolean, score double, predicted int, spans array<struct<start:i
 
 
 def _rows(model: ChainModel, ids, held, texts):
-    for i, h, t, p in zip(ids, held, texts, model.marginals([tokens(t) for t in texts]), strict=True):
+    for i, h, t, p in zip(ids, held, texts, model.marginals(texts), strict=True):
         score = model.score(p)
         yield i, h, score, int(score >= 0.5), spans(t or "", p) if score >= 0.5 else []
 
@@ -296,7 +299,7 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                found = shared.value.marginals([tokens(t) for t in part.column(at).to_pylist()])
+                found = shared.value.marginals(part.column(at).to_pylist())
                 yield part.filter(pa.array([shared.value.score(p) < 0.5 for p in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
