@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import near
 from tessera.llm.common import bounded_sample, held_out_remainder, map_rows
 
 #: labelled documents that are learnt from, at most, by label
@@ -55,22 +56,9 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names]
 
 
-def families(docs: Sequence[tuple[list[str], int]], hashes: int = 6) -> list[int]:
-    """A number for each document that near copies among ``docs`` share, by min-hashes of word pairs: copies are no further evidence."""
-    head = list(range(len(docs)))
-
-    def find(i: int) -> int:
-        while head[i] != i:
-            head[i] = i = head[head[i]]
-        return i
-
-    first: dict[tuple[int, int], int] = {}
-    odd = np.array([zlib.crc32(b"m%d" % k) | 1 for k in range(hashes)], np.uint32)
-    for i, (words, _) in enumerate(docs):
-        pairs = np.array([zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(words, words[1:] or words, strict=False)], np.uint32)
-        for key in enumerate((pairs[:, None] * odd).min(0).tolist()):
-            head[find(i)] = find(first.setdefault(key, i))
-    return [find(i) for i in range(len(docs))]
+def families(docs: Sequence[tuple[list[str], int]]) -> list[int]:
+    """A number for each document that near copies among ``docs`` share (all pairs of like shingles, compared exactly): copies are no further evidence."""
+    return near.families([[w.encode("utf-8", "replace") for w in words] for words, _ in docs])
 
 
 def toxic_words(docs: Sequence[tuple[list[str], int]]) -> set[str]:

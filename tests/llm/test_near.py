@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tessera.llm import near
+from tessera.llm import near, toxicity
 
 TEXT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -43,3 +43,12 @@ def test_stage_keeps_one_of_all_near_copies(spark):
     assert 20 < len(set(want)) < len(texts) - 10
     assert {r.doc_id: r.component_id for r in near.near_copies(docs).collect()} == dict(enumerate(want))
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == sorted(set(want))
+
+
+def test_unrelated_texts_are_no_family():
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(60)]
+    docs = [([r.choice(words) for _ in range(200)], i % 2) for i in range(200)]
+    docs.append((docs[0][0][:-2] + ["changed", "end"], 0))
+    found = toxicity.families(docs)
+    assert len(set(found)) == 200 and found[0] == found[200]
