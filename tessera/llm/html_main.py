@@ -25,6 +25,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select option xmp noembed noframes".split())
 #: elements that are never part of the article
 CHROME = frozenset("nav footer aside form button dialog menu fieldset label head".split())
+#: elements that leave an open head open; all others, and text, end it
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
@@ -44,13 +46,13 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "wanted", "skip", "score", "chars", "linked", "order")
+    __slots__ = ("tag", "parent", "kids", "wanted", "skip", "score", "chars", "linked", "order", "doubt")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.kids = tag, parent, []
         self.score = 0.0
         self.chars = self.linked = 0
-        self.wanted, self.skip = 0, tag in CHROME
+        self.wanted, self.skip, self.doubt = 0, tag in CHROME, False
         if attributes:
             for kind, a, b, c, bare in _NAMES.findall(attributes):
                 value = a or b or c
@@ -60,7 +62,7 @@ class Node:
                 elif kind in ("class", "id", "role"):
                     names = {x.lower() for x in _PARTS.findall(value)}
                     if names & UNWANTED and tag not in ("body", "html", "article", "main"):
-                        self.skip = True
+                        self.doubt = True
                     self.wanted += bool(names & WANTED)
 
 
@@ -70,7 +72,10 @@ def parse(page: str) -> Node:
     at, n = 0, len(page)
 
     def text(raw: str) -> None:
+        nonlocal top
         if raw:
+            if top.tag == "head" and not raw.isspace():
+                top = top.parent
             top.kids.append(entities.unescape(raw) if "&" in raw else raw)
 
     while at < n:
@@ -96,6 +101,8 @@ def parse(page: str) -> Node:
             if node is not None and node.parent is not None:
                 top = node.parent
             continue
+        if top.tag == "head" and name not in HEAD:
+            top = top.parent
         if name in ("html", "body"):
             node = top if name == "body" else None
             if node is not None and attributes:
@@ -153,6 +160,16 @@ def _inside(node: Node, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def _cut_unwanted(root: Node) -> None:
+    """Skip what an unwanted name marks, unless it also has wanted names or three quarters of the text: that only scores less."""
+    nodes, size = _walk(root), {}
+    for node in reversed(nodes):
+        size[node] = sum(len(k) if isinstance(k, str) else size.get(k, 0) for k in node.kids)
+    for node in nodes:
+        if node.doubt and not node.wanted and 4 * size[node] < 3 * size[root]:
+            node.skip = True
+
+
 def _text(root: Node) -> str:
     out, todo = [], [root]
     while todo:
@@ -170,6 +187,7 @@ def _text(root: Node) -> str:
 def main_text(page: str | None) -> str:
     """The main text; blocks and runs of white space give one space. Empty if the page has none."""
     root = parse(page or "")
+    _cut_unwanted(root)
     nodes = _walk(root)
     for k, node in enumerate(nodes):
         node.order = k
@@ -195,12 +213,15 @@ def main_text(page: str | None) -> str:
             up.score += points * share
             up, share = up.parent, share / 2
     for node in nodes:
-        node.score = (node.score + 3 * node.wanted + 8 * (node.tag in ("article", "main"))) * (1 - (node.linked / node.chars if node.chars else 0.0))
+        node.score = (node.score + 3 * node.wanted + 8 * (node.tag in ("article", "main"))) * (1 - (node.linked / node.chars if node.chars else 0.0)) / (1 + node.doubt)
         if node.chars and node.tag not in PARAGRAPHS and node.tag in BLOCKS:
             seen.append(node)
     best = max(seen or [root], key=lambda x: (x.score, -x.order) if x is not root else (x.score, -1))
     if best.parent is None or best is root:
         return _text(root)
+    for node in nodes:  # beside or inside the best container, a doubtful part of less than half its text is none of the article
+        if node.doubt and node is not best and 2 * node.chars < best.chars:
+            node.skip = True
     keep = []
     for k in best.parent.kids:
         if k is best:
