@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,6 +20,9 @@ ASCII_LOWER_STR = str.maketrans(UPPER, LOWER)
 #: a word: anything but space, tab, line feed, vertical tab, form feed, carriage return
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: texts of a block of rows have at most so many bytes together
+BLOCK_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,10 +34,12 @@ def ascii_lower(c: Column | str) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder that the cluster names; make one only where none is set (tests, one machine)."""
+    """Keep the shared folder that the cluster names; make one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -42,6 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def blocks(batch: pa.RecordBatch, rows: int, most_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts have at most ``most_bytes`` bytes together; a longer text is a slice by itself."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_rows(
     df: DataFrame,
     columns: Sequence[str],
@@ -53,15 +74,15 @@ def map_rows(
     """Run ``rows(state, *columns)`` over blocks of plain Python lists and return its tuples as ``schema``.
 
     Only ``columns`` are read. ``start`` builds the state once a task (tables,
-    models, caches). A block bounds what is held as Python objects at once.
+    models, caches). A block bounds, by rows and bytes, what is held as Python
+    objects at once.
     """
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else None
         for batch in batches:
-            for i in range(0, batch.num_rows, block):
-                part = batch.slice(i, block)
+            for part in blocks(batch, block):
                 made = list(rows(state, *(part.column(k).to_pylist() for k in range(len(columns)))))
                 if made:
                     yield pa.RecordBatch.from_arrays(
@@ -83,11 +104,33 @@ def held_out_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
-def bounded_sample(df: DataFrame, id_col: str, per_group: int, groups: Sequence[Column], seed: int) -> list[list]:
-    """For each condition in ``groups``: the ids of at most ``per_group`` rows, those with the smallest seeded hash.
+def text_order(text: Column | str, seed: int) -> Column:
+    """A seeded hash that orders texts; copies of a text share it."""
+    return F.xxhash64(F.lit(seed), text)
+
+
+def bounded_sample(candidates: DataFrame, texts: DataFrame, per_group: dict | int, most_bytes: int, seed: int) -> list[tuple]:
+    """(group, text) of a bounded sample: for each group the distinct texts of least seeded hash.
 
-    Only ids are sorted, as a top-k with partial results in each task, so at most
-    ``per_group`` ids a group ever reach the driver.
+    ``candidates`` has ``__group``, ``__order`` (see ``text_order``) and ``__bytes``; ``texts`` has ``__text``.
+    A group has at most ``per_group`` whole texts (a number, or one by group), without
+    those that would take it over ``most_bytes``. Copies are combined
+    before they are ranked, and every task passes on at most a group's bound, so
+    a hot group or text costs no more than another. Two scans, however many groups there are.
     """
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
-    return [[r[0] for r in df.filter(g).select(id_col).orderBy(order, id_col).limit(per_group).collect()] for g in groups]
+    most = max(per_group.values()) if isinstance(per_group, dict) else per_group
+    own = candidates.groupBy("__group", "__order").agg(F.max("__bytes").alias("__bytes"))
+    ranked = own.withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy("__order"))).filter(F.col("__rank") <= most)
+    chosen, sums = [], {}
+    for group, order, size, rank in sorted(ranked.select("__group", "__order", "__bytes", "__rank").collect(), key=lambda r: (str(r[0]), r[3])):
+        after = sums.get(group, 0) + (size or 0)
+        if rank <= (per_group[group] if isinstance(per_group, dict) else per_group) and after <= most_bytes:
+            chosen.append((group, order))
+            sums[group] = after
+    if not chosen:
+        return []
+    spark = texts.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(o,) for o in sorted({o for _, o in chosen})], "__order bigint"))
+    found = texts.withColumn("__order", text_order("__text", seed)).join(wanted, "__order", "left_semi").groupBy("__order").agg(F.first("__text"))
+    by_order = dict(found.collect())
+    return [(group, by_order[order]) for group, order in chosen]

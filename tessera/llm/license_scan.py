@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import LOWER, UPPER, map_rows
+from tessera.llm.license_texts import STATEMENTS, TEXTS
 
 #: bytes of a word: digits, letters (A-Z become a-z) and everything beyond ASCII; the rest becomes a space
 WORDS = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -23,18 +24,8 @@ WORDS = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if b > 0
 #: phrases whose places are counted, and their labels
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: labels and templates of the license statements looked for
-TEMPLATES = (
-    ("mit", "<<var;words=1-1;match=released|licensed|distributed|available>> under <<beginOptional>>the <<beginOptional>>terms of the <<endOptional>><<endOptional>>MIT License"),
-    ("apache-2.0", "licensed under <<beginOptional>>the terms of <<endOptional>>the Apache License<<beginOptional>> version<<endOptional>> 2.0"),
-    ("gpl-3.0", "licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either <<endOptional>>version 3"),
-    ("gpl-2.0", "licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either <<endOptional>>version 2"),
-    ("cc-by-nc-4.0", "licensed under <<beginOptional>>a Creative Commons <<endOptional>>CC BY-NC<<beginOptional>> version<<endOptional>> 4.0"),
-    ("cc-by-4.0", "licensed under <<beginOptional>>a Creative Commons <<endOptional>>CC BY<<beginOptional>> version<<endOptional>> 4.0"),
-    ("bsd", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the Software <<endOptional>>to deal in the Software without restriction"),
-    ("all-rights-reserved", "<<beginOptional>>copyright <<var;words=0-8>> <<endOptional>>all rights reserved"),
-)
+#: labels and templates of the license texts, notices and statements looked for
+TEMPLATES = TEXTS + STATEMENTS
 _MARK = re.compile(r"<<(.*?)>>", re.S)
 
 
@@ -147,9 +138,10 @@ class Scanner:
         places: list[tuple[int, str]] = []
         line = b" " + b" ".join(words) + b" "
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, place, counted = line.find(phrase), 0, 0
             while at >= 0:
-                places.append((line.count(b" ", 0, at), label))
+                place, counted = place + line.count(b" ", counted, at), at
+                places.append((place, label))
                 at = line.find(phrase, at + 1)
         found: list[tuple[int, int, str]] = []
         for w in self.by_start.keys() & set(words):
@@ -170,8 +162,11 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``labels`` holds the phrases' labels and those of matched templates; ``score`` is 1
     where a template matched, 0.5 where only phrases stand, else 0. Null texts
-    count as empty and have no words, no labels (empty strings) and score 0;
-    repeated rows are returned as often as they occur; no other column is read.
+    count as empty and have no words, no labels (empty strings) and score 0.
+    Where several templates match at one place all count. Very long texts are
+    scanned whole, in time in proportion to their length. Repeated rows are
+    returned as often as they occur; no other column is read; an empty table
+    gives an empty result.
     """
     phrases, templates = tuple(phrases), tuple(templates)
 

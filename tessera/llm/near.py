@@ -5,9 +5,11 @@ any common order (prefix filter), so only sets with such an element in common
 are compared, and each comparison is exact. Frequent shingles come last in the
 order, so they seldom block; which ones count as frequent changes the effort
 only, never the result. Bits of parity, which differ in no more places than the
-sets do, sift the pairs before whole sets are fetched. Of the sets under one element all are first compared
-with a single one of them, and then only those that are in no common component
-yet, so a large group of near copies isn't paired with itself.
+sets do, sift the pairs before whole sets are fetched. Of the sets under one element all are
+compared with a few of them, the pivots, which are then done; what is in one component
+by then needs no more comparison, and the others go on to the next round with
+twice as many pivots. So no round pairs a group with itself, and a large group
+of near copies, whose components soon meet, is not paired with itself at all.
 """
 
 from __future__ import annotations
@@ -107,17 +109,19 @@ def _frequent(df: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, n
     return h[order], n[order]
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """id, ``node`` (a hash of the shingle set) and ``component_id`` (the smallest id reachable over links) of every row.
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, carry: str | None = None) -> DataFrame:
+    """id, ``node`` (a hash of the shingle set), ``component`` (the least node reachable over links) and ``component_id`` (the smallest id of the component) of every row; also the bigint column ``carry``, if named.
 
     Linked are all pairs of rows whose shingle sets have a Jaccard similarity of
     ``least`` or more. Words are split at ASCII white space after lower-casing
     A-Z. Rows with equal sets, however many, are one node; null texts count as
     empty, empty ones equal each other. Null ids take part but never name a
     component unless all of it is null; repeated rows are returned as often as
-    they occur; an empty table gives an empty result.
+    they occur; very long texts are compared by all their shingles; an empty table
+    gives an empty result.
     """
-    docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    carried = F.col(carry) if carry else F.lit(None)
+    docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), carried.cast("bigint").alias("__carry"))
     kind = dict(docs.dtypes)["__id"]
     order = df.sparkSession.sparkContext.broadcast(_frequent(docs, "__text", shingle))
     num, den = least
@@ -125,50 +129,73 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     def name(found: np.ndarray) -> int:
         return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
-    def prefixes(_, ids, texts):
-        for i, t in zip(ids, texts, strict=True):
+    def prefixes(_, ids, texts, carries):
+        for i, t, c in zip(ids, texts, carries, strict=True):
             found = shingles(words_of(t), shingle)
-            yield i, name(found), len(found), parities(found), first_in_order(found, *order.value, least).tolist()
+            yield i, c, name(found), len(found), parities(found), first_in_order(found, *order.value, least).tolist()
 
     def whole(_, texts):
         for t in texts:
             found = shingles(words_of(t), shingle)
             yield name(found), found.tolist()
 
-    marked = cut(map_rows(docs, ["__id", "__text"], f"__id {kind}, node bigint, n int, parity array<bigint>, prefix array<bigint>", prefixes))
+    marked = cut(map_rows(docs, ["__id", "__text", "__carry"], f"__id {kind}, __carry bigint, node bigint, n int, parity array<bigint>, prefix array<bigint>", prefixes))
     nodes = marked.groupBy("node").agg(F.min("__id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     one = marked.dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("token")).repartition("token")
-    shared = one.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).filter("first.node < last").drop("last")
-    parts = cut(one.join(shared, "token"))
-
-    def fits(a: str, an: str, b: str, bn: str):
-        return (F.least(an, bn) * den >= F.greatest(an, bn) * num) & (F.col(a) < F.col(b))
+    shared = one.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token")
+    live = cut(one.join(shared, "token").select("token", "node", "n"))
+    sets: DataFrame | None = None
+
+    def fetched(asked: DataFrame) -> DataFrame:
+        """The whole sets of ``asked`` and of what was asked for before."""
+        nonlocal sets
+        new = cut(asked.join(sets, "node", "left_anti") if sets else asked)
+        count = new.count()
+        if count:
+            ids = nodes.join(new, "node").select(F.col("least").alias("__want")).distinct()
+            ids = F.broadcast(ids) if count <= BROADCAST else ids
+            texts = docs.join(ids, docs["__id"].eqNullSafe(ids["__want"]), "left_semi")
+            made = cut(map_rows(texts, ["__text"], "node bigint, found array<bigint>", whole).join(new, "node", "left_semi").dropDuplicates(["node"]))
+            sets = sets.unionByName(made) if sets else made
+        return sets
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (``a``, ``b``) that are similar enough, by their whole sets."""
         x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(c + "n"), F.col("parity").alias(c + "p")) for c in ("a", "b"))
         differ = sum(F.bit_count(F.col("ap")[k].bitwiseXOR(F.col("bp")[k])) for k in range(PARITY))  # never more than the sets differ in
         pairs = cut(pairs.join(x, "a").join(y, "b").filter(differ * (num + den) <= (F.col("an") + F.col("bn")) * (den - num)).select("a", "b"))
-        asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        ids = nodes.join(asked, "node").select(F.col("least").alias("__want")).distinct()
-        ids = F.broadcast(ids) if asked.count() <= BROADCAST else ids
-        texts = docs.join(ids, docs["__id"].eqNullSafe(ids["__want"]), "left_semi")
-        sets = cut(map_rows(texts, ["__text"], "node bigint, found array<bigint>", whole).join(asked, "node", "left_semi").dropDuplicates(["node"]))
-        a, b = sets.toDF("a", "fa"), sets.toDF("b", "fb")
+        if pairs.isEmpty():
+            return pairs
+        every = fetched(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        a, b = every.toDF("a", "fa"), every.toDF("b", "fb")
         common = F.size(F.array_intersect("fa", "fb"))
         return cut(pairs.join(a, "a").join(b, "b").filter(common * (num + den) >= (F.size("fa") + F.size("fb")) * num).select("a", "b"))
 
-    tried = cut(parts.filter(fits("first.node", "first.n", "node", "n")).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = verified(tried)
-    roots = connected_components(links)
-    rooted = parts.select("token", "node", "n").join(roots.toDF("__node", "root"), F.col("node") == F.col("__node"), "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    rooted = cut(rooted.join(mixed, "token", "left_semi"))
-    x, y = rooted.toDF("token", "a", "an", "ar"), rooted.toDF("token", "b", "bn", "br")
-    pairs = x.join(y, "token").filter(fits("a", "an", "b", "bn") & (F.col("ar") != F.col("br")))
-    more = cut(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        roots = connected_components(links.union(verified(more)))
-    rooted = nodes.join(roots.toDF("__node", "root"), nodes.node == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return marked.select("__id", "node").join(named, "node").select(F.col("__id").alias(id_col), "node", "component_id")
+    links = tried = roots = None
+    pivots = 1
+    while True:
+        rooted = live.withColumn("root", F.col("node")) if roots is None else live.join(roots.toDF("__node", "root"), F.col("node") == F.col("__node"), "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+        groups = rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        # a node is a hash: those below a share of all hashes are about as many as wanted, and the same ones under all elements
+        place = F.col("node").cast("double") / 2.0**64 + 0.5
+        pivot = (F.col("node") == F.col("first")) | (place * F.col("size") < pivots)
+        rooted = cut(rooted.join(groups, "token").select("token", "node", "n", "root", pivot.alias("pivot")))
+        if rooted.isEmpty():
+            break
+        x, y = rooted.filter("pivot").select("token", "node", "n", "root").toDF("token", "p", "pn", "pr"), rooted.select("token", "node", "n", "root")
+        close = F.least("pn", "n") * den >= F.greatest("pn", "n") * num
+        pairs = y.join(x, "token").filter((F.col("pr") != F.col("root")) & close).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs)
+        found = verified(pairs)
+        if not found.isEmpty():
+            links = links.union(found) if links else found
+            roots = connected_components(links)
+        tried = tried.union(pairs) if tried else pairs
+        live, pivots = rooted.filter("not pivot").select("token", "node", "n"), 2 * pivots
+    if roots is None:
+        rooted = nodes.select("node", "least", F.col("node").alias("root"))
+    else:
+        rooted = nodes.join(roots.toDF("__node", "root"), nodes.node == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", F.col("root").alias("component"), "component_id")
+    out = marked.select("__id", "__carry", "node").join(named, "node")
+    return out.select(F.col("__id").alias(id_col), "node", "component", "component_id", *([F.col("__carry").alias(carry)] if carry else []))

@@ -2,22 +2,21 @@
 
 Only documents are labelled, so the words of a bounded sample are labelled
 first: words that stand in toxic documents far more often than chance allows are
-toxic where they occur in a toxic document. A chain
-with two tags is fitted to these labelled tokens. Forward-backward marginals
-then give every token of every document its probability; their sum, calibrated
-on the sample, is the document's score, and the tokens above one half are the
-offending spans.
+toxic where they occur in a toxic document. A chain with two tags is fitted to
+these labelled tokens; a token's features are its word, its neighbours, its
+ends and its shape. Forward-backward marginals then give every token of every
+document its probability. All of them go into the document's score: a logistic
+regression on the expected number of toxic tokens, the largest marginal and the
+length, fitted on the sample. The tokens above one half are the offending spans.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import sys
-import zlib
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import near
-from tessera.llm.common import bounded_sample, held_out_remainder, map_rows
+from tessera.llm.common import blocks, bounded_sample, held_out_remainder, map_rows, text_order
 
-#: labelled documents that are learnt from, at most, by label
-SAMPLE = {1: 1500, 0: 3000}
+#: distinct labelled documents that are learnt from, at most, by label, and bytes of each label
+SAMPLE, SAMPLE_BYTES = {1: 1500, 0: 3000}, 8 << 20
 SEED, MODULUS, HELD_OUT = 2, 5, 0
-FEATURES = 1 << 21
 ROUNDS, RATE, DECAY = 16, 1.5, 1e-5
 #: a word is labelled toxic from this log-likelihood ratio on, if so many of its documents are toxic
 EVIDENCE, PURITY = 8.0, 0.9
-#: marginals up to this don't add to a document's score
-NEGLIGIBLE = 0.5
 _WORD = re.compile(r"[^\W_]+")
 CACHE_WORDS = 200_000
+#: added to an expected number before its logarithm; bound of the largest marginal's logarithm of odds
+FEW, LARGEST = 0.02, 12.0
+#: rows whose chains are run together
+TOGETHER = 1024
 
 
 def fold(text: str) -> str:
@@ -50,10 +50,10 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall(fold(text or ""))
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a token: a constant, its identity, and whether it has digits or is very short or long."""
-    names = ["", "=" + word, f"#{any(c.isdigit() for c in word):d}{min(len(word) // 4, 4)}"]
-    return [zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names]
+def shape_features(word: str) -> list[str]:
+    """Features of a word that other words share: digits and length, and the ends of longer words."""
+    out = [f"#{any(c.isdigit() for c in word):d}{min(len(word) // 4, 4)}"]
+    return [*out, "<" + word[:3], ">" + word[-3:]] if len(word) > 4 else out
 
 
 def families(docs: Sequence[tuple[list[str], int]]) -> list[int]:
@@ -115,39 +115,60 @@ def forward_backward(odds: np.ndarray, lengths: np.ndarray, trans: np.ndarray, p
     return p
 
 
-def mass(marginals: np.ndarray) -> float:
-    """Logarithm of the expected number of toxic tokens, of those that aren't negligible."""
-    return math.log(0.05 + float(marginals[marginals > NEGLIGIBLE].sum()))
+def summary(marginals: np.ndarray) -> list[float]:
+    """What a document's score depends on: its expected number of toxic tokens, its largest marginal and its length, each as a logarithm."""
+    if not len(marginals):
+        return [math.log(FEW), -LARGEST, 0.0]
+    top = min(max(float(marginals.max()), math.exp(-LARGEST)), 1 - math.exp(-LARGEST))
+    return [math.log(FEW + float(marginals.sum())), math.log(top / (1 - top)), math.log(len(marginals))]
 
 
 @dataclass
 class ChainModel:
-    """Weights of hashed features, transition weights, and the calibration of the summed marginals."""
+    """Weights of words (as the token, as the one before, as the one after) and of shapes, transition weights, and the regression of the scores."""
 
-    weights: np.ndarray
-    trans: np.ndarray
-    slope: float = 0.0
+    words: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    shapes: dict[str, float] = field(default_factory=dict)
+    trans: np.ndarray = field(default_factory=lambda: np.ones((2, 2)))
+    slopes: np.ndarray = field(default_factory=lambda: np.zeros(3))
     shift: float = -30.0
 
     def __post_init__(self):
-        self.known: dict[str, float] = {}
+        self._forget()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "table")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place, self.table = {}, np.empty((1024, 3), np.float32)
+
+    def _new(self, word: str) -> int:
+        k = self.place[word] = len(self.place)
+        if k >= len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        own, before, after = self.words.get(word, (0.0, 0.0, 0.0))
+        self.table[k] = own + sum(self.shapes.get(f, 0.0) for f in shape_features(word)), before, after
+        return k
 
     def emission(self, words: Sequence[str]) -> np.ndarray:
-        """Odds of tag 1 of each token by itself."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        out = np.empty(len(words), np.float32)
-        for i, w in enumerate(words):
-            e = known.get(w)
-            if e is None:
-                e = known[w] = math.exp(min(30.0, max(-30.0, float(self.weights[features(w)].sum()))))
-            out[i] = e
-        return out
+        """Odds of tag 1 of each token by its features alone."""
+        if len(self.place) > CACHE_WORDS:
+            self._forget()
+        place = self.place
+        at = np.array([place[w] if w in place else self._new(w) for w in words], np.int64)
+        own, before, after = self.table[at].T
+        total = own.astype(np.float64)
+        total[1:] += before[:-1]
+        total[:-1] += after[1:]
+        return np.exp(np.clip(total, -30, 30)).astype(np.float32)
 
     def marginals(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Marginals of each text's tokens; texts of like length are run together."""
-        own = [self.emission(tokens(t)) for t in texts]
+        own = [self.emission(words) if (words := tokens(t)) else np.empty(0, np.float32) for t in texts]
         out: list[np.ndarray] = [np.empty(0)] * len(own)
         order = sorted((i for i, d in enumerate(own) if len(d)), key=lambda i: len(own[i]))
         for part, lengths in _alike(order, [len(d) for d in own]):
@@ -161,7 +182,7 @@ class ChainModel:
 
     def score(self, marginals: np.ndarray) -> float:
         """The calibrated probability that a document with these marginals is toxic."""
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.shift + self.slope * mass(marginals)))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.shift + float(self.slopes @ summary(marginals))))))
 
 
 def _alike(order: Sequence[int], sizes: Sequence[int], most: int = 256):
@@ -176,75 +197,97 @@ def _alike(order: Sequence[int], sizes: Sequence[int], most: int = 256):
 
 
 def fit(labelled: Sequence[tuple[str | None, int]]) -> ChainModel:
-    """Fit the chain to the tokens of labelled documents by AdaGrad on the exact gradient, then calibrate the scores.
+    """Fit the chain to the tokens of labelled documents by AdaGrad on the exact gradient, then the regression of the scores.
 
     Without toxic and other documents to learn from, nothing is toxic.
     """
-    model = ChainModel(np.zeros(FEATURES), np.ones((2, 2)))
-    docs = [d for d in ((list(map(sys.intern, tokens(t))), label) for t, label in labelled) if d[0]]  # equal words are one object
-    bad = toxic_words(docs)
-    if not bad:
-        return model
     place: dict[str, int] = {}
-    ids = [np.array([place.setdefault(w, len(place)) for w in words]) for words, _ in docs]
-    each = [features(w) for w in place]
-    is_bad = np.array([w in bad for w in place])
+    docs, kept = [], []
+    for text, label in labelled:
+        if words := tokens(text):
+            docs.append(np.array([place.setdefault(w, len(place)) for w in words], np.int32))
+            kept.append(label)
+    names = list(place)
+    bad = toxic_words([([names[i] for i in ids.tolist()], label) for ids, label in zip(docs, kept, strict=True)])
+    if not bad:
+        return ChainModel()
+    shape_of: dict[str, int] = {}
+    each = [[shape_of.setdefault(f, len(shape_of)) for f in shape_features(w)] for w in names]
     owner, flat = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.array([f for x in each for f in x])
-    tags = [is_bad[x] * float(label) for x, (_, label) in zip(ids, docs, strict=True)]
-    sizes = [len(x) for x in ids]
+    is_bad = np.array([w in bad for w in names], float)
+    sizes = [len(x) for x in docs]
     groups = list(_alike(sorted(range(len(docs)), key=lambda i: sizes[i]), sizes))
-    gold = np.zeros((2, 2))
-    for t in tags:
-        np.add.at(gold, (t[:-1].astype(int), t[1:].astype(int)), 1)
-    weights, square = np.zeros(FEATURES), np.full(FEATURES, 1e-9)
+    gold, positive = np.zeros((2, 2)), 0.0
+    for ids, label in zip(docs, kept, strict=True):
+        tags = (is_bad[ids] * label).astype(int)
+        np.add.at(gold, (tags[:-1], tags[1:]), 1)
+        positive += tags.sum()
+    n, m = len(names), len(shape_of)
+    weights = [np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(m)]  # the token, the one before, the one after, shapes
+    squares = [np.full(len(w), 1e-9) for w in weights]
     log_trans, square_t = np.zeros((2, 2)), np.full((2, 2), 1e-9)
-    positive = sum(t.sum() for t in tags)
+
+    def odds_of(ids: np.ndarray) -> np.ndarray:
+        total = value[ids]
+        total[1:] += weights[1][ids[:-1]]
+        total[:-1] += weights[2][ids[1:]]
+        return np.exp(np.clip(total, -30, 30))
+
     for _ in range(ROUNDS):
-        value = np.exp(np.clip(np.bincount(owner, weights[flat]), -30, 30))
-        residual, pairs, trans = np.zeros(len(each)), np.zeros((2, 2)), np.exp(log_trans)
+        value = weights[0] + np.bincount(owner, weights[3][flat], minlength=n)
+        grads, pairs, trans = [np.zeros(n), np.zeros(n), np.zeros(n)], np.zeros((2, 2)), np.exp(log_trans)
         for part, lengths in groups:
             odds = np.ones((lengths[-1], len(part)))
             for k, i in enumerate(part):
-                odds[: lengths[k], k] = value[ids[i]]
+                odds[: lengths[k], k] = odds_of(docs[i])
             p = forward_backward(odds, lengths, trans, pairs)
             for k, i in enumerate(part):
-                np.add.at(residual, ids[i], tags[i] - p[: lengths[k], k])
-        grad = np.bincount(flat, residual[owner], minlength=FEATURES) / positive - DECAY * weights
-        square += grad * grad
-        weights += RATE * grad / np.sqrt(square)
+                ids = docs[i]
+                missed = is_bad[ids] * kept[i] - p[: lengths[k], k]
+                np.add.at(grads[0], ids, missed)
+                np.add.at(grads[1], ids[:-1], missed[1:])
+                np.add.at(grads[2], ids[1:], missed[:-1])
+        grads.append(np.bincount(flat, grads[0][owner], minlength=m))
+        for w, g, s in zip(weights, grads, squares, strict=True):
+            g = g / positive - DECAY * w
+            s += g * g
+            w += RATE * g / np.sqrt(s)
         grad_t = (gold - pairs) / positive
         square_t += grad_t * grad_t
         log_trans = np.clip(log_trans + RATE / 2 * grad_t / np.sqrt(square_t), -3, 3)
-    model.weights, model.trans = weights.astype(np.float32), np.exp(log_trans)
-    x = np.array([mass(p) for p in model.marginals([t for t, _ in labelled])])
-    model.slope, model.shift = _logistic(x, np.array([float(label) for _, label in labelled]))
+    triples = np.round(np.stack(weights[:3], 1), 4).tolist()
+    model = ChainModel(dict(zip(names, map(tuple, triples), strict=True)), dict(zip(shape_of, weights[3].tolist(), strict=True)), np.exp(log_trans))
+    x = []
+    for a in range(0, len(labelled), TOGETHER):
+        x += [summary(p) for p in model.marginals([t for t, _ in labelled[a : a + TOGETHER]])]
+    model._forget()
+    model.slopes, model.shift = _logistic(np.array(x), np.array([float(label) for _, label in labelled]))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
-    """Slope and shift of a logistic regression on one variable, by Newton's method."""
-    design, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic regression by Newton's method, on standardised variables."""
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    design, w = np.column_stack([(x - mean) / spread, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(2)
+        hessian = design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
         w = w + np.clip(np.linalg.solve(hessian, design.T @ (y - p) - ridge * w), -3, 3)
-    return float(w[0]), float(w[1])
+    slopes = w[:-1] / spread
+    return slopes, float(w[-1] - slopes @ mean)
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: dict[int, int] = SAMPLE, modulus: int = MODULUS, held_out: int = HELD_OUT) -> ChainModel:
-    """A model from at most ``sample[label]`` whole documents of each label that aren't held out (those of the least seeded hash)."""
-    spark = df.sparkSession
-    own = labels.filter(F.coalesce(held_out_remainder(F.col(id_col), modulus) != held_out, F.lit(False)) & F.col(label_col).isNotNull())
-    own = own.groupBy(F.col(id_col).alias("__pick")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
-    own = own.join(df.select(F.col(id_col).alias("__pick")).distinct(), "__pick", "left_semi")
-    order = sorted(sample)
-    picked = [bounded_sample(own, "__pick", sample[k], [F.col("__label") == k], SEED)[0] for k in order]
-    rows = [(i, k) for k, ids in zip(order, picked, strict=True) for i in ids]
-    if not rows:
-        return fit([])
-    chosen = spark.createDataFrame(rows, f"__pick {dict(labels.dtypes)[id_col]}, __label int")
-    got = df.select(F.col(id_col).alias("__pick"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__pick").select("__pick", "__text", "__label").collect()
-    return fit([(t, k) for _, t, k in sorted(got, key=lambda r: (r[0], r[1] or ""))])
+def learn(
+    df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: dict[int, int] = SAMPLE, modulus: int = MODULUS, held_out: int = HELD_OUT, sample_bytes: int = SAMPLE_BYTES
+) -> ChainModel:
+    """A model from at most ``sample[label]`` distinct whole documents and ``sample_bytes`` bytes of each label, none of them held out."""
+    known = labels.filter(F.coalesce(held_out_remainder(F.col(id_col), modulus) != held_out, F.lit(False)) & F.col(label_col).isNotNull())
+    known = known.groupBy(F.col(id_col).alias("__pick")).agg(F.max(F.col(label_col).cast("int")).alias("__group"))
+    texts = df.select(F.col(id_col).alias("__pick"), F.col(text_col).alias("__text")).filter("__text is not null")
+    narrow = texts.select("__pick", text_order("__text", SEED).alias("__order"), F.octet_length("__text").alias("__bytes"))
+    candidates = narrow.join(known, "__pick").filter(F.col("__group").isin(*sample))
+    got = bounded_sample(candidates.select("__group", "__order", "__bytes"), texts.select("__text"), sample, sample_bytes, SEED)
+    return fit([(text, group) for group, text in got])
 
 
 def spans(text: str, marginals: np.ndarray, least: float = 0.5) -> list[dict]:
@@ -275,18 +318,23 @@ def score_documents(
     model = model or learn(df, labels, id_col, text_col, label_col, modulus=modulus, held_out=held_out)
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(F.col(id_col).alias("__id"), F.coalesce(held_out_remainder(F.col(id_col), modulus) == held_out, F.lit(False)).alias("__held"), F.col(text_col).alias("__text"))
-    return map_rows(rows, ["__id", "__held", "__text"], f"{id_col} {dict(df.dtypes)[id_col]}, {OUT}", _rows, start=lambda: shared.value, block=2048)
+    return map_rows(rows, ["__id", "__held", "__text"], f"{id_col} {dict(df.dtypes)[id_col]}, {OUT}", _rows, start=lambda: shared.value, block=TOGETHER)
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of ``df``, all columns as they are, that aren't predicted toxic; nothing is shuffled but the training sample's ids."""
+    """The rows of ``df``, all columns as they are, that aren't predicted toxic.
+
+    Nothing is shuffled but the ids and hashes of the training sample's candidates. Null and empty
+    texts have no tokens and are judged as such; repeated rows are judged alike
+    and stay as often as they occur; very long texts are judged whole; columns of
+    any name are carried along; an empty table stays empty.
+    """
     shared = df.sparkSession.sparkContext.broadcast(learn(df, labels, id_col, text_col, label_col))
     at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for part in blocks(batch, TOGETHER):
                 found = shared.value.marginals(part.column(at).to_pylist())
                 yield part.filter(pa.array([shared.value.score(p) < 0.5 for p in found], pa.bool_()))
 

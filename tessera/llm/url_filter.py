@@ -1,33 +1,41 @@
 """URL filters by a ratio of character language models.
 
 Rules judge the URLs they fit. These verdicts also label the URLs for two
-character models, one of accepted and one of rejected URLs: smoothed Markov
-models of variable order, each order backing off to the one below. Other URLs
-are judged by the length-normalised difference of the two log-likelihoods
-against a threshold calibrated on labelled URLs that trained neither model.
+character models, one of accepted and one of rejected URLs: Markov models of
+variable order, in which each order backs off to the one below with the weight
+of Witten and Bell, down to a uniform distribution over all code points. Other
+URLs are judged by the length-normalised difference of the two
+log-likelihoods against a threshold calibrated on labelled URLs that trained
+neither model.
+
+Contexts and characters are counted exactly, in tables that grow with the
+corpus and stay distributed. What is scored is the distinct context and
+character: each is joined with its counts once, and URLs are joined with the
+results. Logarithms are summed as integers, so sums don't depend on their order.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, ascii_lower, map_rows
+from tessera.llm.common import ASCII_LOWER_STR, ascii_lower, cut, map_rows
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: context lengths 0 to ORDER; contexts and continuations are counted in a table of fixed size by hash
+#: contexts have 0 to ORDER characters
 ORDER = 4
-SLOTS = 1 << 17
-SMOOTHING = 2.0
+#: characters that a model could predict at all
+ALPHABET = 0x110000
+#: stands ORDER times before every URL
+EDGE = " "
+SEED = 4
 #: of the labelled URLs, one in so many (by hash) calibrates the threshold
 CALIBRATE = 5
-BINS, SPAN = 400, 4.0
+#: logarithms are kept in units of 2 ** -UNIT; the threshold is found to within 2 ** -STEP
+UNIT, STEP = 32, 8
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -46,98 +54,113 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return name, verdict
 
 
-def _letters(url: str | None) -> bytes:
-    raw = (url or "").encode("utf-8", "replace").translate(ASCII_LOWER)
-    at = raw.find(b"://")
-    return raw[at + 3 :] if at >= 0 else raw
+def letters(url: str | None) -> str:
+    """What the models see of a URL: all after ``://`` (all of it where there is none), A-Z lowered."""
+    url = url or ""
+    at = url.find("://")
+    return (url[at + 3 :] if at >= 0 else url).translate(ASCII_LOWER_STR)
 
 
-def _slots(url: str | None) -> np.ndarray:
-    """Table slots by order and place: row k has the slots of each letter with k letters before it, row k + ORDER + 1 those of the contexts alone."""
-    text = b"^" * ORDER + _letters(url)
-    n = len(text) - ORDER
-    crc, out = zlib.crc32, np.empty((2 * ORDER + 2, n), np.int64)
-    for k in range(ORDER + 1):
-        out[k] = [crc(text[i - k : i + 1], k) % SLOTS for i in range(ORDER, ORDER + n)]
-        out[ORDER + 1 + k] = [crc(text[i - k : i], 16 + k) % SLOTS for i in range(ORDER, ORDER + n)]
-    return out
+def events(url: str | None) -> list[tuple[str, str]]:
+    """Each character after the ORDER characters before it."""
+    line = EDGE * ORDER + letters(url)
+    return [(line[i - ORDER : i], line[i]) for i in range(ORDER, len(line))]
 
 
-def count_slots(labelled: DataFrame, url_col: str) -> np.ndarray:
-    """Counts (2, SLOTS) of rejected and accepted URLs over all rows of ``labelled`` (``url_col``, ``__class`` 0 or 1).
+def count_contexts(labelled: DataFrame) -> DataFrame:
+    """``context`` and ``next`` with counts ``n0`` and ``n1`` in rejected and accepted URLs, over all rows of ``labelled`` (``__url``, ``__class`` 0 or 1), for every order."""
 
-    Each partition sends at most ``2 * SLOTS`` sums, as does the whole to the driver.
+    def rows(_, urls, kinds):
+        seen = Counter()
+        for (url, kind), times in Counter(zip(urls, kinds, strict=True)).items():
+            for context, c in events(url):
+                for k in range(ORDER + 1):
+                    seen[context[k:], c, kind] += times
+        for (context, c, kind), n in seen.items():
+            yield context, c, n * (kind == 0), n * (kind == 1)
+
+    made = map_rows(labelled, ["__url", "__class"], "context string, next string, n0 bigint, n1 bigint", rows)
+    return made.groupBy("context", "next").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def gains(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """``context``, ``next`` and ``gain`` for each of ``wanted`` (distinct, whole contexts): the logarithm of the probability in accepted URLs less that in rejected ones, in units of 2 ** -UNIT.
+
+    A context has at most a row in ``counts`` for each character, so its sums
+    are small however often it occurs.
     """
+    sums = counts.groupBy("context").agg(
+        *(F.sum(f"n{c}").alias(f"total{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}") for c in (0, 1))
+    )
+    each = wanted.select("context", "next", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")).select("*", F.substring(F.col("context"), F.lit(ORDER + 1) - F.col("k"), F.col("k")).alias("part"))
+    found = each.join(counts.withColumnRenamed("context", "part"), ["part", "next"], "left").join(sums.withColumnRenamed("context", "part"), "part", "left")
+    numbers = [F.coalesce(f"{name}{c}", F.lit(0)).alias(f"{name}{c}") for name in ("n", "total", "kinds") for c in (0, 1)]
+    own = found.groupBy("context", "next").agg(F.array_sort(F.collect_list(F.struct("k", *numbers))).alias("orders"))  # ORDER + 1 of them
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, SLOTS), np.int64)
-        for b in batches:
-            for (url, kind), n in Counter(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).items():
-                np.add.at(counts[kind], _slots(url).ravel(), n)
-        kind, slot = counts.nonzero()
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(slot, pa.int32()), pa.array(counts[kind, slot], pa.int64())], names=["kind", "slot", "n"])
-
-    sums = labelled.select(url_col, "__class").mapInArrow(partial, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2, SLOTS))
-    out[sums["kind"].to_numpy(), sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    return out
-
-
-def score_url(counts: np.ndarray, url: str | None) -> float:
-    """Log-likelihood of acceptance less that of rejection, a letter; 0 for an empty URL."""
-    slots = _slots(url)
-    n = slots.shape[1]
-    if not n:
-        return 0.0
-    p = np.full((2, n), 1 / 256)
-    for k in range(ORDER + 1):
-        p = (counts[:, slots[k]] + SMOOTHING * p) / (counts[:, slots[ORDER + 1 + k]] + SMOOTHING)
-    gain = np.log(p)
-    return float((gain[1] - gain[0]).sum() / n)
+    def log_p(c: int) -> Column:
+        def backed_off(p: Column, o: Column) -> Column:
+            weight = o[f"total{c}"] + o[f"kinds{c}"]
+            return F.when(weight > 0, (o[f"n{c}"] + o[f"kinds{c}"] * p) / weight).otherwise(p)
+
+        return F.log(F.aggregate("orders", F.lit(1.0 / ALPHABET), backed_off))
+
+    return own.select("context", "next", F.round((log_p(1) - log_p(0)) * 2.0**UNIT).cast("bigint").alias("gain"))
+
+
+def score_rows(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``__row`` and ``score`` of every row of ``rows`` (``__row``, ``__url``) whose URL isn't empty."""
+
+    def made(_, keys, urls):
+        for key, url in zip(keys, urls, strict=True):
+            for (context, c), n in Counter(events(url)).items():
+                yield key, context, c, n
+
+    every = map_rows(rows, ["__row", "__url"], "__row bigint, context string, next string, n bigint", made)
+    known = gains(every.select("context", "next").distinct(), counts)
+    return every.join(known, ["context", "next"]).groupBy("__row").agg((F.sum(F.col("gain") * F.col("n")) / 2.0**UNIT / F.sum("n")).alias("score"))
 
 
-def calibrate(rejected: np.ndarray, accepted: np.ndarray) -> float:
-    """The least bin edge with the best balanced accuracy; 0 where a class has no URL."""
-    if not rejected.sum() or not accepted.sum():
+def calibrate(tally: dict[int, list[int]]) -> float:
+    """From numbers of rejected and accepted URLs by step of score: the middle of the best thresholds by balanced accuracy; 0 where a class has no URL."""
+    rejected, accepted = (sum(v[c] for v in tally.values()) for c in (0, 1))
+    if not rejected or not accepted:
         return 0.0
-    below = np.concatenate([[0.0], np.cumsum(rejected) / rejected.sum()])
-    above = 1 - np.concatenate([[0.0], np.cumsum(accepted) / accepted.sum()])
-    best = (below + above).round(9)
-    at = np.flatnonzero(best == best.max())
-    return float((at[0] + at[-1]) / 2 / BINS * 2 * SPAN - SPAN)
+    steps = sorted(tally)
+    below, best = [0, 0], []
+    for at in [*steps, steps[-1] + 1]:  # a threshold at this step rejects all below it
+        best.append((round(below[0] / rejected - below[1] / accepted, 12), at))
+        for c in (0, 1):
+            below[c] += tally.get(at, (0, 0))[c]
+    most = max(b for b, _ in best)
+    first = next(i for i, (b, _) in enumerate(best) if b == most)
+    low = steps[first - 1] + 1 if first else steps[0]  # equally good from just above the step before
+    return (low + best[first][1]) / 2 / 2**STEP
 
 
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """id, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (null where a rule judged) of every row.
 
-    An URL without host is blocked unless a rule fits. With no labelled URLs of
-    one class the threshold is 0; equal scores get equal verdicts, at the
-    threshold ``allow``. Repeated rows are returned as often as they occur;
-    other columns are not read; an empty table gives an empty result.
+    URLs without a host, even null and empty ones (score 0), are judged by the
+    models like others. With no labelled URLs of one class the threshold is 0;
+    equal scores get equal verdicts, at the threshold ``allow``; of rules of one
+    length the later one counts. Very long URLs are scored whole. Repeated rows
+    are returned as often as they occur; other columns are not read; an empty
+    table gives an empty result.
     """
     host, path = host_and_path(url_col)
     parts = df.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    judged = parts.select("*", rule.alias("rule"), verdict.alias("__verdict"))
-    labelled = judged.filter("rule is not null").select("__url", (F.col("__verdict") == "allow").cast("int").alias("__class"))
-    part = F.pmod(F.xxhash64("__url"), F.lit(CALIBRATE)) == 0
-    counts = count_slots(labelled.filter(~part), "__url")
-    model = df.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
-
-    def bins(_, urls, kinds):
-        for url, kind in zip(urls, kinds, strict=True):
-            yield kind, int(min(BINS - 1, max(0, (score_url(model.value, url) + SPAN) / (2 * SPAN) * BINS)))
-
-    seen = map_rows(labelled.filter(part), ["__url", "__class"], "kind int, bin int", bins).groupBy("kind", "bin").count().collect()
-    tally = np.zeros((2, BINS))
-    for kind, at, n in seen:
-        tally[kind, at] = n
-    threshold = calibrate(*tally)
-
-    def rows(_, ids, urls, hosts, paths, rules_, verdicts):
-        for i, url, h, p, r, v in zip(ids, urls, hosts, paths, rules_, verdicts, strict=True):
-            score = None if r is not None else score_url(model.value, url)
-            yield i, h, p, r, v or ("allow" if h and score >= threshold else "block"), score
-
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, host string, path string, rule string, verdict string, score double"
-    return map_rows(judged, ["__id", "__url", "host", "path", "rule", "__verdict"], schema, rows)
+    judged = parts.select("*", rule.alias("rule"), verdict.alias("__verdict"), F.monotonically_increasing_id().alias("__row"))
+    aside = F.col("rule").isNotNull() & (F.pmod(F.xxhash64(F.lit(SEED), "__url"), F.lit(CALIBRATE)) == 0)
+    rows = cut(judged.select("*", F.coalesce(aside, F.lit(False)).alias("__aside"), (F.col("__verdict") == "allow").cast("int").alias("__class")))  # small: no other column
+    counts = cut(count_contexts(rows.filter("rule is not null and not __aside")))
+    scores = cut(score_rows(rows.filter("rule is null or __aside").select("__row", "__url"), counts))
+    judged = rows.join(scores, "__row", "left").select("*", F.when(F.col("rule").isNull() | F.col("__aside"), F.coalesce("score", F.lit(0.0))).alias("__score"))
+    step = F.floor(F.col("__score") * 2**STEP).alias("step")
+    seen: dict[int, list[int]] = {}
+    for at, kind, n in judged.filter("__aside").groupBy(step, "__class").count().collect():  # scores are small numbers: a few thousand steps
+        seen.setdefault(at, [0, 0])[kind] = n
+    threshold = calibrate(seen)
+    own = F.when(F.col("rule").isNull(), F.col("__score"))
+    kept = F.coalesce("__verdict", F.when(own >= threshold, "allow").otherwise("block"))
+    return judged.select(F.col("__id").alias(id_col), "host", "path", "rule", kept.alias("verdict"), own.alias("score"))
