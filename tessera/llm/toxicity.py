@@ -338,4 +338,6 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 found = shared.value.marginals(part.column(at).to_pylist())
                 yield part.filter(pa.array([shared.value.score(p) < 0.5 for p in found], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    # numbered names on the way: a column's own name may hold a dot
+    numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)

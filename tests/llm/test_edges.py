@@ -84,7 +84,7 @@ def test_pages(spark):
     pages = spark.createDataFrame([r + ("h", 1.0, "u") for r in rows], kind)
     got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
-    assert (got[2].host, got[2].path, got[2].rule, got[2].verdict) == ("", "", None, "block")
+    assert (got[2].host, got[2].path, got[2].rule, got[2].verdict, got[2].score) == ("", "", None, "allow", 0.0)  # no rule blocks here: the threshold is 0
     assert got[None].rule == "org/fr/" and (got[5].host, got[5].path) == ("h", "")
     assert url_filter.filter_urls(pages).count() == 6
     texts = {r.page_id: r for r in html_main.extract_main_text(pages).collect()}

@@ -21,3 +21,27 @@ def test_unwanted_name_parts_do_not_cut_the_article():
 def test_small_unwanted_parts_are_cut():
     junk = "<div class='post-comments'><p>Nice post, thanks.</p></div><div class='share'>Share this</div>"
     assert main_text(f"<body><article>{ARTICLE}{junk}</article></body>") == PLAIN
+
+
+def test_names_of_headings_paragraphs_and_inline_elements_cut_nothing():
+    page = f'<article><h2 id="Social_structure">Society</h2>{ARTICLE}<p id="side-effects">Side effects, too.</p><p>A <span class="ad">word</span>.</p></article>'
+    assert main_text(page) == f"Society {PLAIN} Side effects, too. A word."
+
+
+def test_formulas_and_fallbacks_stay():
+    assert main_text("<article><p>Let <math><mi>x</mi></math> be, so, <object data=q>fall back</object></p></article>") == "Let x be, so, fall back"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    n = 20_000
+    pages = ["<div>" * n + "<p>a, b" * n, "<i><div>" + "<b>" * n + "</i>" * n + "<h1>x</h1>" * n, "<header>" * n, "<a href='" * n, "<![CDATA[>" * n, "<table>" + "<tr><td>x<li>" * n, "<textarea>" * n]
+    began = time.time()
+    for page in pages:
+        main_text(page)
+    assert time.time() - began < 60
+
+
+def test_ties_go_to_the_first_container():
+    assert main_text("<section><p>one, two</p></section><footer>x</footer><div><p>six, ten</p></div>").startswith("one, two")
