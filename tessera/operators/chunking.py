@@ -8,7 +8,7 @@ document always fit one row, as the document itself does.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,13 +114,14 @@ def split_at_gaps(chunks: Sequence[Sequence[int]], gap: int) -> list[Piece]:
     return out
 
 
-def merge_small(pieces: list[Piece], sizes: Mapping[int, int], least: int, most: int, distances: Mapping[int, float]) -> list[Piece]:
+def merge_small(pieces: list[Piece], sizes: Mapping[int, int], least: int, most: int, distances: Mapping[int, float], tokens: Callable[[int], int] = int) -> list[Piece]:
     """Joins pieces under ``least`` tokens to a neighbour while the sum stays within ``most``, until nothing changes.
 
     Of two neighbours the one with a known boundary distance wins, then the
-    nearer, then the left. ``sizes``: tokens of each line.
+    nearer, then the left. ``sizes``: length of each line; ``tokens``: tokens of a
+    text of such a length, since a chunk's text is counted as a whole.
     """
-    size = lambda lines: sum(sizes.get(i, 0) for i in set(lines))
+    size = lambda lines: tokens(sum(sizes.get(i, 0) for i in set(lines)))
 
     def boundary(left: Piece, right: Piece) -> float | None:
         return distances.get(left.lines[-1], distances.get(right.lines[0]))
@@ -152,10 +153,13 @@ MERGED = "chunk_no bigint, start bigint, `end` bigint, n_lines bigint, tokens bi
 def post_process(chunks: DataFrame, lines: DataFrame, least: int, most: int, gap: int, id_col: str = "doc_id", distances: Mapping[int, float] | None = None) -> DataFrame:
     """Gap split and small-chunk merge of each document's chunks (id, chunk_no, start, end) over its kept lines (id, line_no, line)."""
     kind, known = dict(chunks.dtypes)[id_col], dict(distances or {})
-    sized = lines.select(id_col, "line_no", T.estimated_tokens(F.concat("line", F.lit("\n"))).alias("n"))
+    sized = lines.select(id_col, "line_no", (F.length("line") + 1).cast("long").alias("n"))
     a = chunks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "start", "end"))).alias("chunks"))
     b = sized.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("line_no", "n"))).alias("lines"))
 
+    def tokens(chars: int) -> int:
+        return -(-chars // T.CHARS_PER_TOKEN)
+
     def run(batches):
         for pdf in batches:
             rows = []
@@ -163,8 +167,8 @@ def post_process(chunks: DataFrame, lines: DataFrame, least: int, most: int, gap
                 sizes = {x["line_no"]: x["n"] for x in ls}
                 order = sorted(sizes)
                 parts = [[k for k in order if c["start"] <= k <= c["end"]] for c in cs]
-                for no, p in enumerate(merge_small(split_at_gaps([p for p in parts if p], gap), sizes, least, most, known)):
-                    rows.append((i, no, p.lines[0], p.lines[-1], len(p.lines), sum(sizes[k] for k in p.lines), p.sources, p.operations))
+                for no, p in enumerate(merge_small(split_at_gaps([p for p in parts if p], gap), sizes, least, most, known, tokens)):
+                    rows.append((i, no, p.lines[0], p.lines[-1], len(p.lines), tokens(sum(sizes[k] for k in p.lines)), p.sources, p.operations))
             yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "start", "end", "n_lines", "tokens", "source_chunk_count", "operations"])
 
     return a.join(b, id_col).mapInPandas(run, f"{id_col} {kind}, {MERGED}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,11 +48,19 @@ def coverage_counts(expected: DataFrame, leaves: DataFrame, keys: Sequence[str]
 
 
 
+def parsed(text: str | None):
+    """The JSON value, or ``J.MISSING`` for null and what isn't JSON."""
+    try:
+        return J.MISSING if text is None else json.loads(text)
+    except ValueError:
+        return J.MISSING
+
+
 def get_pointer(doc: Column, pointer: Column) -> Column:
-    """The value at a pointer as JSON text, null where there is none."""
+    """The value at a pointer as JSON text, null where there is none or the document isn't JSON."""
 
     def f(d: pd.Series, p: pd.Series) -> pd.Series:
-        found = [J.get(json.loads(a), b, J.MISSING) if a is not None and b is not None else J.MISSING for a, b in zip(d, p, strict=True)]
+        found = [J.MISSING if b is None or (a := parsed(text)) is J.MISSING else J.get(a, b, J.MISSING) for text, b in zip(d, p, strict=True)]
         return pd.Series([None if x is J.MISSING else json.dumps(x, sort_keys=True) for x in found], dtype=object)
 
     return F.pandas_udf(f, "string")(doc, pointer)
@@ -75,19 +83,23 @@ def apply_writes(doc: Column, writes: Column) -> Column:
 
 
 def clean(doc: Column) -> Column:
-    """Documents without missing values, keys sorted."""
+    """Documents without missing values, keys sorted; null for what isn't JSON."""
 
     def f(d: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else json.dumps(J.without_missing(json.loads(a)), sort_keys=True) for a in d], dtype=object)
+        return pd.Series([None if (a := parsed(text)) is J.MISSING else json.dumps(J.without_missing(a), sort_keys=True) for text in d], dtype=object)
 
     return F.pandas_udf(f, "string")(doc)
 
 
 def validation_issues(doc: Column, schema: dict) -> Column:
-    """array<struct(pointer, message)> of violations of ``schema``."""
+    """array<struct(pointer, message)> of violations of ``schema``; a text that isn't JSON has one, a null none."""
 
     def f(d: pd.Series) -> pd.Series:
-        return pd.Series([[{"pointer": p, "message": m} for p, m in J.validate(json.loads(a), schema)] if a is not None else [] for a in d], dtype=object)
+        def issues(text: str | None) -> list[tuple[str, str]]:
+            a = parsed(text)
+            return J.validate(a, schema) if a is not J.MISSING else [] if text is None else [("", "not JSON")]
+
+        return pd.Series([[{"pointer": p, "message": m} for p, m in issues(text)] for text in d], dtype=object)
 
     return F.pandas_udf(f, "array<struct<pointer:string,message:string>>")(doc)
 
@@ -128,3 +140,28 @@ def group_attributes(df: DataFrame, parent: str, order: str, label: str, value:
     rows = df.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(label).alias("label"), F.col(value).cast("double").alias("value")))).alias("items"))
     numbered = rows.select(parent, "items", F.pandas_udf(number, "array<long>")("items").alias("groups"))
     return numbered.select(parent, F.explode(F.arrays_zip("items", "groups")).alias("x")).select(parent, F.col("x.items.at").alias(order), F.col("x.items.label").alias(label), F.col("x.items.value").alias(value), F.col("x.groups").alias("group"))
+
+
+def changed(doc: Column, change: Callable, *args) -> Column:
+    """``change(document, *args)`` of each document as JSON with its keys in their order; null for what isn't JSON."""
+
+    def f(d: pd.Series) -> pd.Series:
+        return pd.Series([None if (a := parsed(text)) is J.MISSING else json.dumps(change(a, *args)) for text in d], dtype=object)
+
+    return F.pandas_udf(f, "string")(doc)
+
+
+def patched(doc: Column, operations: Column) -> Column:
+    """struct(document, error) after a JSON list of JSON Patch operations; a failed list leaves the document as it was."""
+    from tessera.functions.drafts import apply_patch
+
+    def f(d: pd.Series, o: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(d, o, strict=True):
+            try:
+                rows.append((json.dumps(apply_patch(json.loads(a), json.loads(b)), sort_keys=True), None))
+            except (ValueError, KeyError, TypeError) as e:
+                rows.append((a, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["document", "error"])
+
+    return F.pandas_udf(f, "document string, error string")(doc, operations)

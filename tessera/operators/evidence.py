@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.checkpoint import cut
 
 MATCH, UNRANKED = 0.90, 10_000
 #: Fixed values of an assessment where the critic gives none.
@@ -42,17 +44,25 @@ def route_candidates(candidates: DataFrame, assessments: DataFrame) -> DataFrame
     return joined.withColumn("__r", route({n: F.coalesce(F.col(f"__a.{n}"), F.lit(d)) for n, d in DEFAULT_ASSESSMENT.items()})).select(*candidates.columns, "__r.route", "__r.reason")
 
 
-def match_score(evidence: str, content: str) -> float:
-    """1 where the normalised evidence stands in the content, else the best ratio over windows of its length, from 12 characters on."""
+def match_score(evidence: str, content: str, least: float = MATCH) -> float:
+    """1 where the normalised evidence stands in the content; else, from 12 characters on, the best ratio over windows of its length.
+
+    Windows start every quarter of the length. Cheap upper bounds of a window's ratio come first, so the
+    full comparison is made only where it can still beat the best one, and none after ``least`` is reached.
+    """
     n = len(evidence)
     if not n or evidence in content:
         return 1.0 if n else 0.0
-    best, matcher = 0.0, SequenceMatcher(None, "", "")
-    for at in range(0, max(1, len(content) - n + 1), max(1, n // 4)) if n >= 12 else ():
-        matcher.set_seqs(evidence, content[at : at + n])
-        best = max(best, matcher.ratio())
-        if best >= MATCH:
-            break
+    if n < 12:
+        return 0.0
+    best, matcher = 0.0, SequenceMatcher(None, autojunk=True)
+    windows = [content[at : at + n] for at in range(0, max(0, len(content) - n) + 1, max(1, n // 4))]
+    for window in dict.fromkeys(windows):
+        matcher.set_seqs(evidence, window)
+        if min(matcher.real_quick_ratio(), matcher.quick_ratio()) > best:
+            best = max(best, matcher.ratio())
+        if best >= least:
+            return best
     return best
 
 
@@ -93,29 +103,82 @@ def merge_contexts(*contexts: DataFrame) -> DataFrame:
     return every.withColumn("__k", first).filter((F.col("__k") == 1) | (F.col("route") == "rejected_evidence")).drop("__k", "__context")
 
 
-def fuzzy_links(df: DataFrame, id_col: str, text_col: str, class_col: str, least: float = 0.5, min_chars: int = 10, size: int = 8) -> DataFrame:
-    """(a, b, similarity) of texts that share a ``size``-gram of characters and whose ratio reaches ``least``.
+#: texts of a cell of compared pairs, from either side
+CELL = 1500
+
+
+def _histograms(texts: list[str]) -> np.ndarray:
+    """How many characters of each text fall into each of 64 classes."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, t in enumerate(texts):
+        np.add.at(out[i], np.frombuffer(t.encode("utf-32-le"), np.uint32) & 63, 1)
+    return out
 
-    Pairs of one class link only when equal. Grams of a text are sampled by
-    their hash modulo 4, and equal texts count as one, so blocks stay small.
-    """
-    norm = T.normalise_evidence(text_col)
-    rows = df.select(F.col(id_col).alias("id"), norm.alias("t"), F.col(class_col).alias("c")).filter(F.length("t") >= min_chars)
-    grams = rows.withColumn("g", F.explode(F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - size + 1)), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(size)))), lambda h: F.pmod(h, F.lit(4)) == 0))))
-    a, b = grams.alias("a"), grams.alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb"), F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).dropDuplicates(["a", "b"])
 
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+def similar_pairs(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of all pairs whose ratio reaches ``least``. What two texts have in common is never more than their character classes have, which rules most pairs out."""
+    a, b = _histograms(left), _histograms(right)
+    sizes = b.sum(1)
+    matcher = SequenceMatcher(None, autojunk=True)
+    for i, text in enumerate(left):
+        common = np.minimum(a[i], b).sum(1)
+        for j in np.flatnonzero(2 * common >= least * (a[i].sum() + sizes) - 1e-9).tolist():
+            matcher.set_seqs(text, right[j])
+            ratio = round(matcher.ratio(), 6)
+            if ratio >= least:
+                yield i, j, ratio
 
-    scored = pairs.withColumn("similarity", F.round(F.pandas_udf(ratio, "double")("ta", "tb"), 6))
-    return scored.filter((F.col("similarity") >= least) & ((F.col("ca") != F.col("cb")) | (F.col("similarity") == 1.0))).select("a", "b", "similarity")
+
+def fuzzy_links(df: DataFrame, id_col: str, text_col: str, class_col: str, least: float = 0.5, min_chars: int = 10, within: Sequence[str] = ()) -> DataFrame:
+    """(a, b, similarity) of texts of ``within`` (such as a package) whose ratio reaches ``least``; pairs of one class link only when equal.
+
+    Equal texts of a class are one node: their rows are linked to the one of least id.
+    All pairs of nodes are compared, in cells of at most ``CELL`` texts
+    from either side, and only links leave a cell; no pair is lost. For a large
+    collection give ``within``: the comparisons grow with the square of its largest part.
+    """
+    kind = dict(df.dtypes)[id_col]
+    key = F.concat_ws("\u0001", *within) if within else F.lit("")
+    rows = df.select(F.col(id_col).alias("id"), T.normalise_evidence(text_col).alias("t"), F.col(class_col).cast("string").alias("c"), key.alias("w")).filter(F.length("t") >= min_chars)
+    nodes = cut(rows.groupBy("w", "c", "t").agg(F.min("id").alias("id")))
+    copies = rows.join(nodes.withColumnRenamed("id", "a"), (rows.w == nodes.w) & (rows.t == nodes.t) & rows.c.eqNullSafe(nodes.c)).filter(F.col("a") < F.col("id")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    sized = nodes.join(nodes.groupBy("w").agg(F.count("*").alias("n")), "w")
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    dealt = sized.withColumn("__n", parts).withColumn("__g", F.pmod(F.xxhash64("t", "c"), F.col("__n")).cast("int"))
+    cells = dealt.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select("w", F.least("__g", "__k").alias("x"), F.greatest("__g", "__k").alias("y"), "__g", "id", "t", "c")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        sides = [pdf[pdf["__g"] == g].reset_index(drop=True) for g in (x, y)]
+        made = []
+        for i, j, ratio in similar_pairs(sides[0]["t"].tolist(), sides[1]["t"].tolist(), least):
+            p, q = (s.iloc[k] for s, k in zip(sides, (i, j), strict=True))
+            if (x != y or i < j) and p["c"] != q["c"]:
+                made.append((min(p["id"], q["id"]), max(p["id"], q["id"]), ratio))
+        return pd.DataFrame(made, columns=["a", "b", "similarity"])
+
+    return copies.unionByName(cells.groupBy("w", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}, similarity double"))
+
+
+def find_passages(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: str, item_id: str, passage: str) -> DataFrame:
+    """(doc_id, item_id) of the documents that hold a passage, both in their normal form.
+
+    A term inside a passage, neither its first nor its last, is a whole term of every text
+    that holds it: documents are found by the longest one. Passages without such a term are compared with all documents.
+    """
+    whole = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")
+    norm = passages.select(item_id, T.normalise_evidence(passage).alias("__e")).filter("__e <> ''")
+    inner = F.filter(F.slice(whole(F.col("__e")), 2, F.greatest(F.lit(0), F.size(whole(F.col("__e"))) - 2)), lambda x: F.length(x) >= 3)
+    best = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    marks = norm.select(item_id, "__e", F.coalesce(best, F.lit("")).alias("__term"))
+    own = docs.select(doc_id, F.explode(F.array_append(F.array_distinct(whole(T.normalise_evidence(doc_text))), F.lit(""))).alias("__term"))
+    hits = own.join(marks.select("__term").distinct(), "__term", "left_semi").join(marks.select("__term", item_id), "__term").select(doc_id, item_id).distinct()
+    texts = docs.select(doc_id, T.normalise_evidence(doc_text).alias("__t"))
+    return hits.join(texts, doc_id).join(norm, item_id).filter(F.col("__t").contains(F.col("__e"))).select(doc_id, item_id).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): least node reachable, by minima over neighbours with pointer jumping and a checkpoint a round."""
-    from tessera.operators.checkpoint import cut
-
     e = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct())
     labels = cut(e.select(F.col("x").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
@@ -161,7 +224,7 @@ LIMITS = {
 
 
 def score_requirements(candidates: DataFrame, requirements: DataFrame, text_col: str, tie: Sequence[str], limit: int = 5) -> DataFrame:
-    """(requirement_id, score, candidate columns, position): candidates by how many hints they hold, at most ``limit`` a requirement.
+    """(requirement_id, score, candidate columns, position): candidates by how many hints they hold, at most ``limit`` a requirement, or as many as ``LIMITS`` has for it.
 
     Requirements are a small catalogue; hints are exploded and joined to the
     candidates' own terms, so only pairs with a shared hint come about.
@@ -170,7 +233,11 @@ def score_requirements(candidates: DataFrame, requirements: DataFrame, text_col:
     own = candidates.withColumn("__term", F.explode(F.array_distinct(T.terms(text_col))))
     hit = own.join(hints, own["__term"] == hints["term"]).groupBy("requirement_id", *tie).agg(F.count("*").alias("score"))
     w = Window.partitionBy("requirement_id").orderBy(F.desc("score"), *tie)
-    return hit.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    most = F.lit(limit)
+    for name, (n, _) in LIMITS.items():
+        most = F.when(F.col("requirement_id") == name, n).otherwise(most)
+    ranked = hit.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= max(limit, *(n for n, _ in LIMITS.values())))
+    return ranked.filter(F.col("position") <= most)
 
 
 def class_points(target: Column, category: Column, role: Column, text: Column) -> Column:

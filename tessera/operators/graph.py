@@ -105,10 +105,10 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out"
             seen = seen.union(frontier)
     if found is None:
         return frontier.limit(0).select("seed", F.lit("").alias("s"), F.lit("").alias("p"), F.lit("").alias("o"))
-    found = found.select("seed", "s", "p", "o").distinct()
-    if limit is None:
-        return found
-    return found.withColumn("__k", F.row_number().over(Window.partitionBy("seed").orderBy("s", "p", "o"))).filter(F.col("__k") <= limit).drop("__k")
+    found = found.select("seed", "s", "p", "o")
+    if limit is not None:  # a dense rank counts repeated edges once, and every task keeps only the first ranks of a seed before the shuffle
+        found = found.withColumn("__k", F.dense_rank().over(Window.partitionBy("seed").orderBy("s", "p", "o"))).filter(F.col("__k") <= limit).drop("__k")
+    return found.distinct()
 
 
 def related_terms(edges: DataFrame, nodes: DataFrame, label_key: str, limit: int = 6, skip: Sequence[str] = ("narrower",)) -> DataFrame:
@@ -178,3 +178,53 @@ def embedding_text(nodes: DataFrame) -> DataFrame:
     """(uri, text): the properties in order of their keys, as one line a value."""
     entries = F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.struct(e["key"].alias("k"), F.array_join(F.array_sort(e["value"]), ", ").alias("v"))))
     return nodes.select("uri", F.array_join(F.transform(entries, lambda e: F.concat(e["k"], F.lit(": "), e["v"])), "\n").alias("text"))
+
+
+#: Types of a vocabulary's own machinery, by name.
+META_TYPES = ("Ontology", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "Restriction", "Class", "Property", "ConceptScheme")
+
+
+def import_membership(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(identifier, uri): resources of vocabularies that are nodes, each once."""
+    return members.select("identifier", "uri").join(nodes.select("uri"), "uri", "left_semi").select("identifier", "uri").distinct()
+
+
+def resources_of(membership: DataFrame) -> DataFrame:
+    """(identifier, n_resources, resources) with the sorted uris of each vocabulary."""
+    return membership.distinct().groupBy("identifier").agg(F.count("*").alias("n_resources"), F.array_sort(F.collect_list("uri")).alias("resources"))
+
+
+def scheme_profile(membership: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(identifier, rdf_type, count, relationships): types of each vocabulary's nodes, and the types of edges at either end of them; nodes without edges count too."""
+    typed = membership.distinct().join(nodes.select("uri", F.explode("rdf_types").alias("rdf_type")), "uri")
+    ends = edges.select(F.col("s").alias("uri"), "p").union(edges.select(F.col("o").alias("uri"), "p")).distinct()
+    kinds = typed.join(ends, "uri", "left").groupBy("identifier", "rdf_type").agg(F.array_sort(F.collect_set("p")).alias("relationships"))
+    return typed.groupBy("identifier", "rdf_type").agg(F.count_distinct("uri").alias("count")).join(kinds, ["identifier", "rdf_type"])
+
+
+def fetch_resources(nodes: DataFrame, uris: DataFrame, meta: Sequence[str] = META_TYPES) -> DataFrame:
+    """Nodes of a set of uris with their types but the ``meta`` ones; nodes of meta types alone are left out."""
+    kept = F.filter("rdf_types", lambda t: ~t.isin(*meta))
+    return nodes.join(uris.select(F.col(uris.columns[0]).alias("uri")).distinct(), "uri", "left_semi").withColumn("rdf_types", kept).filter(F.size("rdf_types") > 0)
+
+
+def endpoint_uris(seeds: DataFrame, statements: DataFrame) -> DataFrame:
+    """(uri): seeds and both ends of statements (s, o), each once."""
+    return seeds.select(F.col(seeds.columns[0]).alias("uri")).union(statements.select("s")).union(statements.select("o")).distinct()
+
+
+def graph_counts(triples: DataFrame) -> DataFrame:
+    """One row: distinct triples and distinct named resources among their ends."""
+    t = triples.select("s", "p", "o", "o_kind").distinct()
+    ends = t.select(F.col("s").alias("r")).union(t.filter("o_kind = 'iri'").select("o")).filter(~F.col("r").startswith("_:")).distinct()
+    return t.agg(F.count("*").alias("n_triples")).crossJoin(ends.agg(F.count("*").alias("n_resources")))  # a row by a row
+
+
+def backup(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Both tables under ``path``, replacing what is there."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def restore(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")

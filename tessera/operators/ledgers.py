@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.reports import run_matrix
 
 
 def field_ledger(paths: DataFrame, generated: DataFrame, curated: DataFrame, evidence: DataFrame, errors: DataFrame, keys: Sequence[str] = ("id", "pointer")) -> DataFrame:
@@ -44,7 +45,7 @@ def path_coverage(requirements: DataFrame, leaves: DataFrame) -> DataFrame:
     up = filled.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("pointer", "/"))), lambda n: F.array_join(F.slice(F.split("pointer", "/"), 1, n), "/"))).alias("path")).distinct()
     targets = requirements.select("requirement_id", F.explode("target_paths").alias("p")).select("requirement_id", F.regexp_replace("p", "/-$", "").alias("path"))
     hit = up.join(targets, "path").select("id", "requirement_id").distinct().withColumn("satisfied", F.lit(True))
-    every = leaves.select("id").distinct().crossJoin(F.broadcast(requirements.select("requirement_id")))  # a catalogue of a few dozen requirements
+    every = run_matrix(leaves.select("id").distinct(), requirements.select("requirement_id").distinct())
     return every.join(hit, ["id", "requirement_id"], "left").withColumn("satisfied", F.coalesce("satisfied", F.lit(False)))
 
 
@@ -98,3 +99,17 @@ def query_ledger(old: DataFrame, new: DataFrame) -> DataFrame:
     """Ledger rows (query_id, result_ids, selected_ids) after an upsert by query, with the ids that weren't selected."""
     merged = old.join(new.select("query_id").distinct(), "query_id", "left_anti").unionByName(new)
     return merged.withColumn("rejected_ids", F.array_except("result_ids", "selected_ids"))
+
+
+def rank_branches(branches: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
+    """(query_id, branch_id, score, position): branches (branch_id, slot, range_class, depth, recommended, text) of a schema for queries (query_id, text, hints), by shared words and the hints' points, those above 0, at most ``limit``.
+
+    Ties keep the order of the branches. A schema has a few hundred branches, which is checked.
+    """
+    from tessera.operators.placement import branch_points
+
+    every = run_matrix(queries, branches.select("branch_id", "slot", "range_class", "depth", "recommended", F.col("text").alias("__text")))
+    shared = F.size(F.array_intersect(F.array_distinct(T.query_terms("text")), T.query_terms("__text")))
+    scored = every.withColumn("score", branch_points(F.col("hints"), F.col("slot"), F.col("range_class"), F.col("depth"), F.col("recommended"), shared)).filter("score > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "branch_id")
+    return scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit).select("query_id", "branch_id", "score", "position")

@@ -25,7 +25,7 @@ def grade(df: DataFrame, line_col: str = "line", config: T.QualityConfig = T.Qua
     stripped = df.withColumn("__s", F.coalesce(T.strip(line_col), F.lit("")))
     counted = stripped.withColumns({
         "__n": F.length("__s"), "__letters": T.matches("__s", r"\p{L}"), "__digits": T.matches("__s", r"\p{Nd}"), "__spaces": T.matches("__s", r"\s"),
-        "__alnum": T.matches("__s", r"[\p{L}\p{N}]"), "__words": F.transform(F.regexp_extract_all(s, F.lit(r"\p{L}[\p{L}'\-]+"), 0), lambda w: F.length(w)),
+        "__alnum": T.matches("__s", r"[\p{L}\p{N}]"), "__words": F.transform(F.regexp_extract_all(s, F.lit(T.WORD), F.lit(0)), lambda w: F.length(w)),
     })
     words, space = F.size("__words"), share("__spaces")
     mean = F.when(words > 0, F.aggregate("__words", F.lit(0), lambda a, w: a + w) / words).otherwise(0.0)
@@ -41,7 +41,7 @@ def grade(df: DataFrame, line_col: str = "line", config: T.QualityConfig = T.Qua
         ((n >= 80) & s.rlike(r"\S{80,}"), -0.30, "long_dense_token"),
         ((n >= 40) & s.rlike(T.HEX_LINE), -0.35, "hex_like"),
         ((n >= 80) & (F.col("__spaces") == 0) & s.rlike(T.BASE64_LINE), -0.30, "base64_like"),
-        ((space < 0.05) & (T.char_entropy("__s") >= 4.5), -0.20, "high_entropy_dense_text"),
+        (F.when(space < 0.05, T.char_entropy("__s") >= 4.5), -0.20, "high_entropy_dense_text"),
     )
     early = (
         F.when(n == 0, "empty").when(n < 2, "too_short").when(T.control_ratio("__s") > 0.02, "many_control_chars")

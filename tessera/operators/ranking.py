@@ -65,7 +65,8 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__local") + F.col("__before")).drop("__part", "__at", "__local", "__before")
 
 
-def rank_files(files: DataFrame, path_col: str, size_col: str, tie: str) -> DataFrame:
-    """Files by score, then path."""
-    scored = files.withColumn("score", path_score(F.col(path_col), F.col(size_col)))
-    return global_rank(scored, F.desc("score"), F.col(path_col), F.col(tie))
+def rank_files(files: DataFrame, path_col: str, size_col: str, tie: str, summary_col: str | None = None) -> DataFrame:
+    """Files by score, then path: the score of the path, or that of the summary where there is a column of summaries."""
+    path, size = F.col(path_col), F.col(size_col)
+    score = path_score(path, size) if summary_col is None else summary_score(F.col(summary_col), path, size)
+    return global_rank(files.withColumn("score", score), F.desc("score"), path, F.col(tie))

@@ -46,9 +46,15 @@ def path_closure(files: DataFrame, path: str) -> DataFrame:
     return up.filter("n > 1").groupBy("directory").agg(F.count("*").alias("files")).withColumn("depth", F.size(F.split("directory", "/")).cast("long"))
 
 
+#: rows of the shorter list of a run matrix, at most
+SHORT = 10_000
+
+
 def run_matrix(datasets: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every dataset with every configuration (two short lists)."""
-    return datasets.crossJoin(configs)
+    """Every dataset with every configuration; ValueError where there are more than ``SHORT`` configurations."""
+    if configs.limit(SHORT + 1).count() > SHORT:
+        raise ValueError(f"more than {SHORT} configurations")
+    return datasets.crossJoin(F.broadcast(configs))  # its size is checked above
 
 
 def pair_status(pairs: DataFrame, compatible: DataFrame, kind: str, unit: str) -> DataFrame:

@@ -25,10 +25,11 @@ def vector_top_k(df: DataFrame, id_col: str, vector_col: str, query: Sequence[fl
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def inverted_index(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, id, tf) and lengths (id, n_terms)."""
+def inverted_index(df: DataFrame, id_col: str, text_col: str, terms: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, id, tf), of ``terms`` alone if given, and lengths (id, n_terms)."""
     words = df.select(F.col(id_col).alias("id"), T.search_words(text_col).alias("words"))
-    postings = words.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    kept = F.col("words") if terms is None else F.filter("words", lambda w: w.isin(*terms))
+    postings = words.select("id", F.explode(kept).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
     return postings, words.select("id", F.size("words").cast("long").alias("n_terms"))
 
 
@@ -48,7 +49,8 @@ def full_text_top_k(df: DataFrame, id_col: str, text_col: str, query: str, k: in
     """(id, score, rank) by BM25 of ``query``'s words."""
     import re
 
-    best = bm25(*inverted_index(df, id_col, text_col), re.findall(r"\w+", query.lower())).orderBy(F.desc("score"), "id").limit(k)
+    wanted = sorted(set(re.findall(r"\w+", query.lower())))
+    best = bm25(*inverted_index(df, id_col, text_col, wanted), wanted).orderBy(F.desc("score"), "id").limit(k)
     if members is not None:
         best = best.join(members.select(F.col(members.columns[0]).alias("id")).distinct(), "id", "left_semi")
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))

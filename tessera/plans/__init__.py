@@ -1,4 +1,4 @@
 """All queries of the engine's own operators, by name."""
 
-from tessera.plans import chunks, documents, evidence, overview, reports, search, text  # noqa: F401
+from tessera.plans import chunks, curation, documents, evidence, files, overview, reports, search, selection, text  # noqa: F401
 from tessera.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -53,22 +53,32 @@ def numeric_run_filter(spark, sf):
     return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("line_no").alias("checksum"))
 
 
-@query(
-    f"""WITH RECURSIVE {_LINES}, t AS (SELECT doc_id, line_no, CAST(ceil((length(line) + 1) / 4) AS BIGINT) AS n FROM lines),
+_PACKED = f"""WITH RECURSIVE {_LINES}, t AS (SELECT doc_id, line_no, length(line) + 1 AS chars, CAST(ceil((length(line) + 1) / 4) AS BIGINT) AS n FROM lines),
     p AS (SELECT doc_id, line_no, CASE WHEN n > {BUDGET} THEN 0 ELSE n END AS open, CAST(0 AS BIGINT) AS chunk, CAST(CASE WHEN n > {BUDGET} THEN 1 ELSE 0 END AS BIGINT) AS nxt FROM t WHERE line_no = 0
       UNION ALL SELECT t.doc_id, t.line_no, CASE WHEN t.n > {BUDGET} THEN 0 WHEN p.open > 0 AND p.open + t.n > {BUDGET} THEN t.n ELSE p.open + t.n END,
         CAST(p.nxt + CASE WHEN p.open > 0 AND p.open + t.n > {BUDGET} THEN 1 ELSE 0 END AS BIGINT), CAST(p.nxt + CASE WHEN p.open > 0 AND p.open + t.n > {BUDGET} THEN 1 ELSE 0 END + CASE WHEN t.n > {BUDGET} THEN 1 ELSE 0 END AS BIGINT)
-        FROM p JOIN t ON t.doc_id = p.doc_id AND t.line_no = p.line_no + 1)
-    SELECT p.doc_id, CAST(chunk AS INTEGER) AS chunk_no, min(p.line_no) AS start, max(p.line_no) AS "end", count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS tokens FROM p JOIN t ON p.doc_id = t.doc_id AND p.line_no = t.line_no GROUP BY ALL"""
+        FROM p JOIN t ON t.doc_id = p.doc_id AND t.line_no = p.line_no + 1)"""
+
+
+@query(
+    f"""{_PACKED} SELECT p.doc_id, CAST(chunk AS INTEGER) AS chunk_no, min(p.line_no) AS start, max(p.line_no) AS "end", count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS tokens FROM p JOIN t ON p.doc_id = t.doc_id AND p.line_no = t.line_no GROUP BY ALL"""
 )
 def fixed_token_chunks(spark, sf):
     return C.pack(explode_lines(table(spark, sf, "documents")), BUDGET).drop("content")
 
 
-@query()
+@query(
+    f"""{_PACKED}, c AS (SELECT p.doc_id, chunk, min(p.line_no) AS a, max(p.line_no) AS b, count(*) AS lines, CAST(sum(t.chars) AS BIGINT) AS chars FROM p JOIN t ON p.doc_id = t.doc_id AND p.line_no = t.line_no GROUP BY ALL),
+    st AS (SELECT doc_id, list(struct_pack(a := a, b := b, lines := lines, chars := chars, src := CAST(1 AS BIGINT)) ORDER BY a) AS ps, CAST(1 AS BIGINT) AS pos FROM c GROUP BY doc_id
+      UNION ALL SELECT doc_id, CASE WHEN k IS NULL THEN ps ELSE list_concat(list_concat(ps[1:k - 1], [struct_pack(a := ps[k].a, b := ps[k + 1].b, lines := ps[k].lines + ps[k + 1].lines, chars := ps[k].chars + ps[k + 1].chars, src := ps[k].src + ps[k + 1].src)]), ps[k + 2:]) END,
+        CASE WHEN k IS NULL THEN pos + 1 ELSE greatest(1, k - 1) END
+      FROM (SELECT doc_id, ps, pos, CASE WHEN ceil(ps[pos].chars / 4) < {LEAST} THEN CASE WHEN pos > 1 AND ceil((ps[pos - 1].chars + ps[pos].chars) / 4) <= {BUDGET * 2} THEN pos - 1 WHEN pos < len(ps) AND ceil((ps[pos].chars + ps[pos + 1].chars) / 4) <= {BUDGET * 2} THEN pos END END AS k FROM st WHERE pos <= len(ps))),
+    f AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS chunk_no FROM st WHERE pos > len(ps))
+    SELECT doc_id, chunk_no, x.a AS start, x.b AS "end", x.lines AS n_lines, CAST(ceil(x.chars / 4) AS BIGINT) AS tokens, x.src AS source_chunk_count, CASE WHEN x.src > 1 THEN 'min_token_merge' ELSE '' END AS operations FROM f"""
+)
 def min_token_merge(spark, sf):
     lines = explode_lines(table(spark, sf, "documents"))
-    return C.post_process(C.pack(lines, BUDGET), lines, LEAST, BUDGET * 2, GAP)
+    return C.post_process(C.pack(lines, BUDGET), lines, LEAST, BUDGET * 2, GAP).withColumn("operations", F.array_join("operations", ","))
 
 
 @query(

@@ -65,7 +65,10 @@ def jsonld_triples(spark, sf):
     return D.to_triples(D.leaf_paths(_orders(spark, sf), "id", "doc"), "urn:order:", {"priority": "urn:p:priority", "status": "urn:p:status"})
 
 
-@query()
+@query(
+    """WITH g AS (SELECT l_orderkey, lower(l_returnflag) AS label, l_discount AS v, min(l_linenumber) AS first FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY first, label, v) - 1 AS n FROM g)
+    SELECT l.l_orderkey, l_linenumber, k.label, l_discount AS value, k.n AS "group" FROM lineitem l JOIN k ON k.l_orderkey = l.l_orderkey AND k.label = lower(l_returnflag) AND k.v = l_discount"""
+)
 def attribute_groups(spark, sf):
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.normalise_label("l_returnflag").alias("label"), F.col("l_discount").alias("value"))
     return D.group_attributes(items, "l_orderkey", "l_linenumber", "label", "value")

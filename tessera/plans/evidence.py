@@ -85,12 +85,7 @@ def merged_contexts(spark, sf):
 )
 def supported_evidence(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("evidence"))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    # rare terms find the documents a passage may stand in; containment decides
-    marks = b.select("item_id", "evidence", F.element_at(F.array_sort(T.terms("evidence"), lambda x, y: F.when(F.length(x) > F.length(y), -1).when(F.length(x) < F.length(y), 1).when(x < y, -1).when(x > y, 1).otherwise(0)), 1).alias("term"))
-    words = d.select("doc_id", F.explode(F.array_distinct(T.terms("text"))).alias("term"))
-    hits = words.join(marks, "term").join(d, "doc_id")
-    return hits.filter(T.normalise_evidence("text").contains(T.normalise_evidence("evidence")) & (T.normalise_evidence("evidence") != "")).select("doc_id", "item_id").distinct()
+    return E.find_passages(table(spark, sf, "documents").select("doc_id", "text"), b, "doc_id", "text", "item_id", "evidence")
 
 
 @query(

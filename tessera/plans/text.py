@@ -16,7 +16,7 @@ _CONTROLS = _COUNT(r"\p{C}") + " - " + _COUNT(r"[\t\n\r]")
 _QUALITY = rf"""{_LINES},
 st AS (SELECT doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM lines),
 f AS (SELECT *, length(s) AS n, {_LETTERS} AS letters, {_DIGITS} AS digits, {_SPACES} AS spaces, {_ALNUM} AS alnum, {_CONTROLS} AS controls,
-  regexp_extract_all(s, '\p{{L}}[\p{{L}}''\-]+') AS words, string_split(s, '') AS chars FROM st),
+  regexp_extract_all(s, '[\p{{L}}\p{{Nl}}\p{{No}}]{{2,}}') AS words, string_split(s, '') AS chars FROM st),
 g AS (SELECT *, len(words) >= 3 AS a1, letters / n >= 0.25 AS a2, spaces / n >= 0.08 AS a3, coalesce(list_sum(list_transform(words, lambda w: length(w))) / len(words), 0) >= 3 AS a4,
   n <= 300 AND (regexp_matches(s, '^\s*[-*•]\s+\S+') OR regexp_matches(s, '^\s*#{{1,6}}\s+\S+') OR regexp_matches(s, '^\s*[A-Za-z0-9_#.\-$ ]{{2,80}}\s*[:=]\s*\S+') OR regexp_matches(s, '^\s*"?[A-Za-z0-9_#.\-$ ]+"?\s*:\s*') OR regexp_matches(s, '^\s*\S.*?\s{{2,}}\S.*$')) AS a5,
   digits / n >= 0.45 AS b1, (n - alnum - spaces) / n >= 0.45 AS b2, spaces / n < 0.02 AND n > 60 AS b3, regexp_matches(s, '\S{{80,}}') AS b4, regexp_matches(s, '^[0-9a-fA-F\s:,-]{{40,}}$') AS b5, regexp_matches(s, '^[A-Za-z0-9+/=_-]{{80,}}$') AND spaces = 0 AS b6,
@@ -48,7 +48,8 @@ def line_quality_reasons(spark, sf):
 )
 def doc_char_entropy(spark, sf):
     docs = table(spark, sf, "documents").filter("text <> ''")
-    return docs.select("doc_id", F.round(T.char_entropy("text"), 6).alias("entropy"), F.size(F.filter(F.array_distinct(F.split("text", "")), lambda c: c != "")).cast("long").alias("n_kinds"))
+    runs = docs.select("doc_id", F.length("text").alias("n"), T.char_runs("text").alias("runs"))
+    return runs.select("doc_id", F.round(T.entropy_of(F.col("runs"), F.col("n")), 6).alias("entropy"), F.size("runs").cast("long").alias("n_kinds"))
 
 
 @query(

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.office import pdf_text, sheets_of, sheets_text
 
 MEMBERS = "archive string, file_path string, file_name string, file_extension string, raw_content binary, error string"
-DEPTH = 8
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -22,27 +22,53 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "content")
 
 
-def zip_members(data: bytes, above: str = "", depth: int = DEPTH) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """(path, content, error) of the members of an archive and of archives inside it, whose members stand under their path."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        yield above.rstrip("/"), None, f"not an archive: {e}"
+def zip_members(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(path, content, error) of the members of an archive and, at any depth, of archives inside it, whose members stand under their path.
+
+    One archive at each level is open at a time.
+    """
+
+    def opened(data: bytes) -> tuple[zipfile.ZipFile | None, str | None]:
+        try:
+            return zipfile.ZipFile(io.BytesIO(data)), None
+        except zipfile.BadZipFile as e:
+            return None, f"not an archive: {e}"
+
+    archive, error = opened(data)
+    if archive is None:
+        yield "", None, error
         return
-    with archive:
-        for info in archive.infolist():
-            if info.is_dir():
-                continue
-            path = above + info.filename
-            try:
-                content = archive.read(info)
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
-                yield path, None, str(e)
-                continue
-            if path.lower().endswith(".zip") and depth > 0:
-                yield from zip_members(content, path + "/", depth - 1)
-            else:
-                yield path, content, None
+    todo = [("", archive, iter(archive.infolist()))]
+    while todo:
+        above, archive, members = todo[-1]
+        info = next(members, None)
+        if info is None:
+            archive.close()
+            todo.pop()
+            continue
+        if info.is_dir():
+            continue
+        path = above + info.filename
+        try:
+            content = archive.read(info)
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+            yield path, None, str(e)
+            continue
+        if not path.lower().endswith(".zip"):
+            yield path, content, None
+            continue
+        inner, error = opened(content)
+        if inner is None:
+            yield path, None, error
+        else:
+            todo.append((path + "/", inner, iter(inner.infolist())))
+
+
+def archive_stem(name: str) -> str:
+    """The name of an archive without its ending; ValueError for other names."""
+    if not name.lower().endswith(".zip") or len(name) <= 4:
+        raise ValueError(f"not the name of an archive: {name!r}")
+    return name[:-4]
 
 
 def read_archives(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -97,34 +123,39 @@ def without_numeric_runs(rows: list[list[str]]) -> list[list[str]]:
 
 
 def text_of(content: bytes | None, file_name: str) -> str | None:
-    """A file's text: tables as CSV under a heading and without their numeric runs, images as a placeholder, the rest decoded."""
+    """A file's text: tables as CSV under a heading and without their numeric runs, PDF pages one after the other, images as a placeholder, the rest decoded. ValueError where a file isn't what its name says."""
     if content is None:
         return None
     ext = file_name.rsplit(".", 1)[-1].lower() if "." in file_name else ""
     if ext in T.FILE_TYPES["image"]:
         return f"[image: {file_name}]"
-    if ext in T.FILE_TYPES["pdf"] or ext in ("xls", "xlsx", "ods"):
-        return None
+    if ext in T.FILE_TYPES["pdf"]:
+        return pdf_text(content)
+    if ext in ("xlsx", "xlsm", "ods", "xls"):
+        return sheets_text(sheets_of(content, ext), lambda rows: without_numeric_runs(rows))
     for coding in ("utf-8-sig", "cp1252", "latin-1"):
         try:
             text = content.decode(coding)
             break
         except UnicodeDecodeError:
             continue
-    if ext == "csv":
-        out = io.StringIO()
-        csv.writer(out, lineterminator="\n").writerows(without_numeric_runs(rows_of_table(text)))
-        return f"Sheet 1/1: {file_name}\n{out.getvalue()}"
-    return text
+    return sheets_text([(file_name.split(".")[0], rows_of_table(text))], without_numeric_runs) if ext == "csv" else text
 
 
 def with_text(members: DataFrame) -> DataFrame:
-    """Members with ``text``; PDF and spreadsheet files need a library that isn't there and give null."""
+    """Members with ``text``; where a file can't be read that is null and ``error`` says why."""
 
-    def f(content: pd.Series, name: pd.Series) -> pd.Series:
-        return pd.Series([text_of(None if c is None else bytes(c), n) for c, n in zip(content, name, strict=True)], dtype=object)
+    def f(content: pd.Series, name: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, n in zip(content, name, strict=True):
+            try:
+                rows.append((text_of(None if c is None else bytes(c), n), None))
+            except ValueError as e:
+                rows.append((None, str(e)))
+        return pd.DataFrame(rows, columns=["text", "error"])
 
-    return members.withColumn("text", F.pandas_udf(f, "string")("raw_content", "file_name"))
+    made = members.withColumn("__t", F.pandas_udf(f, "text string, error string")("raw_content", "file_name"))
+    return made.withColumn("text", F.col("__t.text")).withColumn("error", F.coalesce("error", F.col("__t.error"))).drop("__t")
 
 
 def point_lookup(members: DataFrame, path: str) -> DataFrame:

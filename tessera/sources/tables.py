@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,23 @@ def load(spark: SparkSession, path: str, **partition: str) -> DataFrame:
     return df
 
 
+def safe_part(part: str) -> str:
+    """One component of a path: separators and reserved characters become underscores; ``name=value`` keeps its sign. Raises ValueError for ``.``, ``..`` and empty parts."""
+    name, sign, value = part.partition("=")
+    made = "=".join(re.sub(r'[<>:"/\\|?*]', "_", x) for x in ((name, value) if sign else (name,)))
+    if made in ("", ".", "..") or sign and not name:
+        raise ValueError(f"not a path component: {part!r}")
+    return made
+
+
 def clear(spark: SparkSession, path: str, *below: str) -> bool:
-    """Delete a table or a partition folder; whether there was one. Path parts are made safe first."""
-    safe = [spark.createDataFrame([(p,)], "p string").select(T.sanitise_path("p")).first()[0] if "=" not in p else p for p in below]
+    """Delete a table or a partition folder; whether there was one. What is named in ``below`` never leads out of ``path``."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *safe]))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root, target = fs.makeQualified(root), fs.makeQualified(jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *map(safe_part, below)])))
+    if target.toString() != root.toString() and not target.toString().startswith(root.toString().rstrip("/") + "/"):
+        raise ValueError(f"{target} is not below {root}")
     return bool(fs.exists(target) and fs.delete(target, True))
 
 
@@ -43,7 +56,9 @@ def append_numbered(spark: SparkSession, df: DataFrame, path: str, operation: st
 
     try:
         last = spark.read.parquet(path).groupBy(operation).agg(F.max("sequence").alias("__last"))
-    except Exception:  # noqa: BLE001  (no table yet)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         last = spark.createDataFrame([], df.select(operation).schema.add("__last", "long"))
     w = Window.partitionBy(operation).orderBy(*[c for c in df.columns if c != operation])
     numbered = df.withColumn("__n", F.row_number().over(w)).join(last, operation, "left")

@@ -205,7 +205,7 @@ def test_archives(spark, tmp_path):
     members = archives.read_archives(archives.read_files(spark, str(tmp_path), "*.zip"))
     got = {r.file_path: r for r in archives.with_text(members).collect() if r.error is None}
     assert set(got) == {"d/t.csv", "in.zip/deep.txt", "noext"} and got["in.zip/deep.txt"].text == "hi"
-    assert got["d/t.csv"].text == "Sheet 1/1: t.csv\na,b\n1,2\n5,6\nx,y\n" and members.filter("error is not null").count() == 1
+    assert got["d/t.csv"].text == "Sheet1/1: t\n\na,b\n1,2\n5,6\nx,y\n" and members.filter("error is not null").count() == 1
     assert archives.packages(members).first().n_files == 3 and len(archives.packages(members).first().data_package_id) == 8
     assert {r.file_type for r in archives.inventory(members).filter("error is null").collect()} == {"table", "plain_text"}
     with pytest.raises(ValueError):
