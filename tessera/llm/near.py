@@ -8,14 +8,14 @@ only, never the result. Bits of parity, which differ in no more places than the
 sets do, sift the pairs before whole sets are fetched. Of the sets under one element all are
 compared with a few of them, the pivots, which are then done; what is in one component
 by then needs no more comparison, and the others go on to the next round with
-twice as many pivots. So no round pairs a group with itself, and a large group
+``GROWTH`` times as many pivots. So no round pairs a group with itself, and a large group
 of near copies, whose components soon meet, is not paired with itself at all.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import xxhash
@@ -31,6 +31,8 @@ SHINGLE, SEED, LEAST = 5, 42, (4, 5)
 FREQUENT, SAMPLE, FLOOR = 2048, 32, 3
 #: 64-bit words of parity bits of a set
 PARITY = 16
+#: by how much the number of pivots grows from round to round
+GROWTH = 8
 #: so many ids at most are broadcast to fetch the texts of pairs
 BROADCAST = 100_000
 
@@ -70,16 +72,16 @@ def similar(common: int, n: int, m: int, least: tuple[int, int] = LEAST) -> bool
     return common * (least[0] + least[1]) >= least[0] * (n + m)
 
 
-def families(docs: Sequence[Sequence[bytes]]) -> list[int]:
-    """A number for each of ``docs`` (word lists, in memory) that linked near copies share."""
-    head = list(range(len(docs)))
+def families(docs: Iterable[Sequence[bytes]]) -> list[int]:
+    """A number for each of ``docs`` (word lists, taken one after the other) that linked near copies share."""
+    sets = [shingles(d) for d in docs]
+    head = list(range(len(sets)))
 
     def find(i: int) -> int:
         while head[i] != i:
             head[i] = i = head[head[i]]
         return i
 
-    sets = [shingles(d) for d in docs]
     frequent, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.int64),) * 2
     under: dict[int, list[int]] = {}
     for i, own in enumerate(sets):
@@ -90,7 +92,7 @@ def families(docs: Sequence[Sequence[bytes]]) -> list[int]:
                 if tried[j] == 1 and find(i) != find(j) and similar(len(np.intersect1d(own, sets[j], True)), len(own), len(sets[j])):
                     head[find(i)] = find(j)
             under[key].append(i)
-    return [find(i) for i in range(len(docs))]
+    return [find(i) for i in range(len(sets))]
 
 
 def _frequent(df: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +193,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             links = links.union(found) if links else found
             roots = connected_components(links)
         tried = tried.union(pairs) if tried else pairs
-        live, pivots = rooted.filter("not pivot").select("token", "node", "n"), 2 * pivots
+        live, pivots = rooted.filter("not pivot").select("token", "node", "n"), GROWTH * pivots
     if roots is None:
         rooted = nodes.select("node", "least", F.col("node").alias("root"))
     else:

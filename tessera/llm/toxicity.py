@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +33,11 @@ ROUNDS, RATE, DECAY = 16, 1.5, 1e-5
 #: a word is labelled toxic from this log-likelihood ratio on, if so many of its documents are toxic
 EVIDENCE, PURITY = 8.0, 0.9
 _WORD = re.compile(r"[^\W_]+")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: added to an expected number before its logarithm; bound of the largest marginal's logarithm of odds
 FEW, LARGEST = 0.02, 12.0
-#: rows whose chains are run together
-TOGETHER = 1024
+#: rows whose chains are run together, and cells (places by rows) of one run
+TOGETHER, CELLS = 1024, 1 << 19
 
 
 def fold(text: str) -> str:
@@ -50,39 +50,42 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall(fold(text or ""))
 
 
+def word_key(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+
+
 def shape_features(word: str) -> list[str]:
     """Features of a word that other words share: digits and length, and the ends of longer words."""
     out = [f"#{any(c.isdigit() for c in word):d}{min(len(word) // 4, 4)}"]
     return [*out, "<" + word[:3], ">" + word[-3:]] if len(word) > 4 else out
 
 
-def families(docs: Sequence[tuple[list[str], int]]) -> list[int]:
+def families(docs: Iterable[Sequence[str]]) -> list[int]:
     """A number for each document that near copies among ``docs`` share (all pairs of like shingles, compared exactly): copies are no further evidence."""
-    return near.families([[w.encode("utf-8", "replace") for w in words] for words, _ in docs])
-
-
-def toxic_words(docs: Sequence[tuple[list[str], int]]) -> set[str]:
-    """Words whose documents are toxic far more often than all are; near copies count as one document."""
-    seen: dict[int, dict[str, int]] = {}
-    for family, (words, label) in zip(families(docs), docs, strict=True):
-        own = seen.setdefault(family, {})
-        for w in set(words):
-            own[w] = min(own.get(w, 1), label)
-    counts, n1 = (Counter(), Counter()), 0
-    for own in seen.values():
-        n1 += any(own.values())
-        for w, label in own.items():
-            counts[label][w] += 1
-    rate = n1 / max(1, len(seen))
-    out = set()
-    for w, a in counts[1].items():
-        n = a + counts[0][w]
-        p = a / n
-        if p >= PURITY and 0 < rate < p:
-            ratio = a * math.log(p / rate) + ((n - a) * math.log((1 - p) / (1 - rate)) if a < n else 0.0)
-            if ratio >= EVIDENCE:
-                out.add(w)
-    return out
+    return near.families([w.encode("utf-8", "replace") for w in words] for words in docs)
+
+
+def toxic_words(docs: Sequence[np.ndarray], labels: Sequence[int], names: Sequence[str]) -> np.ndarray:
+    """For each of ``names`` whether its documents (of word numbers) are toxic far more often than all are; near copies count as one document, which has a word as toxic only if all its copies do."""
+    own = np.array(families([names[i] for i in ids.tolist()] for ids in docs), np.int64)
+    pairs, label = [], []
+    for ids, family, toxic in zip(docs, own, labels, strict=True):
+        pairs.append(family * len(names) + np.unique(ids))
+        label.append(np.full(len(pairs[-1]), toxic, np.int8))
+    pair, tag = np.concatenate(pairs), np.concatenate(label)
+    order = np.lexsort((tag, pair))
+    pair, tag = pair[order], tag[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))  # of a family and word, with the least label
+    pair, tag = pair[first], tag[first].astype(float)
+    n = np.bincount(pair % len(names), minlength=len(names))
+    toxic = np.bincount(pair % len(names), tag, minlength=len(names))
+    rate = len(np.unique(pair[tag > 0] // len(names))) / len(np.unique(own))
+    if not 0 < rate < 1:
+        return np.zeros(len(names), bool)
+    p = toxic / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = toxic * np.log(p / rate) + np.where(p < 1, (n - toxic) * np.log((1 - p) / (1 - rate)), 0.0)
+    return (p >= PURITY) & (p > rate) & (ratio >= EVIDENCE)
 
 
 def forward_backward(odds: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
@@ -125,9 +128,10 @@ def summary(marginals: np.ndarray) -> list[float]:
 
 @dataclass
 class ChainModel:
-    """Weights of words (as the token, as the one before, as the one after) and of shapes, transition weights, and the regression of the scores."""
+    """Weights of words (as the token, as the one before, as the one after; by the sorted 64-bit hashes of the words, so that workers hold few objects) and of shapes, transition weights, and the regression of the scores."""
 
-    words: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.empty((0, 3), np.float32))
     shapes: dict[str, float] = field(default_factory=dict)
     trans: np.ndarray = field(default_factory=lambda: np.ones((2, 2)))
     slopes: np.ndarray = field(default_factory=lambda: np.zeros(3))
@@ -150,7 +154,9 @@ class ChainModel:
         k = self.place[word] = len(self.place)
         if k >= len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        own, before, after = self.words.get(word, (0.0, 0.0, 0.0))
+        key = np.uint64(word_key(word))
+        at = int(np.searchsorted(self.keys, key))
+        own, before, after = self.weights[at] if at < len(self.keys) and self.keys[at] == key else (0.0, 0.0, 0.0)
         self.table[k] = own + sum(self.shapes.get(f, 0.0) for f in shape_features(word)), before, after
         return k
 
@@ -186,11 +192,11 @@ class ChainModel:
 
 
 def _alike(order: Sequence[int], sizes: Sequence[int], most: int = 256):
-    """Runs of ``order`` (by size) of at most ``most`` documents and 2 million cells, with their sizes."""
+    """Runs of ``order`` (by size) of at most ``most`` documents and ``CELLS`` cells, with their sizes."""
     at = 0
     while at < len(order):
         end = min(len(order), at + most)
-        while end > at + 1 and sizes[order[end - 1]] * (end - at) > 1 << 21:
+        while end > at + 1 and sizes[order[end - 1]] * (end - at) > CELLS:
             end = (at + end) // 2
         yield order[at:end], np.array([sizes[i] for i in order[at:end]])
         at = end
@@ -208,13 +214,12 @@ def fit(labelled: Sequence[tuple[str | None, int]]) -> ChainModel:
             docs.append(np.array([place.setdefault(w, len(place)) for w in words], np.int32))
             kept.append(label)
     names = list(place)
-    bad = toxic_words([([names[i] for i in ids.tolist()], label) for ids, label in zip(docs, kept, strict=True)])
-    if not bad:
+    is_bad = toxic_words(docs, kept, names).astype(float) if docs else np.empty(0)
+    if not is_bad.any():
         return ChainModel()
     shape_of: dict[str, int] = {}
-    each = [[shape_of.setdefault(f, len(shape_of)) for f in shape_features(w)] for w in names]
-    owner, flat = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.array([f for x in each for f in x])
-    is_bad = np.array([w in bad for w in names], float)
+    each = [np.array([shape_of.setdefault(f, len(shape_of)) for f in shape_features(w)], np.int32) for w in names]
+    owner, flat = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), np.concatenate(each)
     sizes = [len(x) for x in docs]
     groups = list(_alike(sorted(range(len(docs)), key=lambda i: sizes[i]), sizes))
     gold, positive = np.zeros((2, 2)), 0.0
@@ -255,8 +260,10 @@ def fit(labelled: Sequence[tuple[str | None, int]]) -> ChainModel:
         grad_t = (gold - pairs) / positive
         square_t += grad_t * grad_t
         log_trans = np.clip(log_trans + RATE / 2 * grad_t / np.sqrt(square_t), -3, 3)
-    triples = np.round(np.stack(weights[:3], 1), 4).tolist()
-    model = ChainModel(dict(zip(names, map(tuple, triples), strict=True)), dict(zip(shape_of, weights[3].tolist(), strict=True)), np.exp(log_trans))
+    keys = np.array([word_key(w) for w in names], np.uint64)
+    order = np.argsort(keys)
+    model = ChainModel(keys[order], np.stack(weights[:3], 1).astype(np.float32)[order], dict(zip(shape_of, weights[3].tolist(), strict=True)), np.exp(log_trans))
+    del docs, names, place, weights, squares, groups, each, owner, flat
     x = []
     for a in range(0, len(labelled), TOGETHER):
         x += [summary(p) for p in model.marginals([t for t, _ in labelled[a : a + TOGETHER]])]

@@ -84,7 +84,8 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxic_scores_against_brute_force():
-    model = toxicity.ChainModel({"bad": (2.0, 0.5, -0.25), "day": (-1.0, 0.1, 0.3)}, {"#00": -0.5, "#01": 0.25, "<aff": 0.125, ">xed": -0.125}, np.array([[1.5, 0.5], [0.75, 2.0]]), np.array([0.7, 0.2, -0.3]), -1.0)
+    keys = {toxicity.word_key("bad"): (2.0, 0.5, -0.25), toxicity.word_key("day"): (-1.0, 0.1, 0.3)}
+    model = toxicity.ChainModel(np.array(sorted(keys), np.uint64), np.array([keys[k] for k in sorted(keys)], np.float32), {"#00": -0.5, "#01": 0.25, "<aff": 0.125, ">xed": -0.125}, np.array([[1.5, 0.5], [0.75, 2.0]]), np.array([0.7, 0.2, -0.3]), -1.0)
     for text in ("bad day", "A affixed Bad bad day!", "bad", "", None, "day " * 40 + "bad"):
         words = re.findall(r"[^\W_]+", (text or "").lower())
         shape = {"bad": -0.5, "day": -0.5, "a": -0.5, "affixed": 0.25 + 0.125 - 0.125}
