@@ -57,6 +57,30 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+# Parts of the queries above that SQL can express, so that they can be compared with it.
+
+
+def llm_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 reads back from its streams."""
+    return op1_transport_stream(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and rules of op4, and its verdicts where a rule judged."""
+    found = op4_url_language_models(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def llm_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op5."""
+    return op5_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def llm_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and phrases of op10."""
+    return op10_license_templates(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,13 +94,37 @@ QUERIES = {
         op8_simhash_grid,
         op9_language_ppm,
         op10_license_templates,
+        llm_payloads,
+        llm_url_rules,
+        llm_mix_targets,
+        llm_license_phrases,
     )
 }
 
+_FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+
 ORACLES = {
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g USING (t)""",
+    "llm_payloads": """
+        WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), p AS (SELECT *, octet_length(b) AS n, CASE WHEN octet_length(b) = 0 THEN 64 ELSE (64 - octet_length(b) % 64) % 64 END AS pad FROM n)
+        SELECT doc_id, n AS n_bytes, n + pad AS payload_bytes, sha256(b || unhex(repeat('00', pad))) AS payload_sha256 FROM p""",
+    "llm_url_rules": f"""
+        WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r),
+        k AS (SELECT *, CASE WHEN {_FITS.format(h="example.net", p="/en/")} THEN 'example.net/en/' WHEN {_FITS.format(h="example.com", p="/de/")} THEN 'example.com/de/' WHEN {_FITS.format(h="org", p="/fr/")} THEN 'org/fr/' WHEN {_FITS.format(h="net", p="/")} THEN 'net/' END AS rule FROM h)
+        SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM k""",
+    "llm_mix_targets": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS sz, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+        w AS (SELECT *, [5.0, 2.0, 1.0][(k - 1) % 3 + 1] AS w FROM s), o AS (SELECT *, sum(sz) OVER () - coalesce(sum(3 * sz) OVER (ORDER BY 3 * sz / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_, sum(w) OVER (ORDER BY 3 * sz / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, row_number() OVER (ORDER BY 3 * sz / w, k) AS place FROM w),
+        u AS (SELECT arg_min(CAST(left_ AS DOUBLE) / CAST(w_left AS DOUBLE), place) AS level FROM o WHERE CAST(left_ AS DOUBLE) / CAST(w_left AS DOUBLE) <= 3 * sz / CAST(w AS DOUBLE))
+        SELECT doc_id, size, sz AS source_size, round(least(3.0 * sz, coalesce(level, 0) * CAST(w AS DOUBLE)), 3)::DOUBLE AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, u""",
+    "llm_license_phrases": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, len(w) AS n, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS c, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS r FROM w)
+        SELECT doc_id, n AS n_words, len(c) + len(g) + len(r) AS n_base, list_min(list_concat(c, g, r)) - 1 AS first_word, list_max(list_concat(c, g, r)) - 1 AS last_word,
+        concat_ws(',', CASE WHEN len(c) > 0 THEN 'cc-by' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(r) > 0 THEN 'reserved' END) AS base_labels FROM p""",
 }
