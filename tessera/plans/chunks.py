@@ -67,14 +67,20 @@ def fixed_token_chunks(spark, sf):
     return C.pack(explode_lines(table(spark, sf, "documents")), BUDGET).drop("content")
 
 
-@query(
-    f"""{_PACKED}, c AS (SELECT p.doc_id, chunk, min(p.line_no) AS a, max(p.line_no) AS b, count(*) AS lines, CAST(sum(t.chars) AS BIGINT) AS chars FROM p JOIN t ON p.doc_id = t.doc_id AND p.line_no = t.line_no GROUP BY ALL),
-    st AS (SELECT doc_id, list(struct_pack(a := a, b := b, lines := lines, chars := chars, src := CAST(1 AS BIGINT)) ORDER BY a) AS ps, CAST(1 AS BIGINT) AS pos FROM c GROUP BY doc_id
+def merging_sql(least: int, most: int) -> str:
+    """The merge of small chunks to a fixed point over ``c`` (doc_id, a, b, lines, chars), a step a round."""
+    return f"""
+    states AS (SELECT doc_id, list(struct_pack(a := a, b := b, lines := lines, chars := chars, src := CAST(1 AS BIGINT)) ORDER BY a) AS ps, CAST(1 AS BIGINT) AS pos FROM c GROUP BY doc_id
       UNION ALL SELECT doc_id, CASE WHEN k IS NULL THEN ps ELSE list_concat(list_concat(ps[1:k - 1], [struct_pack(a := ps[k].a, b := ps[k + 1].b, lines := ps[k].lines + ps[k + 1].lines, chars := ps[k].chars + ps[k + 1].chars, src := ps[k].src + ps[k + 1].src)]), ps[k + 2:]) END,
         CASE WHEN k IS NULL THEN pos + 1 ELSE greatest(1, k - 1) END
-      FROM (SELECT doc_id, ps, pos, CASE WHEN ceil(ps[pos].chars / 4) < {LEAST} THEN CASE WHEN pos > 1 AND ceil((ps[pos - 1].chars + ps[pos].chars) / 4) <= {BUDGET * 2} THEN pos - 1 WHEN pos < len(ps) AND ceil((ps[pos].chars + ps[pos + 1].chars) / 4) <= {BUDGET * 2} THEN pos END END AS k FROM st WHERE pos <= len(ps))),
-    f AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS chunk_no FROM st WHERE pos > len(ps))
-    SELECT doc_id, chunk_no, x.a AS start, x.b AS "end", x.lines AS n_lines, CAST(ceil(x.chars / 4) AS BIGINT) AS tokens, x.src AS source_chunk_count, CASE WHEN x.src > 1 THEN 'min_token_merge' ELSE '' END AS operations FROM f"""
+      FROM (SELECT doc_id, ps, pos, CASE WHEN ceil(ps[pos].chars / 4) < {least} THEN CASE WHEN pos > 1 AND ceil((ps[pos - 1].chars + ps[pos].chars) / 4) <= {most} THEN pos - 1 WHEN pos < len(ps) AND ceil((ps[pos].chars + ps[pos + 1].chars) / 4) <= {most} THEN pos END END AS k FROM states WHERE pos <= len(ps))),
+    merged AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS chunk_no FROM states WHERE pos > len(ps))
+    SELECT doc_id, chunk_no, x.a AS start, x.b AS "end", x.lines AS n_lines, CAST(ceil(x.chars / 4) AS BIGINT) AS tokens, x.src AS source_chunk_count, CASE WHEN x.src > 1 THEN 'min_token_merge' ELSE '' END AS operations FROM merged"""
+
+
+@query(
+    f"""{_PACKED}, c AS (SELECT p.doc_id, chunk, min(p.line_no) AS a, max(p.line_no) AS b, count(*) AS lines, CAST(sum(t.chars) AS BIGINT) AS chars FROM p JOIN t ON p.doc_id = t.doc_id AND p.line_no = t.line_no GROUP BY ALL),
+{merging_sql(LEAST, BUDGET * 2)}"""
 )
 def min_token_merge(spark, sf):
     lines = explode_lines(table(spark, sf, "documents"))

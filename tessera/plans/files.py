@@ -13,6 +13,8 @@ from tessera.operators import chunking as C
 from tessera.sources import archives as A
 from tessera.sources import vocabularies as V
 from tessera.plans.base import query, table
+from tessera.plans.chunks import merging_sql
+from tessera.plans.text import _QUALITY
 
 
 def _zip(members: list[tuple[str, bytes]]) -> bytes:
@@ -160,11 +162,14 @@ def raw_addresses(spark, sf):
     return table(spark, sf, "pages").select("page_id", V.raw_address_column(url).alias("address"))
 
 
-@query()
-def chunked_documents(spark, sf):
-    return C.chunk_documents(table(spark, sf, "documents"), "fixed", 64, 16, 32)
+_KEPT = f"""WITH RECURSIVE {_QUALITY}, t AS (SELECT lines.doc_id, row_number() OVER (PARTITION BY lines.doc_id ORDER BY lines.line_no) - 1 AS i, lines.line_no, length(line) + 1 AS chars, CAST(ceil((length(line) + 1) / 4) AS BIGINT) AS n FROM lines JOIN gate ON gate.doc_id = lines.doc_id AND gate.line_no = lines.line_no WHERE kind = 'keep'),
+    p AS (SELECT doc_id, i, CASE WHEN n > 64 THEN 0 ELSE n END AS open, CAST(0 AS BIGINT) AS chunk, CAST(CASE WHEN n > 64 THEN 1 ELSE 0 END AS BIGINT) AS nxt FROM t WHERE i = 0
+      UNION ALL SELECT t.doc_id, t.i, CASE WHEN t.n > 64 THEN 0 WHEN p.open > 0 AND p.open + t.n > 64 THEN t.n ELSE p.open + t.n END, CAST(p.nxt + CASE WHEN p.open > 0 AND p.open + t.n > 64 THEN 1 ELSE 0 END AS BIGINT),
+        CAST(p.nxt + CASE WHEN p.open > 0 AND p.open + t.n > 64 THEN 1 ELSE 0 END + CASE WHEN t.n > 64 THEN 1 ELSE 0 END AS BIGINT) FROM p JOIN t ON t.doc_id = p.doc_id AND t.i = p.i + 1),
+    c AS (SELECT p.doc_id, chunk, min(t.line_no) AS a, max(t.line_no) AS b, count(*) AS lines, CAST(sum(t.chars) AS BIGINT) AS chars FROM p JOIN t ON p.doc_id = t.doc_id AND p.i = t.i GROUP BY ALL),"""
 
 
-@query()
-def semantic_chunked_documents(spark, sf):
-    return C.chunk_documents(table(spark, sf, "documents"), "semantic", 256, 16, 32, min_lines=5)
+@query(_KEPT + merging_sql(16, 64))
+def chunked_documents(spark, sf):
+    """The whole pass over documents whose kept lines are never more than 32 apart."""
+    return C.chunk_documents(table(spark, sf, "documents"), "fixed", 64, 16, 32).withColumn("operations", F.array_join("operations", ","))
