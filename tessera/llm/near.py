@@ -32,7 +32,7 @@ FREQUENT, SAMPLE, FLOOR = 2048, 32, 3
 #: 64-bit words of parity bits of a set
 PARITY = 16
 #: by how much the number of pivots grows from round to round
-GROWTH = 8
+GROWTH = 2
 #: so many ids at most are broadcast to fetch the texts of pairs
 BROADCAST = 100_000
 
