@@ -2,22 +2,22 @@
 
 Two sets of similarity ``LEAST`` or more share one of their first elements under
 any common order (prefix filter), so only sets with such an element in common
-are compared, and each comparison is exact. Frequent shingles come last in the
-order, so they seldom block; which ones count as frequent changes the effort
-only, never the result. Bits of parity, which differ in no more places than the
-sets do, sift the pairs before whole sets are fetched. Of the sets under one element all are
-compared with a few of them, the pivots, which are then done; what is in one component
-by then needs no more comparison, and the others go on to the next round with
-``GROWTH`` times as many pivots. So no round pairs a group with itself, and a large group
-of near copies, whose components soon meet, is not paired with itself at all.
+are compared. Frequent shingles come last in the order, so they seldom block;
+which ones count as frequent changes the effort only, never the result.
+Elements that the same sets share are one block; a large block is cut into
+squares of rows and columns. In a block all pairs are compared by parity bits,
+which differ in no more places than the sets do, and only a forest over the
+pairs that stay possible is verified by whole sets. A second pass takes, of the
+pairs that stay possible between what is not in one component by then, all.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +27,14 @@ from tessera.llm.simhash import connected_components
 
 #: words of a shingle, and the least similarity of near copies as a fraction
 SHINGLE, SEED, LEAST = 5, 42, (4, 5)
-#: frequent: in more than one of so many documents of a sample of one in ``SAMPLE`` (by hash), ``FLOOR`` at least
-FREQUENT, SAMPLE, FLOOR = 2048, 32, 3
-#: 64-bit words of parity bits of a set
-PARITY = 16
-#: by how much the number of pivots grows from round to round
-GROWTH = 2
-#: so many ids at most are broadcast to fetch the texts of pairs
-BROADCAST = 100_000
+#: frequent: in more than one of so many documents of a sample of one in ``SAMPLE`` (by hash), ``FLOOR`` at least; of these at most ``MOST``
+FREQUENT, SAMPLE, FLOOR, MOST = 2048, 32, 3, 1_000_000
+#: parity bits of a set for each of its elements, rounded up to a power of two, ``LEAST_BITS`` at least
+BITS, LEAST_BITS = 4, 64
+#: sets of a square of a block
+SIDE = 2048
+#: so many ids at most are broadcast (8 bytes each) to fetch the texts of pairs; more are joined
+BROADCAST = 1_000_000
 
 
 def shingles(words: Sequence[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -62,10 +62,19 @@ def first_in_order(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray,
     return found[np.lexsort((found, rank))[: prefix_size(len(found), least)]]
 
 
-def parities(found: np.ndarray) -> list[int]:
-    """Of each place of a hash (the lowest bits), whether an odd number of the set's hashes has it."""
-    odd = np.bincount(found & (64 * PARITY - 1), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def sketch(found: np.ndarray) -> bytes:
+    """Of each place of a hash (the lowest bits), whether an odd number of the set's hashes has it. Folding the halves onto each other gives the sketch of half the size."""
+    bits = max(LEAST_BITS, 1 << (BITS * len(found) - 1).bit_length())
+    odd = np.bincount(found & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64-bit ``words`` of a sketch, folded to ``width`` words."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
 
 
 def similar(common: int, n: int, m: int, least: tuple[int, int] = LEAST) -> bool:
@@ -96,7 +105,7 @@ def families(docs: Iterable[Sequence[bytes]]) -> list[int]:
 
 
 def _frequent(df: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many sampled documents, sorted, and their counts: at most ``FREQUENT`` times the mean number of a document's."""
+    """Shingles of many sampled documents, sorted, and their counts: the ``MOST`` most frequent at most, which is what is broadcast."""
     some = df.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0)
 
     def rows(_, texts):
@@ -105,12 +114,120 @@ def _frequent(df: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, n
                 yield (h,)
 
     least = max(FLOOR, some.count() / FREQUENT)
-    got = map_rows(some, [text_col], "h bigint", rows).groupBy("h").count().filter(F.col("count") >= least).toArrow()
+    got = map_rows(some, [text_col], "h bigint", rows).groupBy("h").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(MOST).toArrow()
     h, n = got["h"].to_numpy(), got["count"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
+def possible(n: np.ndarray, sketches: list[bytes], left: np.ndarray, root: np.ndarray, two_sided: bool, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places whose sets may be similar enough, with the differing share of their sketches.
+
+    Compared are those of different ``root``; in a ``two_sided`` square one of
+    them is ``left`` and the other is not.
+    """
+    num, den = least
+    wide = np.array([len(s) // 8 for s in sketches])
+    made: list[tuple[np.ndarray, ...]] = []
+    for width in np.unique(wide).tolist():
+        own = np.flatnonzero(wide == width)
+        words = np.frombuffer(b"".join([sketches[k] for k in own.tolist()]), np.uint64).reshape(len(own), width)
+        others = [(own, words)]
+        for wider in np.unique(wide[(wide > width)]).tolist():
+            there = np.flatnonzero(wide == wider)
+            if n[there].min() * num <= n[own].max() * den:
+                others.append((there, folded(np.frombuffer(b"".join([sketches[k] for k in there.tolist()]), np.uint64).reshape(len(there), wider), width)))
+        for there, against in others:
+            step = max(1, (1 << 19) // (width * len(there)))
+            for at in range(0, len(own), step):
+                a = own[at : at + step]
+                both = n[a][:, None] + n[there][None, :]
+                fits = np.minimum(n[a][:, None], n[there][None, :]) * den >= np.maximum(n[a][:, None], n[there][None, :]) * num
+                fits &= root[a][:, None] != root[there][None, :]
+                fits &= (left[a][:, None] != left[there][None, :]) if two_sided else True
+                if there is own:
+                    fits &= a[:, None] < there[None, :]
+                if not fits.any():
+                    continue
+                differ = np.bitwise_count(words[at : at + step][:, None, :] ^ against[None, :, :]).sum(2, dtype=np.int64)
+                x, y = np.nonzero(fits & (differ * (num + den) <= both * (den - num)))
+                made.append((a[x], there[y], differ[x, y] / both[x, y]))
+    if not made:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    a, b, share = (np.concatenate(m) for m in zip(*made, strict=True))
+    return a, b, share
+
+
+def forest(size: int, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the edges of a spanning forest of least ``order`` (all different): each tree takes its least edge, until none leads out."""
+    label, taken = np.arange(size), []
+    alive = np.arange(len(a))
+    while len(alive):
+        x, y = label[a[alive]], label[b[alive]]
+        alive = alive[x != y]
+        x, y = label[a[alive]], label[b[alive]]
+        best = np.full(size, len(order))
+        np.minimum.at(best, x, order[alive])
+        np.minimum.at(best, y, order[alive])
+        chosen = alive[np.isin(order[alive], best)]
+        taken.append(chosen)
+        for p, q in zip(a[chosen].tolist(), b[chosen].tolist(), strict=True):
+            p, q = label[p], label[q]
+            if p != q:
+                label[label == max(p, q)] = min(p, q)
+    return np.concatenate(taken) if taken else alive
+
+
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one square after the other; the batches are sorted by the first three columns."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([rest, now]) if rest is not None else now
+        keys = [now.column(k).to_numpy() for k in range(3)]
+        ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if len(now) else []
+        at = 0
+        for end in ends:
+            yield now.slice(at, end - at)
+            at = end
+        rest = now.slice(at).combine_chunks()
+    if rest is not None and len(rest):
+        yield rest
+
+
+def candidates(entries: DataFrame, least: tuple[int, int], every: bool) -> DataFrame:
+    """Distinct pairs ``a`` < ``b`` of nodes that may be similar enough, of different ``root``: a forest of each square, or ``every`` pair."""
+
+    def run(batches):
+        a, b = [], []
+        for square in _squares(batches):
+            if len(square) > 1:
+                node, n, left, root = (square.column(c).to_numpy() for c in ("node", "n", "left", "root"))
+                if (root == root[0]).all():
+                    continue
+                x, y, share = possible(n.astype(np.int64), square.column("sketch").to_pylist(), left, root, square.column("low")[0] != square.column("high")[0], least)
+                if not every and len(x) > 1:
+                    order = np.empty(len(x), np.int64)
+                    order[np.lexsort((np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), share))] = np.arange(len(x))
+                    kept = forest(len(node), x, y, order)
+                    x, y = x[kept], y[kept]
+                a.append(np.minimum(node[x], node[y]))
+                b.append(np.maximum(node[x], node[y]))
+            if len(a) > 4096 or sum(map(len, a[-1:])) > 100_000:
+                yield _distinct(a, b)
+                a, b = [], []
+        if a:
+            yield _distinct(a, b)
+
+    sized = entries.select("token", "low", "high", "node", "n", "left", "root", "sketch").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    return sized.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, carry: str | None = None) -> DataFrame:
     """id, ``node`` (a hash of the shingle set), ``component`` (the least node reachable over links) and ``component_id`` (the smallest id of the component) of every row; also the bigint column ``carry``, if named.
 
@@ -134,18 +251,24 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     def prefixes(_, ids, texts, carries):
         for i, t, c in zip(ids, texts, carries, strict=True):
             found = shingles(words_of(t), shingle)
-            yield i, c, name(found), len(found), parities(found), first_in_order(found, *order.value, least).tolist()
+            yield i, c, name(found), len(found), sketch(found), first_in_order(found, *order.value, least).tolist()
 
     def whole(_, texts):
         for t in texts:
             found = shingles(words_of(t), shingle)
             yield name(found), found.tolist()
 
-    marked = cut(map_rows(docs, ["__id", "__text", "__carry"], f"__id {kind}, __carry bigint, node bigint, n int, parity array<bigint>, prefix array<bigint>", prefixes))
-    nodes = marked.groupBy("node").agg(F.min("__id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"))
-    one = marked.dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("token")).repartition("token")
-    shared = one.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token")
-    live = cut(one.join(shared, "token").select("token", "node", "n"))
+    marked = cut(map_rows(docs, ["__id", "__text", "__carry"], f"__id {kind}, __carry bigint, node bigint, n int, sketch binary, prefix array<bigint>", prefixes))
+    nodes = marked.groupBy("node").agg(F.min("__id").alias("least"))
+    one = marked.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("token")).repartition("token")
+    same = F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("y")
+    shared = one.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), *same).filter("first < last")
+    # of elements that the same nodes share one is enough
+    blocks = shared.groupBy("size", "first", "last", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / SIDE).cast("int").alias("sides"))
+    place = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
+    placed = one.join(blocks, "token").withColumn("place", place).select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
+    square = placed.select("token", "node", F.least("place", "other").alias("low"), F.greatest("place", "other").alias("high"), (F.col("place") <= F.col("other")).alias("left"))
+    entries = cut(square.join(marked.select("node", "n", "sketch").dropDuplicates(["node"]), "node"))
     sets: DataFrame | None = None
 
     def fetched(asked: DataFrame) -> DataFrame:
@@ -163,41 +286,23 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (``a``, ``b``) that are similar enough, by their whole sets."""
-        x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(c + "n"), F.col("parity").alias(c + "p")) for c in ("a", "b"))
-        differ = sum(F.bit_count(F.col("ap")[k].bitwiseXOR(F.col("bp")[k])) for k in range(PARITY))  # never more than the sets differ in
-        pairs = cut(pairs.join(x, "a").join(y, "b").filter(differ * (num + den) <= (F.col("an") + F.col("bn")) * (den - num)).select("a", "b"))
-        if pairs.isEmpty():
-            return pairs
         every = fetched(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        if every is None:
+            return pairs
         a, b = every.toDF("a", "fa"), every.toDF("b", "fb")
         common = F.size(F.array_intersect("fa", "fb"))
         return cut(pairs.join(a, "a").join(b, "b").filter(common * (num + den) >= (F.size("fa") + F.size("fb")) * num).select("a", "b"))
 
-    links = tried = roots = None
-    pivots = 1
-    while True:
-        rooted = live.withColumn("root", F.col("node")) if roots is None else live.join(roots.toDF("__node", "root"), F.col("node") == F.col("__node"), "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-        groups = rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        # a node is a hash: those below a share of all hashes are about as many as wanted, and the same ones under all elements
-        place = F.col("node").cast("double") / 2.0**64 + 0.5
-        pivot = (F.col("node") == F.col("first")) | (place * F.col("size") < pivots)
-        rooted = cut(rooted.join(groups, "token").select("token", "node", "n", "root", pivot.alias("pivot")))
-        if rooted.isEmpty():
-            break
-        x, y = rooted.filter("pivot").select("token", "node", "n", "root").toDF("token", "p", "pn", "pr"), rooted.select("token", "node", "n", "root")
-        close = F.least("pn", "n") * den >= F.greatest("pn", "n") * num
-        pairs = y.join(x, "token").filter((F.col("pr") != F.col("root")) & close).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs)
-        found = verified(pairs)
-        if not found.isEmpty():
-            links = links.union(found) if links else found
-            roots = connected_components(links)
-        tried = tried.union(pairs) if tried else pairs
-        live, pivots = rooted.filter("not pivot").select("token", "node", "n"), GROWTH * pivots
-    if roots is None:
-        rooted = nodes.select("node", "least", F.col("node").alias("root"))
-    else:
-        rooted = nodes.join(roots.toDF("__node", "root"), nodes.node == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", F.col("root").alias("component"), "component_id")
+    tried = cut(candidates(entries.withColumn("root", F.col("node")), least, every=False))
+    links = verified(tried)
+    roots = connected_components(links)
+    known = roots.toDF("__node", "__root")
+    rooted = entries.join(known, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("__root", "node"))
+    others = cut(candidates(rooted, least, every=True).join(tried, ["a", "b"], "left_anti"))
+    more = verified(others)
+    if not more.isEmpty():
+        roots = connected_components(links.union(more))
+    found = nodes.join(roots.toDF("__node", "root"), nodes.node == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", F.col("root").alias("component"), "component_id")
     out = marked.select("__id", "__carry", "node").join(named, "node")
     return out.select(F.col("__id").alias(id_col), "node", "component", "component_id", *([F.col("__carry").alias(carry)] if carry else []))
