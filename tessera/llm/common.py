@@ -77,7 +77,7 @@ def map_rows(
     models, caches). A block bounds, by rows and bytes, what is held as Python
     objects at once.
     """
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else None
@@ -92,7 +92,8 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
+    """Of a schema in DDL; only the driver can read that."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

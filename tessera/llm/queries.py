@@ -1,11 +1,11 @@
-"""The ten queries ``opN_<name>`` and their SQL, each over its whole table."""
+"""The queries ``opN_<name>`` and their SQL, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, html_main, language_id, license_scan, mixing, simhash, toxicity, transport_stream, url_filter
+from tessera.llm import bpe, conversation_repair, exact_dedup, hard_negatives, html_main, language_id, license_scan, mixing, packing, simhash, toxicity, transport_stream, url_filter
 from tessera.llm.common import LOWER, UPPER, table
 
 
@@ -57,6 +57,20 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 # Parts of the queries above that SQL can express, so that they can be compared with it.
 
 
@@ -94,6 +108,9 @@ QUERIES = {
         op8_simhash_grid,
         op9_language_ppm,
         op10_license_templates,
+        op11_pack_mixture,
+        op12_hard_negatives,
+        op13_repair_conversations,
         llm_payloads,
         llm_url_rules,
         llm_mix_targets,
@@ -109,6 +126,13 @@ ORACLES = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g USING (t)""",
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS x FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS s FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+        p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT a AS anchor_id, p AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+        FROM p JOIN s USING (a) WHERE NOT same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps WINDOW w AS (PARTITION BY a, p ORDER BY s DESC, b) QUALIFY row_number() OVER w <= 3""",
     "llm_payloads": """
         WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), p AS (SELECT *, octet_length(b) AS n, CASE WHEN octet_length(b) = 0 THEN 64 ELSE (64 - octet_length(b) % 64) % 64 END AS pad FROM n)
         SELECT doc_id, n AS n_bytes, n + pad AS payload_bytes, sha256(b || unhex(repeat('00', pad))) AS payload_sha256 FROM p""",
