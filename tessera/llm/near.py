@@ -7,8 +7,9 @@ which ones count as frequent changes the effort only, never the result.
 Elements that the same sets share are one block; a large block is cut into
 squares of rows and columns. In a block all pairs are compared by parity bits,
 which differ in no more places than the sets do, and only a forest over the
-pairs that stay possible is verified by whole sets. A second pass takes, of the
-pairs that stay possible between what is not in one component by then, all.
+pairs that stay possible is verified by whole sets. A second pass goes over the
+blocks where other pairs stayed possible and takes, of those between what is not
+in one component by then, all.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from tessera.llm.simhash import connected_components
 SHINGLE, SEED, LEAST = 5, 42, (4, 5)
 #: frequent: in more than one of so many documents of a sample of one in ``SAMPLE`` (by hash), ``FLOOR`` at least; of these at most ``MOST``
 FREQUENT, SAMPLE, FLOOR, MOST = 2048, 32, 3, 1_000_000
-#: parity bits of a set for each of its elements, rounded up to a power of two, ``LEAST_BITS`` at least
-BITS, LEAST_BITS = 4, 64
+#: parity bits of a set for each of its elements, rounded up to a power of two, ``LEAST_BITS`` at least and ``MOST_BITS`` at most
+BITS, LEAST_BITS, MOST_BITS = 4, 64, 4096
 #: sets of a square of a block
 SIDE = 2048
 #: so many ids at most are broadcast (8 bytes each) to fetch the texts of pairs; more are joined
@@ -64,7 +65,7 @@ def first_in_order(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray,
 
 def sketch(found: np.ndarray) -> bytes:
     """Of each place of a hash (the lowest bits), whether an odd number of the set's hashes has it. Folding the halves onto each other gives the sketch of half the size."""
-    bits = max(LEAST_BITS, 1 << (BITS * len(found) - 1).bit_length())
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * len(found) - 1).bit_length()))
     odd = np.bincount(found & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -196,10 +197,10 @@ def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def candidates(entries: DataFrame, least: tuple[int, int], every: bool) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of nodes that may be similar enough, of different ``root``: a forest of each square, or ``every`` pair."""
+    """Distinct pairs ``a`` < ``b`` of nodes that may be similar enough, of different ``root``: ``every`` pair, or a forest of each square, and then also the ``token`` (without a pair) of squares that have other pairs."""
 
     def run(batches):
-        a, b = [], []
+        a, b, more = [], [], []
         for square in _squares(batches):
             if len(square) > 1:
                 node, n, left, root = (square.column(c).to_numpy() for c in ("node", "n", "left", "root"))
@@ -210,22 +211,26 @@ def candidates(entries: DataFrame, least: tuple[int, int], every: bool) -> DataF
                     order = np.empty(len(x), np.int64)
                     order[np.lexsort((np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), share))] = np.arange(len(x))
                     kept = forest(len(node), x, y, order)
+                    if len(kept) < len(x):
+                        more.append(square.column("token")[0].as_py())
                     x, y = x[kept], y[kept]
                 a.append(np.minimum(node[x], node[y]))
                 b.append(np.maximum(node[x], node[y]))
             if len(a) > 4096 or sum(map(len, a[-1:])) > 100_000:
-                yield _distinct(a, b)
-                a, b = [], []
+                yield _distinct(a, b, more)
+                a, b, more = [], [], []
         if a:
-            yield _distinct(a, b)
+            yield _distinct(a, b, more)
 
     sized = entries.select("token", "low", "high", "node", "n", "left", "root", "sketch").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    return sized.mapInArrow(run, "a bigint, b bigint").distinct()
+    return sized.mapInArrow(run, "a bigint, b bigint, token bigint").distinct()
 
 
-def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+def _distinct(a: list[np.ndarray], b: list[np.ndarray], tokens: list[int]) -> pa.RecordBatch:
+    pairs, tokens = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1), sorted(set(tokens))
+    none = lambda n: pa.nulls(n, pa.int64())
+    both = [pa.concat_arrays([pa.array(p), none(len(tokens))]) for p in pairs]
+    return pa.RecordBatch.from_arrays([*both, pa.concat_arrays([none(pairs.shape[1]), pa.array(tokens, pa.int64())])], names=["a", "b", "token"])
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, carry: str | None = None) -> DataFrame:
@@ -260,7 +265,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     marked = cut(map_rows(docs, ["__id", "__text", "__carry"], f"__id {kind}, __carry bigint, node bigint, n int, sketch binary, prefix array<bigint>", prefixes))
     nodes = marked.groupBy("node").agg(F.min("__id").alias("least"))
-    one = marked.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("token")).repartition("token")
+    one = marked.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("token")).filter("token is not null").repartition("token")  # one shuffle for both uses
     same = F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("y")
     shared = one.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), *same).filter("first < last")
     # of elements that the same nodes share one is enough
@@ -268,7 +273,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     place = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     placed = one.join(blocks, "token").withColumn("place", place).select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
     square = placed.select("token", "node", F.least("place", "other").alias("low"), F.greatest("place", "other").alias("high"), (F.col("place") <= F.col("other")).alias("left"))
-    entries = cut(square.join(marked.select("node", "n", "sketch").dropDuplicates(["node"]), "node"))
+    square = cut(square)
+    sketches = marked.select("node", "n", "sketch").dropDuplicates(["node"])
     sets: DataFrame | None = None
 
     def fetched(asked: DataFrame) -> DataFrame:
@@ -293,12 +299,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         common = F.size(F.array_intersect("fa", "fb"))
         return cut(pairs.join(a, "a").join(b, "b").filter(common * (num + den) >= (F.size("fa") + F.size("fb")) * num).select("a", "b"))
 
-    tried = cut(candidates(entries.withColumn("root", F.col("node")), least, every=False))
+    first = cut(candidates(square.join(sketches, "node").withColumn("root", F.col("node")), least, every=False))
+    tried = first.filter("token is null").select("a", "b")
     links = verified(tried)
     roots = connected_components(links)
     known = roots.toDF("__node", "__root")
-    rooted = entries.join(known, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("__root", "node"))
-    others = cut(candidates(rooted, least, every=True).join(tried, ["a", "b"], "left_anti"))
+    again = square.join(first.filter("token is not null").select("token"), "token", "left_semi")
+    rooted = again.join(known, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("__root", "node"))
+    others = cut(candidates(rooted.join(sketches, "node"), least, every=True).select("a", "b").join(tried, ["a", "b"], "left_anti"))
     more = verified(others)
     if not more.isEmpty():
         roots = connected_components(links.union(more))
