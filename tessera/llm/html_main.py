@@ -20,15 +20,15 @@ _NAMES = re.compile(r"""\b(class|id|role|aria-hidden|style)\s*=\s*(?:"([^"]*)"|'
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose content is no markup and none of the article
-RAW = frozenset("script style noscript template iframe textarea title select option xmp noembed noframes".split())
+RAW = frozenset("script style template iframe textarea title select option".split())
 #: elements that are never part of the article
 CHROME = frozenset("nav footer aside form button dialog menu fieldset label head".split())
 #: elements that leave an open head open; all others, and text, end it
 HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul xmp br".split()
 )
-PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre xmp blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 #: elements that a name in class, id or role can mark as unwanted; the names of headings, paragraphs and inline elements say nothing of the kind
 CONTAINERS = frozenset("div section ul ol dl table tbody tr details figure header center iframe".split())
 CLOSES_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"} | {"table", "ul", "ol", "dl"}
@@ -43,22 +43,30 @@ SCOPES = (
 )
 _TOUCHED = {tag: tuple(g for g, (_, kinds, bounds) in enumerate(SCOPES) if tag in kinds or tag in bounds) for tag in frozenset().union(*(k | b for _, k, b in SCOPES))}
 _CLOSED_BY = {tag: tuple(g for g, (tags, _, _) in enumerate(SCOPES) if tag in tags) for tag in frozenset().union(*(t for t, _, _ in SCOPES))}
-#: names (class, id, role) of what is not the article: whole parts of a name between hyphens, underscores or case changes
+#: words in names (class, id, role) of what is not the article; in a name with words of other kinds they say little (``related-work``)
 UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted comment comments disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar side rail menu nav navigation navbar breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended widget pagination pager login search hidden complementary contentinfo dialog alert".split()
 )
+#: those that no article's own parts are named by
+STRONG = frozenset("ads advert adverts advertisement advertising sponsored promo disqus gdpr newsletter signup sidebar navbar breadcrumb breadcrumbs masthead topbar toolbar pagination pager".split())
+#: words that may stand beside unwanted ones in a name without making it another thing's
+NEUTRAL = frozenset(
+    "article area bar bars block blocks body bottom box boxes btn button buttons card cards center col column container content desktop entry feed footer form global grid group head header holder icon icons inline inner item items js left link links list main mobile more new outer page pane panel part post posts primary reader readers right row secondary section site slot small stories story text the thread title top unit user users visitor wide wrap wrapper you".split()
+)
+#: beginnings of names that say what a page has, not what the element is
+ABOUT = frozenset("has with without no".split())
 WANTED = frozenset("article content main post entry story body text".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "wanted", "skip", "score", "chars", "linked", "order", "doubt", "held")
+    __slots__ = ("tag", "parent", "kids", "wanted", "skip", "score", "chars", "linked", "order", "doubt", "hint", "held")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.kids = tag, parent, []
         self.score, self.order = 0.0, -1
         self.chars = self.linked = 0
-        self.wanted, self.doubt = 0, False
+        self.wanted, self.doubt, self.hint = 0, False, False
         #: whether an article or main holds it: a header in there is the article's own
         self.held = parent is not None and (parent.held or parent.tag in ("article", "main"))
         self.skip = tag in CHROME or tag == "header" and not self.held
@@ -69,10 +77,13 @@ class Node:
                 if bare or kind == "aria-hidden" and value == "true" or kind == "style" and "display:none" in value.replace(" ", "").lower():
                     self.skip = True
                 elif kind in ("class", "id", "role"):
-                    names = {x.lower() for x in _PARTS.findall(value)}
-                    if names & UNWANTED and tag in CONTAINERS:
-                        self.doubt = True
-                    self.wanted += bool(names & WANTED)
+                    names = [[x.lower() for x in _PARTS.findall(token)] for token in value.split()]
+                    if tag in CONTAINERS:
+                        for parts in names:
+                            if parts and parts[0] not in ABOUT and not UNWANTED.isdisjoint(parts):
+                                self.hint = True
+                                self.doubt |= not STRONG.isdisjoint(parts) or all(x in UNWANTED or x in NEUTRAL or x.isdigit() for x in parts)
+                    self.wanted += any(not WANTED.isdisjoint(parts) for parts in names)
 
 
 class Builder:
@@ -165,6 +176,16 @@ def parse(page: str) -> Node:
             if name == "body" and attributes:
                 build.open(name, attributes)
             continue
+        if name == "xmp":  # shown as it stands
+            close = re.compile(r"</xmp\s*>", re.I).search(page, at) if name not in ends else None
+            if close is None:
+                ends[name] = n
+            build.end_before(name)
+            build.open(name, attributes)
+            stack[-1].kids.append(page[at : close.start() if close else n])
+            build.cut(len(stack) - 1)
+            at = close.end() if close else n
+            continue
         if name in RAW:
             close = None
             if not attributes.endswith("/") and name not in ends:
@@ -246,14 +267,14 @@ def main_text(page: str | None) -> str:
         if node.parent is not None:
             node.parent.score += node.score / 2
     for node in nodes:
-        node.score = (node.score + 3 * node.wanted + 8 * (node.tag in ("article", "main"))) * (1 - (node.linked / node.chars if node.chars else 0.0)) / (1 + node.doubt)
+        node.score = (node.score + 3 * node.wanted + 8 * (node.tag in ("article", "main"))) * (1 - (node.linked / node.chars if node.chars else 0.0)) / (1 + (node.doubt + node.hint) / 2)
         if node.chars and node.tag not in PARAGRAPHS and node.tag in BLOCKS:
             seen.append(node)
     best = max(seen or [root], key=lambda x: (x.score, -x.order) if x is not root else (x.score, -1))
     if best.parent is None or best is root:
         return _text(root)
-    for node in nodes:  # beside or inside the best container, a doubtful part of less than half its text is none of the article
-        if node.doubt and node is not best and 2 * node.chars < best.chars:
+    for node in nodes:  # beside or inside the best container, what names mark is none of the article if it has less than half its text; a mere hint counts for what is mostly links
+        if node is not best and (node.doubt and 2 * node.chars < best.chars or node.hint and 2 * node.linked > node.chars):
             node.skip = True
     keep = []
     for k in best.parent.kids:

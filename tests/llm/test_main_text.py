@@ -23,6 +23,23 @@ def test_small_unwanted_parts_are_cut():
     assert main_text(f"<body><article>{ARTICLE}{junk}</article></body>") == PLAIN
 
 
+def test_sections_named_by_their_topic_stay():
+    sections = "".join(f"<{t} {k}='{name}'><h3>{name}</h3><p>What it says of {name}.</p></{t}>" for t, k, name in (("section", "class", "related-work"), ("div", "class", "social-history"), ("div", "class", "rail-transport"), ("section", "id", "cookie-recipes"), ("div", "id", "Footer_design"), ("div", "class", "adLib")))
+    want = " ".join(f"{n} What it says of {n}." for n in ("related-work", "social-history", "rail-transport", "cookie-recipes", "Footer_design", "adLib"))
+    assert main_text(f"<body><article>{ARTICLE}{sections}</article><footer>f</footer></body>") == f"{PLAIN} {want}"
+
+
+def test_chrome_inside_the_article_goes():
+    for name in ("share-buttons", "related-posts", "ad", "ad-slot-2", "newsletter-cta", "commentList", "reader-comments", "cookie-banner", "site-footer", "promo_box", "sidebarLeft", "notice"):
+        assert main_text(f"<body><article>{ARTICLE}<div class='x1 {name}'><p>Not of it.</p></div></article></body>") == PLAIN, name
+    links = "<div class='social-networks'><a href=a>One</a> <a href=b>Two</a></div>"
+    assert main_text(f"<body><article>{ARTICLE}{links}</article></body>") == PLAIN
+
+
+def test_fallbacks_and_examples_stay():
+    assert main_text(f"<article>{ARTICLE}<noscript><p>Seen <b>without</b> scripts.</p></noscript><xmp><b>x</b> &amp;</xmp><noembed>No <i>embed</i>.</noembed></article>") == f"{PLAIN} Seen without scripts. <b>x</b> &amp; No embed."
+
+
 def test_names_of_headings_paragraphs_and_inline_elements_cut_nothing():
     page = f'<article><h2 id="Social_structure">Society</h2>{ARTICLE}<p id="side-effects">Side effects, too.</p><p>A <span class="ad">word</span>.</p></article>'
     assert main_text(page) == f"Society {PLAIN} Side effects, too. A word."
