@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import gcd
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,19 +30,28 @@ BUCKETS = 1024
 REPEATS = 4096
 
 
-def _sums(items: Sequence[tuple[int, int]], room: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """Bits of the sums up to ``room`` that ``items`` (length, most) can make, and the steps (item, copies, bits before) that led there; stops once ``room`` itself is among them."""
+def _sums(items: Sequence[tuple[int, int]], room: int) -> tuple[int, list[tuple[int, int]], np.ndarray]:
+    """Bits of the sums up to ``room`` that ``items`` (length, most) can make, the steps (item, copies) that led there, and for each sum the number of the step that first made it; stops once ``room`` itself is among them.
+
+    A sum less its first step's words was made before that step, so the way back takes every step once at most.
+    """
     mask, sums, steps = (1 << (room + 1)) - 1, 1, []
+    width, first = room // 64 + 1, np.full(room + 1, -1, np.int32)
     for i, (size, most) in enumerate(items):
         most, part = min(most, room // size), 1
         while most and not sums >> room & 1:
             k = min(part, most)
             most, part = most - k, part * 2
-            after = (sums | sums << k * size) & mask
-            if after != sums:
-                steps.append((i, k, sums))
-                sums = after
-    return sums, steps
+            new = (sums << k * size) & mask & ~sums
+            if new:
+                words = np.frombuffer(new.to_bytes(8 * width, "little"), "<u8")
+                full = np.flatnonzero(words)
+                bits = np.unpackbits(words[full].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                row, bit = np.nonzero(bits)
+                first[full[row] * 64 + bit] = len(steps)
+                steps.append((i, k))
+                sums |= new
+    return sums, steps, first
 
 
 def _highest(items: Sequence[tuple[int, int]], budget: int) -> int:
@@ -89,14 +99,14 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
             k = min(counts[i] - take[i], open_ // size[i])
             take[i], open_ = take[i] + k, open_ - k * size[i]
         left = goal - sum(take[i] * size[i] for i in order)
-        sums, steps = _sums([(size[i], counts[i] - take[i]) for i in order], left)
+        sums, steps, first = _sums([(size[i], counts[i] - take[i]) for i in order], left)
         at = sums.bit_length() - 1
         if at < left and best == goal:
             best = _highest([(size[i], counts[i]) for i in order], goal)
         if at == left or goal - left + at == best or left == goal:
-            for i, k, before in reversed(steps):
-                if not before >> at & 1:
-                    take[order[i]], at = take[order[i]] + k, at - k * size[order[i]]
+            while at:
+                i, k = steps[first[at]]
+                take[order[i]], at = take[order[i]] + k, at - k * size[order[i]]
             return take
         window *= 2
 

@@ -334,6 +334,21 @@ def test_targets_against_brute_force(spark):
             assert got[n][0] == s and abs(got[n][1] - t) < 1e-6 * max(1, t), (names, sizes, got, want)
 
 
+def test_fitting_long_documents_takes_little_memory():
+    import tracemalloc
+
+    r = random.Random(1)
+    lengths = sorted({r.randrange(1, 2_000_000) for _ in range(3000)})
+    counts = [r.randrange(1, 4) for _ in lengths]
+    budget = sum(a * b for a, b in zip(lengths, counts)) // 3
+    tracemalloc.start()
+    take = mixing.fit_counts(lengths, counts, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and all(0 <= t <= c for t, c in zip(take, counts))
+    assert sum(a * b for a, b in zip(lengths, take)) == budget
+
+
 def plain_best(lengths, counts, budget):
     sums = {0}
     for s, c in zip(lengths, counts):
