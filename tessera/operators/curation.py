@@ -86,7 +86,7 @@ def title_words(title: Column) -> Column:
 
 def clean_label(label: Column, words: Column) -> Column:
     """A label without an owner's words and a file number at its end; null where nothing changes or nothing would be left."""
-    less = F.aggregate(words, label, lambda acc, w: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\b\Q"), w, F.lit(r"\E\b")), F.lit("")))
+    less = F.aggregate(words, label, lambda acc, w: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\b"), F.regexp_replace(w, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"\b")), F.lit("")))
     less = F.regexp_replace(F.regexp_replace(less, r"\s*-\s*\d+\s*$", ""), r"\s*-\s*$", "")
     less = T.strip(F.regexp_replace(less, r"\s+", " "))
     return F.when((F.size(words) > 0) & (less != "") & (less != label), less)

@@ -198,34 +198,6 @@ def format_duration(ms: Column) -> Column:
     return F.when(ms.isNull(), "N/A").when(ms >= 1000, F.concat(_one_decimal(ms / 1000), F.lit(" s"))).otherwise(F.concat(F.floor(ms + 0.5).cast("long").cast("string"), F.lit(" ms")))
 
 
-def first_match(content: Column, passage: Column) -> Column:
-    """struct(kind, start, end) of a passage in a text (0-based, end exclusive): as it stands, else but for case, else with any white space between its words; null where it isn't.
-
-    A passage of several lines whose lines stand in the text only with others between them isn't found.
-    """
-    p = T.strip(F.coalesce(passage, F.lit("")))
-    exact, caseless = F.instr(content, p), F.instr(F.lower(content), F.lower(p))
-    same_length = F.length(F.lower(content)) == F.length(content)
-    loose = F.concat(F.lit(r"(?i)\Q"), F.regexp_replace(p, r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
-    found = F.regexp_substr(content, loose)
-    span = lambda kind, at, n: F.struct(F.lit(kind).alias("kind"), (at - 1).cast("long").alias("start"), (at - 1 + n).cast("long").alias("end"))
-    return (
-        F.when(p == "", F.lit(None))
-        .when(exact > 0, span("exact", exact, F.length(p)))
-        .when(same_length & (caseless > 0), span("case", caseless, F.length(p)))
-        .when(found.isNotNull(), span("space", F.instr(content, found), F.length(found)))
-    )
-
-
-def separate_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, order: str) -> DataFrame:
-    """Spans of each key that overlap none that starts before them (of equal starts the longer, then the first by ``order``): a sweep over the running end.
-
-    A span that begins inside any earlier one is dropped, also inside one that was dropped itself.
-    """
-    w = Window.partitionBy(*keys).orderBy(start, F.desc(end), order).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("__end", F.max(end).over(w)).filter(F.col("__end").isNull() | (F.col(start) >= F.col("__end"))).drop("__end")
-
-
 def files_of_groups(assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(package, file_path, groups) and (package, group, files) of assignments (package, file_path, group), sorted."""
     a = assignments.distinct()

@@ -148,20 +148,6 @@ def formatted_sizes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.format_bytes(n).alias("size"), S.format_duration(F.col("p_size") * F.lit(37.5)).alias("duration"))
 
 
-_SWAP = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-
-
-@query(
-    rf"""WITH c AS (SELECT conv_id, turn, text, regexp_replace(substr(text, 3, 30), '^\s+|\s+$', '', 'g') AS p FROM conversations), s AS (SELECT *, CASE WHEN turn % 3 = 1 THEN translate(p, '{_SWAP[0]}', '{_SWAP[1]}') ELSE p END AS q FROM c WHERE p <> '')
-    SELECT conv_id, turn, CASE WHEN turn % 3 = 2 AND regexp_matches(p, '\s') THEN 'space' WHEN contains(text, q) THEN 'exact' ELSE 'case' END AS kind, instr(lower(text), lower(p)) - 1 AS start FROM s"""
-)
-def trace_spans(spark, sf):
-    t = F.col("turn")
-    p = F.regexp_replace(F.substring("text", 3, 30), r"^\s+|\s+$", "")
-    passage = F.when(t % 3 == 1, F.translate(p, *_SWAP)).when(t % 3 == 2, F.regexp_replace(p, r"\s+", "  \n ")).otherwise(p)
-    return table(spark, sf, "conversations").select("conv_id", "turn", S.first_match(F.col("text"), passage).alias("m")).filter("m is not null").select("conv_id", "turn", "m.kind", "m.start")
-
-
 @query("WITH s AS (SELECT DISTINCT user_id, event_type, event_id % 50 AS f FROM events) SELECT 'file' AS side, user_id, CAST(f AS VARCHAR) AS name, string_agg(event_type, ',' ORDER BY event_type) AS members FROM s GROUP BY user_id, f UNION ALL SELECT 'group', user_id, event_type, string_agg(CAST(f AS VARCHAR), ',' ORDER BY CAST(f AS VARCHAR)) FROM s GROUP BY user_id, event_type")
 def files_of_groups(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("package"), (F.col("event_id") % 50).cast("string").alias("file_path"), F.col("event_type").alias("group"))
@@ -206,14 +192,6 @@ def allowed_candidates(spark, sf):
     return c.select("conv_id", "turn", S.candidate_allowed(allowed, F.col("role"), target, role, F.col("text")).alias("allowed"))
 
 
-@query(
-    """WITH s AS (SELECT l_orderkey AS k, l_partkey AS a, l_partkey + CAST(l_quantity AS BIGINT) AS b, l_linenumber * 1000000 + l_suppkey AS o FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b DESC, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM s) SELECT k, a, b FROM m WHERE e IS NULL OR a >= e"""
-)
-def separate_spans(spark, sf):
-    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("a"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("b"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("o"))
-    return S.separate_spans(s, ["k"], "a", "b", "o").select("k", "a", "b")
-
-
 # ---------------------------------------------------------------- vocabularies of the star schema's graph
 
 _SCHEMES = "m AS (SELECT 'buyers' AS identifier, 'customer/' || c_custkey AS uri FROM customer UNION SELECT 'places', 'nation/' || n_nationkey FROM nation UNION SELECT 'sellers', 'supplier/' || s_suppkey FROM supplier)"

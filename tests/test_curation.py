@@ -199,14 +199,6 @@ def test_words_of_a_line_are_letters_alone(spark):
     assert got == re.findall(r"[^\W\d_][^\W\d_'\-]{1,}", "d'e a-b don't well-known x ½¾ Ⅻab c3po été")
 
 
-def test_spans_and_matches(spark):
-    match = lambda text, p: spark.createDataFrame([(text, p)], "t string, p string").select(S.first_match(F.col("t"), F.col("p")).alias("m")).first().m
-    assert match("One two  three", "two  three")[:] == ("exact", 4, 14) and match("One two  three", "TWO")[:] == ("case", 4, 7)
-    assert match("One two\n three.", "Two three")[:] == ("space", 4, 14) and match("a(b", "A(B")[:] == ("case", 0, 3) and match("abc", "x") is None and match("abc", " ") is None
-    rows = spark.createDataFrame([("k", 0, 5, 1), ("k", 3, 4, 2), ("k", 5, 9, 3), ("k", 5, 7, 4), ("j", 0, 1, 1)], "k string, a long, b long, o long")
-    assert sorted(tuple(r) for r in S.separate_spans(rows, ["k"], "a", "b", "o").collect()) == [("j", 0, 1, 1), ("k", 0, 5, 1), ("k", 5, 9, 3)]
-
-
 def test_guards(spark):
     row = spark.createDataFrame([("IR Range", "from 4000 to 400", "  Alpha   BETA ", "C", "12.50 mg")], "a string, b string, c string, d string, v string")
     got = row.select(
