@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.stemming import STOP_WORDS, WORD
+from tessera.operators import fulltext as X
 from tessera.operators import graph as G
 from tessera.operators import search as S
 from tessera.plans.base import query, table
@@ -41,6 +43,61 @@ def rrf_hybrid_search(spark, sf):
     return S.rrf(vector_topk(spark, sf), fulltext_bm25_topk(spark, sf), TOP, 1.0, 3.0)
 
 
+#: positions of words (from 0) in documents, and lengths without stop words; ``f`` holds the word forms of the queries below by stem
+_WORDS = f"""d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{WORD.replace("'", "''")}'), lambda w: regexp_replace(w, '[''’]s$', '')) AS ws FROM documents),
+    f(w, s) AS (VALUES ('oning', 'on'), ('oned', 'on'), ('ones', 'on'), ('one', 'on'), ('shing', 'shing'), ('shinged', 'shing'), ('shinges', 'shing'), ('shinging', 'shing'), ('shings', 'shing'), ('shed', 'shed'), ('sheds', 'shed'), ('tion', 'tion'), ('tions', 'tion'), ('tiones', 'tion'), ('tioned', 'tion'), ('tioning', 'tion')),
+    w AS (SELECT id, i - 1 AS pos, ws[i] AS w FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+    k AS (SELECT id, pos, w FROM w WHERE w NOT IN ({", ".join(f"'{x}'" for x in STOP_WORDS)})),
+    p AS (SELECT id, pos, s FROM k JOIN f USING (w)),
+    l AS (SELECT d.id, count(k.id) AS n FROM d LEFT JOIN k ON k.id = d.id GROUP BY d.id), z AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
+    nd AS (SELECT s, count(DISTINCT id) AS df FROM p GROUP BY s), idf AS (SELECT s, ln(1 + (docs - df + 0.5) / (df + 0.5)) AS idf FROM nd, z)"""
+_TF = "{n} / ({n} + 1.2 * (0.25 + 0.75 * l.n / z.mean))"
+
+
+@query(
+    f"""WITH {_WORDS}, h AS (SELECT a.id, count(*) AS n FROM p a JOIN p b ON a.s = 'tion' AND b.s = 'on' AND b.id = a.id AND b.pos = a.pos + 2 GROUP BY a.id)
+    SELECT h.id, round((SELECT sum(idf) FROM idf WHERE s IN ('tion', 'on')) * {_TF.format(n="h.n")}, 6) AS score FROM h JOIN l ON l.id = h.id, z"""
+)
+def fulltext_phrase(spark, sf):
+    """Two words with any one word between them, in all their forms."""
+    q = X.Phrase("tion the oning")
+    return X.matches(*X.postings(table(spark, sf, "documents"), "doc_id", "text", q), q)
+
+
+@query(
+    f"""WITH {_WORDS}, t AS (SELECT id, s, count(*) AS n FROM p GROUP BY id, s), x AS (SELECT DISTINCT id FROM k WHERE w LIKE 'thbl%'), h AS (SELECT DISTINCT a.id FROM p a JOIN p b ON a.s = 'shing' AND b.s = 'tion' AND b.id = a.id AND b.pos = a.pos + 1),
+    m AS (SELECT o.id, idf.idf * {_TF.format(n="o.n")} + CASE WHEN x.id IS NOT NULL THEN 1.0 ELSE 0 END + coalesce((SELECT any_value(idf) FROM idf WHERE s = 'shed') * {_TF.format(n="e.n")}, 0) AS score
+      FROM t o JOIN idf ON o.s = 'on' AND idf.s = 'on' JOIN l ON l.id = o.id LEFT JOIN x ON x.id = o.id LEFT JOIN t e ON e.s = 'shed' AND e.id = o.id ANTI JOIN h ON h.id = o.id, z WHERE x.id IS NOT NULL OR e.id IS NOT NULL)
+    SELECT id, round(score, 6) AS score FROM m"""
+)
+def fulltext_boolean(spark, sf):
+    """A term and one of a prefix and another term, without a phrase."""
+    q = X.Term("ones") & (X.Prefix("thbl") | X.Term("sheds")) & ~X.Phrase("shing tions")
+    return X.matches(*X.postings(table(spark, sf, "documents"), "doc_id", "text", q), q)
+
+
+_MEMBERS = "members AS (SELECT doc_id AS id FROM documents WHERE lang = 'en' AND doc_id % 2 = 0)"
+
+
+def _members_of_scheme(spark, sf):
+    return table(spark, sf, "documents").filter("lang = 'en' AND doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+
+
+@query(
+    f"""WITH {_VEC}, {_WORDS}, {_MEMBERS}, t AS (SELECT id, s, count(*) AS n FROM p WHERE s IN ('on', 'tion') GROUP BY id, s), g AS (SELECT t.id, round(sum(idf.idf * {_TF.format(n="t.n")}), 6) AS score FROM t JOIN idf USING (s) JOIN l ON l.id = t.id, z GROUP BY t.id),
+    g20 AS (SELECT * FROM g ORDER BY score DESC, id LIMIT {TOP}), fm AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM g20 SEMI JOIN members USING (id)),
+    vm AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vt SEMI JOIN members USING (id)),
+    u AS (SELECT coalesce(vm.id, fm.id) AS id, CAST(vm.rank AS INTEGER) AS vector_rank, CAST(fm.rank AS INTEGER) AS full_text_rank, round(coalesce(1.0 / (60 + vm.rank), 0) + coalesce(3.0 / (60 + fm.rank), 0), 9) AS rrf_score FROM vm FULL JOIN fm ON vm.id = fm.id)
+    SELECT id, vector_rank, full_text_rank, CAST(rrf_score AS DOUBLE) AS rrf_score FROM u"""
+)
+def scheme_hybrid_search(spark, sf):
+    """Both ranked lists restricted to the members of one scheme after their limits, then fused."""
+    members = _members_of_scheme(spark, sf)
+    vector = S.vector_top_k(table(spark, sf, "embeddings"), "vec_id", "embedding", _first_vector(spark, sf), TOP, members)
+    text = X.search(table(spark, sf, "documents"), "doc_id", "text", X.Term("ones tion"), TOP, members)
+    return S.rrf(vector, text, TOP, 1.0, 3.0).select("id", "vector_rank", "full_text_rank", "rrf_score")
+
+
 # ---------------------------------------------------------------- a graph of the star schema
 
 _NODES = """nodes AS (SELECT 'customer/' || c_custkey AS uri, 'Customer' AS t, ['name', 'segment'] AS keys FROM customer UNION ALL SELECT 'order/' || o_orderkey, 'Order', ['status'] FROM orders UNION ALL SELECT 'nation/' || n_nationkey, 'Nation', ['name'] FROM nation
