@@ -219,6 +219,11 @@ class BytePairCoder:
         blob, offsets = self.blob, self.offsets
         return " ".join([blob[offsets[i] : offsets[i + 1]] for i in ids])
 
+    def forget(self) -> None:
+        """Empty the caches: workers live longer than tasks."""
+        for cache in (self.words, self.pieces_seen, self.fits):
+            cache.clear()
+
     def written(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the decimal ids joined by spaces, and the decoded text; chunks met before are looked up."""
         words = self.words
@@ -270,4 +275,4 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             out = (i, n, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
             yield (*out, [int(x) for x in line.split()], decoded) if keep_ids else out
 
-    return map_rows(df, [id_col, text_col], f"{id_col} {kind}, {SCHEMA}" + ", ids array<int>, decoded string" * keep_ids, rows, start=lambda: coder(path))
+    return map_rows(df, [id_col, text_col], f"{id_col} {kind}, {SCHEMA}" + ", ids array<int>, decoded string" * keep_ids, rows, start=lambda: coder(path), finish=BytePairCoder.forget)

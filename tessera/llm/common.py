@@ -70,12 +70,14 @@ def map_rows(
     rows: Callable[..., Iterable[tuple]],
     start: Callable[[], object] | None = None,
     block: int = 256,
+    finish: Callable[[object], None] | None = None,
 ) -> DataFrame:
     """Run ``rows(state, *columns)`` over blocks of plain Python lists and return its tuples as ``schema``.
 
     Only ``columns`` are read. ``start`` builds the state once a task (tables,
-    models, caches). A block bounds, by rows and bytes, what is held as Python
-    objects at once.
+    models, caches), ``finish`` lets go of what a later task in the same worker has
+    no use for. A block bounds, by rows and bytes, what is held as Python objects
+    at once.
     """
     arrow = arrow_schema(schema)
 
@@ -88,6 +90,8 @@ def map_rows(
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(v, type=f.type) for v, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow
                     )
+        if finish:
+            finish(state)
 
     return df.select(*columns).mapInArrow(run, schema)
 

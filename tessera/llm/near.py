@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ASCII_LOWER, cut, map_rows
@@ -33,7 +33,7 @@ FREQUENT, SAMPLE, FLOOR, MOST = 2048, 32, 3, 1_000_000
 #: parity bits of a set for each of its elements, rounded up to a power of two, ``LEAST_BITS`` at least and ``MOST_BITS`` at most
 BITS, LEAST_BITS, MOST_BITS = 4, 64, 4096
 #: sets of a square of a block
-SIDE = 2048
+SIDE = 1024
 #: so many ids at most are broadcast (8 bytes each) to fetch the texts of pairs; more are joined
 BROADCAST = 1_000_000
 
@@ -265,13 +265,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     marked = cut(map_rows(docs, ["__id", "__text", "__carry"], f"__id {kind}, __carry bigint, node bigint, n int, sketch binary, prefix array<bigint>", prefixes))
     nodes = marked.groupBy("node").agg(F.min("__id").alias("least"))
-    one = marked.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("token")).filter("token is not null").repartition("token")  # one shuffle for both uses
-    same = F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("y")
-    shared = one.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), *same).filter("first < last")
+    one = marked.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("token"))
+    same = Window.partitionBy("token")
+    whole_of = [F.count("*"), F.min("node"), F.max("node"), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(SEED), "node"))]
+    sharing = ["size", "first", "last", "x", "y"]
+    shared = cut(one.select("*", *(f.over(same).alias(c) for f, c in zip(whole_of, sharing, strict=True))).filter("first < last"))
     # of elements that the same nodes share one is enough
-    blocks = shared.groupBy("size", "first", "last", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / SIDE).cast("int").alias("sides"))
+    blocks = shared.groupBy(*sharing).agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / SIDE).cast("int").alias("sides"))
     place = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
-    placed = one.join(blocks, "token").withColumn("place", place).select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
+    placed = shared.select("token", "node").join(blocks, "token").withColumn("place", place).select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
     square = placed.select("token", "node", F.least("place", "other").alias("low"), F.greatest("place", "other").alias("high"), (F.col("place") <= F.col("other")).alias("left"))
     square = cut(square)
     sketches = marked.select("node", "n", "sketch").dropDuplicates(["node"])

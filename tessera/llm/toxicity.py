@@ -325,7 +325,7 @@ def score_documents(
     model = model or learn(df, labels, id_col, text_col, label_col, modulus=modulus, held_out=held_out)
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(F.col(id_col).alias("__id"), F.coalesce(held_out_remainder(F.col(id_col), modulus) == held_out, F.lit(False)).alias("__held"), F.col(text_col).alias("__text"))
-    return map_rows(rows, ["__id", "__held", "__text"], f"{id_col} {dict(df.dtypes)[id_col]}, {OUT}", _rows, start=lambda: shared.value, block=TOGETHER)
+    return map_rows(rows, ["__id", "__held", "__text"], f"{id_col} {dict(df.dtypes)[id_col]}, {OUT}", _rows, start=lambda: shared.value, block=TOGETHER, finish=ChainModel._forget)
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -344,6 +344,7 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for part in blocks(batch, TOGETHER):
                 found = shared.value.marginals(part.column(at).to_pylist())
                 yield part.filter(pa.array([shared.value.score(p) < 0.5 for p in found], pa.bool_()))
+        shared.value._forget()
 
     # numbered names on the way: a column's own name may hold a dot
     numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
