@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and all runs on one machine."""
-    spark = df.sparkSession
+def _ensure(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and all runs on one machine."""
+    _ensure(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's address in the checkpoint folder, which driver and executors share."""
+    _ensure(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as C
+from tessera.operators.checkpoint import shared_folder
 from tessera.sources import archives as A
+from tessera.sources import packages as P
 from tessera.sources import vocabularies as V
 from tessera.plans.base import query, table
 from tessera.plans.chunks import merging_sql
@@ -62,6 +64,19 @@ def archive_packages(spark, sf):
     return A.packages(A.read_archives(_archives(spark, sf)))
 
 
+@query(
+    "SELECT lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS file_path, CAST(doc_id AS VARCHAR) || '.txt' AS file_name, 'plain_text' AS file_type, octet_length(encode(coalesce(text, ''))) AS byte_size, sha256(coalesce(text, '')) AS digest FROM documents"
+)
+def package_members(spark, sf):
+    """Documents written as packages by many tasks and read back by offset."""
+    P.register(spark)
+    docs = table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw_content"))
+    at = shared_folder(spark, "packages")
+    docs.write.format("package").mode("append").save(at)
+    back = spark.read.format("package").option("path", at).option("partitionMembers", 500).load()
+    return A.inventory(back.withColumn("digest", F.sha2("raw_content", 256)), "digest").select("file_path", "file_name", "file_type", "byte_size", "digest")
+
+
 def _xlsx(rows: list[list], name: str) -> bytes:
     cell = lambda c, k, v: f'<c r="{c}{k}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{c}{k}"><v>{v}</v></c>'
     body = "".join(f'<row r="{k}">{"".join(cell(c, k, v) for c, v in zip("ABC", row))}</row>' for k, row in enumerate(rows, 1))

@@ -94,15 +94,15 @@ def packages(members: DataFrame) -> DataFrame:
     return members.filter("error is null").groupBy("archive").agg(F.array_sort(F.collect_list("file_path")).alias("paths"), F.count("*").alias("n_files")).select("archive", T.package_id(name, F.col("paths")).alias("data_package_id"), "n_files")
 
 
-def inventory(members: DataFrame) -> DataFrame:
-    """Members without their bytes, with size, type, and whether they can be chunked."""
+def inventory(members: DataFrame, *also: str) -> DataFrame:
+    """Members without their bytes, with size, type, and whether they can be chunked, and the columns named in ``also``."""
     kind = T.file_type("file_extension")
-    return members.select("archive", "file_path", "file_name", "file_extension", F.length("raw_content").cast("long").alias("byte_size"), kind.alias("file_type"), (kind != "image").alias("is_chunkable"), "error")
+    return members.select("archive", "file_path", "file_name", "file_extension", F.length("raw_content").cast("long").alias("byte_size"), kind.alias("file_type"), (kind != "image").alias("is_chunkable"), "error", *also)
 
 
 def rows_of_table(text: str) -> list[list[str]]:
     try:
-        kind = csv.Sniffer().sniff(text[:4096], delimiters=",;\t|")
+        kind = csv.Sniffer().sniff(text, delimiters=",;\t|")
     except csv.Error:
         kind = csv.excel
     return list(csv.reader(io.StringIO(text), kind))
