@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.sources import runs
+
 
 def session_counts(events: DataFrame, ts: str, key: str, gap: str = "1 day", late: str = "2 days") -> DataFrame:
     """Rows per key and gap session; works on batches and streams (late rows beyond the watermark are dropped on streams)."""
@@ -17,18 +19,12 @@ def session_counts(events: DataFrame, ts: str, key: str, gap: str = "1 day", lat
 def resume(source: DataFrame, process: Callable[[DataFrame], DataFrame], keys: list[str], target: str, checkpoint: str) -> StreamingQuery:
     """Process new rows of a stream once: rows whose keys ``target`` has are skipped, results are appended.
 
-    A restart goes on from ``checkpoint``; a batch that was written but not
-    recorded is written again without repeating a key.
+    ``target`` is a run table (``runs``): a batch reads only the buckets of its keys. A restart goes on from
+    ``checkpoint``; a batch that was written but not recorded is written again without repeating a key.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        fresh = df.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(spark.read.parquet(target).select(*keys).distinct(), keys, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        process(fresh).write.mode("append").parquet(target)
+        fresh = runs.unseen(df.sparkSession, target, df, keys)
+        process(fresh).withColumn(runs.BUCKET, runs.bucket_of(keys)).write.mode("append").partitionBy(runs.BUCKET).parquet(target)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
