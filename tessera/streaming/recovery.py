@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.checkpoint import cut
 
@@ -49,24 +50,47 @@ def with_repairs(chunks: DataFrame, process: Callable[[DataFrame], DataFrame], r
 SEEN = "package string, chunk long, n_known long, n_new long"
 
 
-def accumulate(stream: DataFrame, package: str, chunk: str, text: str) -> DataFrame:
-    """(package, chunk, n_known, n_new) for a stream of evidence: how many distinct texts were known before each chunk, and how many it adds.
+class _Known(StatefulProcessor):
+    """A package's texts by hash, an entry each, and how many there are; a batch writes only what it adds."""
 
-    The state of a package is the hashes of its texts, kept from batch to batch; chunks of one batch count in their order.
-    """
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "hash bigint", "chunk bigint", self.keep_ms)
+        self.count = handle.getValueState("count", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.keep_ms is not None:  # what is kept for a time only must be counted
+            n = sum(1 for _ in self.known.keys())
+        else:
+            n = self.count.get()[0] if self.count.exists() else 0
+        out = []
+        frame = pd.concat(list(rows)).set_axis(["package", "chunk", "hash"], axis=1)  # names don't reach a processor
+        for chunk, part in frame.groupby("chunk", sort=True):
+            fresh = [h for h in dict.fromkeys(part["hash"].tolist()) if not self.known.containsKey((h,))]
+            for h in fresh:
+                self.known.updateValue((h,), (int(chunk),))
+            out.append((key[0], int(chunk), n, len(fresh)))
+            n += len(fresh)
+        self.count.update((n,))
+        yield pd.DataFrame(out, columns=["package", "chunk", "n_known", "n_new"])
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = set(state.get[0]) if state.exists else set()
-        rows, every = [], pd.concat(list(frames))
-        for number, part in every.groupby("__chunk", sort=True):
-            fresh = set(part["__hash"].tolist()) - known
-            rows.append((key[0], int(number), len(known), len(fresh)))
-            known |= fresh
-        state.update((sorted(known),))
-        yield pd.DataFrame(rows, columns=["package", "chunk", "n_known", "n_new"])
+    def close(self) -> None:
+        pass
 
+
+def accumulate(stream: DataFrame, package: str, chunk: str, text: str, keep_seconds: float | None = None) -> DataFrame:
+    """(package, chunk, n_known, n_new) for a stream of evidence: how many distinct texts were known before each chunk, and how many it adds.
+
+    The state of a package is a map of its texts' hashes: a batch reads and writes the entries of its own texts alone, however
+    many are known. Entries older than ``keep_seconds`` are forgotten. Chunks of one batch count in their order. The session's state store
+    must be RocksDB's (``spark.sql.streaming.stateStore.providerClass``), which holds more than memory does.
+    """
     hashed = stream.select(F.col(package).alias("__package"), F.col(chunk).cast("long").alias("__chunk"), F.xxhash64(text).alias("__hash"))
-    return hashed.groupBy("__package").applyInPandasWithState(step, SEEN, "known array<long>", "append", "NoTimeout")
+    keep = None if keep_seconds is None else int(keep_seconds * 1000)
+    mode = "None" if keep is None else "ProcessingTime"
+    return hashed.groupBy("__package").transformWithStateInPandas(_Known(keep), SEEN, "Append", mode)
 
 
 def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:

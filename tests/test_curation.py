@@ -254,7 +254,10 @@ def test_retries():
 def test_state_goes_on_over_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     kind = "package string, chunk long, text string"
-    for part in ([("p", 1, "a"), ("p", 1, "b"), ("p", 2, "a"), ("q", 1, "a")], [("p", 3, "b"), ("p", 3, "c")]):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    many = [("r", 1, f"t{k}") for k in range(500)]
+    written = []
+    for part in ([("p", 1, "a"), ("p", 1, "b"), ("p", 2, "a"), ("q", 1, "a"), *many], [("p", 3, "b"), ("p", 3, "c"), ("r", 2, "t1"), ("r", 2, "new")]):
         spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(kind).parquet(source)
         made = recovery.accumulate(stream, "package", "chunk", "text")
@@ -263,8 +266,10 @@ def test_state_goes_on_over_batches(spark, tmp_path):
         assert not q.isActive
         shown = recovery.progress(spark, q).collect()
         assert shown[-1].status == "completed" and any(r.rows > 0 for r in shown)
+        written.append(sum(o["numRowsUpdated"] for p in q.recentProgress for o in (p if isinstance(p, dict) else json.loads(p.json))["stateOperators"]))
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [("p", 1, 0, 2), ("p", 2, 2, 0), ("p", 3, 2, 1), ("q", 1, 0, 1)]
+    assert got == [("p", 1, 0, 2), ("p", 2, 2, 0), ("p", 3, 2, 1), ("q", 1, 0, 1), ("r", 1, 0, 500), ("r", 2, 500, 1)]
+    assert written[1] < 20 < written[0]  # what the second batch adds, not what is known
 
 
 def test_whole_chunking_keeps_what_passes(spark):
