@@ -202,6 +202,34 @@ def _alike(order: Sequence[int], sizes: Sequence[int], most: int = 256):
         at = end
 
 
+class _Run:
+    """Documents of like length for the fit: their tokens one after the other, with the place of each in the matrix of steps and documents."""
+
+    def __init__(self, docs: Sequence[np.ndarray], labels: Sequence[int], is_bad: np.ndarray):
+        self.lengths = np.array([len(d) for d in docs])
+        self.ids = np.concatenate(docs)
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.document = np.repeat(np.arange(len(docs), dtype=np.int32), self.lengths)
+        self.step = (np.arange(len(self.ids)) - starts[self.document]).astype(np.int32)
+        self.later = np.flatnonzero(self.step > 0)  # tokens that one stands before
+        self.tags = (is_bad[self.ids] * np.array(labels)[self.document]).astype(np.int8)
+
+    def gold(self) -> np.ndarray:
+        """How often a tag follows another."""
+        return np.bincount(2 * self.tags[self.later - 1] + self.tags[self.later], minlength=4).reshape(2, 2).astype(float)
+
+    def add_gradients(self, grads: list[np.ndarray], value: np.ndarray, weights: list[np.ndarray], trans: np.ndarray, pairs: np.ndarray) -> None:
+        ids, later = self.ids, self.later
+        total = value[ids]
+        total[later] += weights[1][ids[later - 1]]
+        total[later - 1] += weights[2][ids[later]]
+        odds = np.ones((self.lengths[-1], len(self.lengths)))
+        odds[self.step, self.document] = np.exp(np.clip(total, -30, 30))
+        missed = self.tags - forward_backward(odds, self.lengths, trans, pairs)[self.step, self.document]
+        for grad, of, by in ((grads[0], ids, missed), (grads[1], ids[later - 1], missed[later]), (grads[2], ids[later], missed[later - 1])):
+            grad += np.bincount(of, by, minlength=len(grad))
+
+
 def fit(labelled: Sequence[tuple[str | None, int]]) -> ChainModel:
     """Fit the chain to the tokens of labelled documents by AdaGrad on the exact gradient, then the regression of the scores.
 
@@ -221,37 +249,18 @@ def fit(labelled: Sequence[tuple[str | None, int]]) -> ChainModel:
     each = [np.array([shape_of.setdefault(f, len(shape_of)) for f in shape_features(w)], np.int32) for w in names]
     owner, flat = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), np.concatenate(each)
     sizes = [len(x) for x in docs]
-    groups = list(_alike(sorted(range(len(docs)), key=lambda i: sizes[i]), sizes))
-    gold, positive = np.zeros((2, 2)), 0.0
-    for ids, label in zip(docs, kept, strict=True):
-        tags = (is_bad[ids] * label).astype(int)
-        np.add.at(gold, (tags[:-1], tags[1:]), 1)
-        positive += tags.sum()
+    groups = [_Run([docs[i] for i in part], [kept[i] for i in part], is_bad) for part, _ in _alike(sorted(range(len(docs)), key=lambda i: sizes[i]), sizes)]
+    gold = sum(g.gold() for g in groups)
+    positive = sum(float(g.tags.sum()) for g in groups)
     n, m = len(names), len(shape_of)
     weights = [np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(m)]  # the token, the one before, the one after, shapes
     squares = [np.full(len(w), 1e-9) for w in weights]
     log_trans, square_t = np.zeros((2, 2)), np.full((2, 2), 1e-9)
-
-    def odds_of(ids: np.ndarray) -> np.ndarray:
-        total = value[ids]
-        total[1:] += weights[1][ids[:-1]]
-        total[:-1] += weights[2][ids[1:]]
-        return np.exp(np.clip(total, -30, 30))
-
     for _ in range(ROUNDS):
         value = weights[0] + np.bincount(owner, weights[3][flat], minlength=n)
         grads, pairs, trans = [np.zeros(n), np.zeros(n), np.zeros(n)], np.zeros((2, 2)), np.exp(log_trans)
-        for part, lengths in groups:
-            odds = np.ones((lengths[-1], len(part)))
-            for k, i in enumerate(part):
-                odds[: lengths[k], k] = odds_of(docs[i])
-            p = forward_backward(odds, lengths, trans, pairs)
-            for k, i in enumerate(part):
-                ids = docs[i]
-                missed = is_bad[ids] * kept[i] - p[: lengths[k], k]
-                np.add.at(grads[0], ids, missed)
-                np.add.at(grads[1], ids[:-1], missed[1:])
-                np.add.at(grads[2], ids[1:], missed[:-1])
+        for g in groups:
+            g.add_gradients(grads, value, weights, trans, pairs)
         grads.append(np.bincount(flat, grads[0][owner], minlength=m))
         for w, g, s in zip(weights, grads, squares, strict=True):
             g = g / positive - DECAY * w
