@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 Name = Column | str
 
@@ -78,6 +81,21 @@ def char_entropy(c: Name) -> Column:
     return entropy_of(char_runs(c), F.length(col(c)))
 
 
+@F.pandas_udf(StructType([StructField("entropy", DoubleType()), StructField("n_kinds", LongType())]))
+def text_entropy(texts: pd.Series) -> pd.DataFrame:
+    """Shannon entropy in bits and number of distinct characters of whole texts; null for null, 0 for empty."""
+    rows = []
+    for t in texts:
+        if t is None:
+            rows.append((None, None))
+            continue
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts = np.bincount(points) if len(points) and points.max() < 1 << 16 else np.unique(points, return_counts=True)[1]
+        share = counts[counts > 0] / max(1, len(points))
+        rows.append((float(-(share * np.log2(share)).sum()) + 0.0, len(share)))
+    return pd.DataFrame(rows, columns=["entropy", "n_kinds"])
+
+
 def control_ratio(c: Name) -> Column:
     """Share of control characters other than tab, line feed and carriage return."""
     c = col(c)

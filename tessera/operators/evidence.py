@@ -79,17 +79,26 @@ def validate(df: DataFrame, evidence_col: str, content_col: str, least: float =
     return df.withColumn("match_score", F.round(scored, 6)).withColumn("supported", F.col("match_score") >= least)
 
 
-def dedup_exact(df: DataFrame, key: Sequence[Column], id_col: str, file_rank: Column, claim: Column, order: Column) -> DataFrame:
-    """Adds ``representative`` and ``kept``: of equal keys the row of the best-ranked file, then the longest claim, then the first.
+def representatives(df: DataFrame, key: Sequence[Column], id_col: str, file_rank: Column, claim: Column, order: Column) -> DataFrame:
+    """(id, ``representative``, ``kept``): of equal keys the row of the best-ranked file, then the longest claim, then the first.
 
-    The representative is a minimum by key, combined before the shuffle, and is
-    joined back, so a hot key is never collected. Rows whose last key part is
-    empty stand for themselves.
+    Keys are made once and kept as digests beside ids, which is all that is shuffled. The representative is a minimum by key,
+    combined before the shuffle and joined back, so a hot key is never collected. Rows whose last key part is
+    empty stand for themselves and aren't shuffled.
     """
     parts = [F.coalesce(k.cast("string"), F.lit("")) for k in key]
-    marked = df.withColumn("__key", F.when(parts[-1] != "", F.sha2(F.concat_ws("|", *parts), 256)))
-    best = marked.filter("__key is not null").groupBy("__key").agg(F.min_by(F.col(id_col), F.struct(F.coalesce(file_rank, F.lit(UNRANKED)), -F.length(claim), order)).alias("representative"))
-    return marked.join(best, "__key", "left").withColumn("representative", F.coalesce("representative", F.col(id_col))).withColumn("kept", F.col("representative") == F.col(id_col)).drop("__key")
+    digest = F.when(parts[-1] != "", F.sha2(F.concat_ws("|", *parts), 256))
+    rows = cut(df.select(F.col(id_col), digest.alias("__key"), F.struct(F.coalesce(file_rank, F.lit(UNRANKED)).alias("r"), (-F.length(claim)).alias("n"), order.alias("o")).alias("__place")))
+    known = rows.filter("__key is not null")
+    best = known.groupBy("__key").agg(F.min_by(F.col(id_col), "__place").alias("representative"))
+    found = known.join(best, "__key").select(id_col, "representative")
+    alone = rows.filter("__key is null").select(id_col, F.col(id_col).alias("representative"))
+    return found.unionByName(alone).withColumn("kept", F.col("representative") == F.col(id_col))
+
+
+def dedup_exact(df: DataFrame, key: Sequence[Column], id_col: str, file_rank: Column, claim: Column, order: Column) -> DataFrame:
+    """Adds ``representative`` and ``kept`` (see ``representatives``) to rows whose ids are distinct."""
+    return df.join(representatives(df, key, id_col, file_rank, claim, order), id_col)
 
 
 def merge_contexts(*contexts: DataFrame) -> DataFrame:
@@ -160,21 +169,38 @@ def fuzzy_links(df: DataFrame, id_col: str, text_col: str, class_col: str, least
     return copies.unionByName(cells.groupBy("w", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}, similarity double"))
 
 
+#: bytes of passages that are broadcast at most, and parts of the documents that meet a block of more
+PASSAGE_BYTES, PASSAGE_SALTS = 4 << 20, 64
+
+
 def find_passages(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: str, item_id: str, passage: str) -> DataFrame:
     """(doc_id, item_id) of the documents that hold a passage, both in their normal form.
 
     A term inside a passage, neither its first nor its last, is a whole term of every text
-    that holds it: documents are found by the longest one. Passages without such a term are compared with all documents.
+    that holds it: documents are found by the longest one. Passages without such a term are compared with all documents:
+    broadcast if they have at most ``PASSAGE_BYTES`` together, else dealt to blocks of that size, which meet the documents
+    in tasks of their own.
     """
     whole = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")
     norm = passages.select(item_id, T.normalise_evidence(passage).alias("__e")).filter("__e <> ''")
     inner = F.filter(F.slice(whole(F.col("__e")), 2, F.greatest(F.lit(0), F.size(whole(F.col("__e"))) - 2)), lambda x: F.length(x) >= 3)
     best = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    marks = norm.select(item_id, "__e", F.coalesce(best, F.lit("")).alias("__term"))
-    own = docs.select(doc_id, F.explode(F.array_append(F.array_distinct(whole(T.normalise_evidence(doc_text))), F.lit(""))).alias("__term"))
-    hits = own.join(marks.select("__term").distinct(), "__term", "left_semi").join(marks.select("__term", item_id), "__term").select(doc_id, item_id).distinct()
+    marks = cut(norm.select(item_id, "__e", best.alias("__term")))
+    own = docs.select(doc_id, F.explode(F.array_distinct(whole(T.normalise_evidence(doc_text)))).alias("__term"))
+    named = marks.filter("__term is not null")
+    hits = own.join(named.select("__term").distinct(), "__term", "left_semi").join(named.select("__term", item_id), "__term").select(doc_id, item_id).distinct()
     texts = docs.select(doc_id, T.normalise_evidence(doc_text).alias("__t"))
-    return hits.join(texts, doc_id).join(norm, item_id).filter(F.col("__t").contains(F.col("__e"))).select(doc_id, item_id).distinct()
+    found = hits.join(texts, doc_id).join(norm, item_id)
+    short = marks.filter("__term is null").select(item_id, "__e")
+    blocks = -(-(short.agg(F.sum(F.octet_length("__e"))).first()[0] or 0) // PASSAGE_BYTES)
+    if blocks > 1:
+        dealt = short.select(item_id, "__e", F.pmod(F.xxhash64(item_id), F.lit(blocks)).alias("__b"), F.explode(F.sequence(F.lit(0), F.lit(PASSAGE_SALTS - 1))).alias("__s"))
+        every = texts.select(doc_id, "__t", F.pmod(F.xxhash64(doc_id), F.lit(PASSAGE_SALTS)).cast("int").alias("__s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("__b"))
+        tried = every.join(dealt, ["__b", "__s"])
+    else:
+        tried = texts.join(F.broadcast(short))
+    both = [x.filter(F.col("__t").contains(F.col("__e"))).select(doc_id, item_id) for x in (found, tried)]
+    return (both[0].union(both[1]) if blocks else both[0]).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

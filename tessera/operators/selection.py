@@ -69,9 +69,12 @@ def preview(text: Column, lines: int = PREVIEW_LINES, chars: int = LINE_CHARS) -
 
 
 def within_budget(sections: DataFrame, keys: Sequence[str], order: str, text: str, budget: int) -> DataFrame:
-    """Sections in order as long as their estimated tokens fit the budget together; what doesn't fit is left out, and what comes after it too."""
+    """Sections in order as long as their estimated tokens fit the budget together, from the first that fits it alone; what comes after the first that doesn't is left out."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sections.withColumn("tokens", T.estimated_tokens(text)).withColumn("used", F.sum("tokens").over(w)).filter(F.col("used") <= budget)
+    sized = sections.withColumn("tokens", T.estimated_tokens(text))
+    begun = F.bool_or(F.col("tokens") <= budget).over(w)
+    used = sized.withColumn("__begun", begun).withColumn("used", F.sum(F.when(F.col("__begun"), F.col("tokens")).otherwise(0)).over(w))
+    return used.filter(F.col("__begun") & (F.col("used") <= budget)).drop("__begun")
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, files: DataFrame, limit: int = NEIGHBOURS) -> DataFrame:

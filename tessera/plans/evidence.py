@@ -16,7 +16,7 @@ _NORM = r"regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ',
 )
 def exact_dedup_representative(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.expr("cast(substr(source, 4) as int)").alias("r"))
-    return E.dedup_exact(docs, [T.normalise_evidence("text")], "doc_id", F.col("r"), F.col("text"), F.col("doc_id")).select("doc_id", "representative", "kept")
+    return E.representatives(docs, [T.normalise_evidence("text")], "doc_id", F.col("r"), F.col("text"), F.col("doc_id"))
 
 
 @query()

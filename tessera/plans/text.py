@@ -47,9 +47,8 @@ def line_quality_reasons(spark, sf):
     " SELECT doc_id, round(sum(-(m / n) * log2(m / n)), 6) AS entropy, count(*) AS n_kinds FROM k GROUP BY doc_id"
 )
 def doc_char_entropy(spark, sf):
-    docs = table(spark, sf, "documents").filter("text <> ''")
-    runs = docs.select("doc_id", F.length("text").alias("n"), T.char_runs("text").alias("runs"))
-    return runs.select("doc_id", F.round(T.entropy_of(F.col("runs"), F.col("n")), 6).alias("entropy"), F.size("runs").cast("long").alias("n_kinds"))
+    docs = table(spark, sf, "documents").filter("text <> ''").select("doc_id", T.text_entropy("text").alias("e"))
+    return docs.select("doc_id", F.round("e.entropy", 6).alias("entropy"), "e.n_kinds")
 
 
 @query(
