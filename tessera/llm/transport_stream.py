@@ -120,6 +120,9 @@ class Stream:
     repeated: int = 0
     bad_tables: int = 0
     skipped_bytes: int = 0
+    #: packets that their sender marked as damaged, and units with fewer bytes than their head says
+    damaged: int = 0
+    short: int = 0
 
     @property
     def feature(self) -> str:
@@ -133,12 +136,16 @@ class Stream:
 def demux(stream: bytes, pid: int | None = None) -> Stream:
     """Read a stream back. ``pid``: the elementary stream to take; None takes the first that a program table lists.
 
-    Bytes before a sync byte are skipped and counted; a packet whose continuity
-    counter repeats is dropped once, a gap is counted as lost and the unit goes
-    on; tables with a wrong CRC are counted and not used.
+    Bytes before a sync byte are skipped and counted; a packet with the transport
+    error mark is counted and not used; a packet whose continuity counter repeats
+    is dropped once, a gap is counted as lost, unless the packet is marked as
+    discontinuous, and the unit goes on; tables with a wrong CRC are counted and not
+    used. A unit has as many bytes as its head says (any, if that is 0): more are not
+    taken, and units with fewer are counted.
     """
     out, last, maps, parts, n = Stream(), {}, set(), [], len(stream)
     at = size = 0
+    room: int | None = None  # bytes that the present unit still wants
     while at + PACKET <= n:
         if stream[at] != SYNC:
             at += 1
@@ -146,17 +153,21 @@ def demux(stream: bytes, pid: int | None = None) -> Stream:
             continue
         b1, b3 = stream[at + 1], stream[at + 3]
         this, start = (b1 & 31) << 8 | stream[at + 2], b1 & 0x40
-        body, end, random = at + 4, at + PACKET, False
+        body, end, random, jump = at + 4, at + PACKET, False, False
         at = end
         out.packets += 1
+        if b1 & 0x80:
+            out.damaged += 1
+            continue
         if b3 & 0x20:
             long = stream[body]
-            random = bool(long and stream[body + 1] & 0x40)
+            marks = stream[body + 1] if long else 0
+            random, jump = bool(marks & 0x40), bool(marks & 0x80)
             body += 1 + long
         if not b3 & 0x10 or body >= end:
             continue
         cc, before = b3 & 15, last.get(this)
-        if before is not None and cc != before + 1 & 15:
+        if before is not None and cc != before + 1 & 15 and not jump:
             if cc == before:
                 out.repeated += 1
                 continue
@@ -188,11 +199,17 @@ def demux(stream: bytes, pid: int | None = None) -> Stream:
                 if stream[body + 7] & 0x80:
                     p = stream[body + 9 : body + 14]
                     pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
-                body += 9 + stream[body + 8]
+                says, head = stream[body + 4] << 8 | stream[body + 5], 9 + stream[body + 8]
+                out.short += bool(room)
+                room = max(0, says + 6 - head) if says else None
+                body += head
                 out.units.append((pts, size, random))
             if out.units:
-                parts.append(stream[body:end])
-                size += end - body
+                took = stream[body : end if room is None else min(end, body + room)]
+                parts.append(took)
+                size += len(took)
+                room = None if room is None else room - len(took)
+    out.short += bool(room)
     out.payload = b"".join(parts)
     return out
 
