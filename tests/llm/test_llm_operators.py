@@ -578,3 +578,19 @@ def test_license_query_against_brute_force(spark, texts):
         found = {x for x, t in STATEMENTS if any(plain_match(t, words, at) for at in range(len(words)))}
         base = set(filter(None, r.base_labels.split(",")))
         assert r.labels == ",".join(sorted(base | found)) and r.score == (1.0 if found else 0.5 if base else 0.0)
+
+
+def test_shipped_licenses_against_brute_force(spark, texts):
+    """All templates that the query uses, over short documents, whole licenses and ones with a word changed."""
+    few = {i: t for i, t in sorted(texts.items()) if t and len(t) < 700}
+    few = dict(list(few.items())[:12])
+    whole = [plain_license(t) for _, t in license_scan.TEMPLATES]
+    few |= {9000 + k: f"Intro. {t}" for k, t in enumerate(whole) if k % 4 == 0} | {9500: " ".join("other" if k == 30 else w for k, w in enumerate(whole[0].split()))}
+    df = spark.createDataFrame(list(few.items()), "doc_id long, text string")
+    seen = set()
+    for r in license_scan.scan_licenses(df).collect():
+        words = license_scan.words_of(few[r.doc_id])
+        want = {(at, max(ends), label) for label, t in license_scan.TEMPLATES for at in range(len(words)) if (ends := plain_match(t, words, at))}
+        assert {(m.start, m.end, m.label) for m in r.matches} == want, r.doc_id
+        seen |= {label for *_, label in want}
+    assert len(seen) >= 8
