@@ -258,12 +258,14 @@ def coder(path: str) -> BytePairCoder:
     return BytePairCoder(path)
 
 
-def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, release: bool = False) -> DataFrame:
     """Encode whole texts, decode the ids again and describe both.
 
     ``path``: the vocabulary file, readable under that name on every executor.
     Returns ``id_col``, ``n_tokens``, SHA-256 of the ids and of the decoded text
-    and, with ``keep_ids``, ``ids`` (array<int>) and ``decoded``. A null text counts
+    and, with ``keep_ids``, ``ids`` (array<int>) and ``decoded``. With ``release`` a
+    task empties its caches, which a worker otherwise keeps for the next one: for jobs
+    that go on to other stages in the same workers. A null text counts
     as empty, which has no ids; repeated rows are returned as often as they occur;
     no other column is read.
     """
@@ -275,4 +277,4 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             out = (i, n, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
             yield (*out, [int(x) for x in line.split()], decoded) if keep_ids else out
 
-    return map_rows(df, [id_col, text_col], f"{id_col} {kind}, {SCHEMA}" + ", ids array<int>, decoded string" * keep_ids, rows, start=lambda: coder(path), finish=BytePairCoder.forget)
+    return map_rows(df, [id_col, text_col], f"{id_col} {kind}, {SCHEMA}" + ", ids array<int>, decoded string" * keep_ids, rows, start=lambda: coder(path), finish=BytePairCoder.forget if release else None)
