@@ -262,9 +262,10 @@ def semantic_hints(c: Name) -> Column:
 
 
 def ordered_distinct(*parts: Name) -> Column:
-    """Parts that aren't empty, each once (by lower case), in order, joined by spaces."""
+    """Parts that aren't empty, in order, joined by spaces; of parts that differ in case alone the first."""
     items = F.filter(F.array(*(strip(F.coalesce(col(p), F.lit(""))) for p in parts)), lambda x: x != "")
-    return F.array_join(F.array_distinct(items), " ")
+    first = F.filter(items, lambda x, k: F.array_position(F.transform(items, F.lower), F.lower(x)) == k + 1)
+    return F.array_join(first, " ")
 
 
 def negated(c: Name, keyword: str, reach: int = 40) -> Column:

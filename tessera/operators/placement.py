@@ -47,8 +47,14 @@ def score_parents(parents: DataFrame, evidence: DataFrame, limit: int = 4) -> Da
     a manufacturer needs a word of its title and nothing about settings.
     """
     p = parents.select("doc", "parent", "role", T.terms(F.coalesce("title", F.lit(""))).alias("__t"), T.terms(F.coalesce("words", F.lit(""))).alias("__w"))
-    e = evidence.select("doc", "candidate_id", "category", T.normalise_label(F.coalesce("text", F.lit(""))).alias("__x"))
-    j = p.join(e.withColumn("__own", F.split("__x", " ")), "doc")
+    e = evidence.select("doc", "candidate_id", "category", T.normalise_label(F.coalesce("text", F.lit(""))).alias("__x")).withColumn("__own", F.split("__x", " "))
+    # only what shares a term, or has points for the parent's role, is brought together
+    terms = p.select("doc", "parent", F.explode(F.array_union("__t", "__w")).alias("__term"))
+    words = e.select("doc", "candidate_id", F.explode(F.array_distinct("__own")).alias("__term"))
+    liked = F.filter(F.array(*(F.when(role_points(F.lit(r), F.col("category"), F.col("__x")) > 0, F.lit(r)) for r in ROLE_POINTS)), lambda r: r.isNotNull())
+    roles = e.select("doc", "candidate_id", F.explode(liked).alias("role"))
+    pairs = terms.join(words, ["doc", "__term"]).select("doc", "parent", "candidate_id").union(p.join(roles, ["doc", "role"]).select("doc", "parent", "candidate_id")).distinct()
+    j = pairs.join(p, ["doc", "parent"]).join(e, ["doc", "candidate_id"])
     hits = lambda c: F.size(F.array_intersect(F.array_distinct(c), "__own"))
     title, words = hits(F.col("__t")), hits(F.col("__w"))
     base = title * 4 + F.least(words, F.lit(3)) + role_points(F.col("role"), F.col("category"), F.col("__x"))
