@@ -138,7 +138,7 @@ def document_quality_states(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT l_orderkey AS id, CASE l_linenumber WHEN 1 THEN '/order/priority' ELSE '/parties/0/id' END AS pointer, max(l_returnflag) AS mark FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL), g AS (SELECT o_orderkey AS id, '/order/priority' AS pointer FROM orders)
+    """WITH m AS (SELECT l_orderkey AS id, CASE l_linenumber WHEN 1 THEN '/order/priority' ELSE '/parties/' || (l_linenumber - 2) || '/id' END AS pointer, max(l_returnflag) AS mark FROM lineitem GROUP BY ALL), g AS (SELECT o_orderkey AS id, '/order/priority' AS pointer FROM orders)
     SELECT coalesce(g.id, m.id) AS id, coalesce(g.pointer, m.pointer) AS pointer, CASE WHEN g.id IS NOT NULL THEN 'priority' ELSE 'id' END AS field_name, coalesce(mark, 'pending') AS status, CASE WHEN mark IS NULL THEN 'non_enriched,other' WHEN g.id IS NULL THEN '' ELSE 'other' END AS categories,
     CASE WHEN mark IS NULL THEN 'why' ELSE '' END AS edit_needed_reason FROM g FULL JOIN m ON g.id = m.id AND g.pointer = m.pointer"""
 )
@@ -147,7 +147,8 @@ def curated_ledger(spark, sf):
         F.col("o_orderkey").alias("id"), F.lit("/order/priority").alias("pointer"), F.lit("priority").alias("field_name"), F.lit("pending").alias("status"),
         F.array(F.lit("non_enriched"), F.lit("other")).alias("issue_categories"), F.lit("why").alias("edit_needed_reason"),
     )
-    marks = table(spark, sf, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") == 1, "/order/priority").otherwise("/parties/0/id").alias("pointer"), F.col("l_returnflag").alias("status"))
+    party = F.concat(F.lit("/parties/"), (F.col("l_linenumber") - 2).cast("string"), F.lit("/id"))
+    marks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") == 1, "/order/priority").otherwise(party).alias("pointer"), F.col("l_returnflag").alias("status"))
     made = K.mark_curated(ledger, marks)
     return made.withColumn("categories", F.array_join("issue_categories", ",")).drop("issue_categories")
 
@@ -197,7 +198,9 @@ def _attributes(spark, sf):
     n AS (SELECT id, label, value, count(DISTINCT arr) AS k FROM g GROUP BY ALL) SELECT g.id, position, arr AS "array", survivor FROM g JOIN n USING (id, label, value) WHERE k > 1 AND position <> survivor"""
 )
 def cross_parent_duplicates(spark, sf):
-    rows = _attributes(spark, sf).select("id", "position", F.concat(F.lit("/a/"), (F.col("p") % 3).cast("string")).alias("array"), "label", "value", F.lit("").alias("unit"), (F.col("p") % 7).alias("score"))
+    """Values are moved by less than the tolerance; the SQL has them as they are."""
+    nearly = F.col("value") * (1 + (F.col("position") % 3) * 1e-7)
+    rows = _attributes(spark, sf).select("id", "position", F.concat(F.lit("/a/"), (F.col("p") % 3).cast("string")).alias("array"), "label", nearly.alias("value"), F.lit("").alias("unit"), (F.col("p") % 7).alias("score"))
     return K.cross_parent_duplicates(rows)
 
 
@@ -339,12 +342,13 @@ def query_ledgers(spark, sf):
 
 
 @query(
-    f"""WITH {_DRAFTS}, f AS (SELECT id, {_Q} || '/0/title' AS pointer, pr AS own, pr, st FROM d UNION ALL SELECT id, {_Q} || '/0/value', pr, pr, st FROM d UNION ALL SELECT id, {_Q} || '/1/title', 'Mass', pr, st FROM d UNION ALL SELECT id, {_Q} || '/1/has_quantity_type', 'Mass', pr, st FROM d)
-    SELECT id, pointer, concat_ws(' > ', CASE WHEN st <> 'P' THEN 'Activity ' || pr END, own) AS context FROM f"""
+    f"""WITH {_DRAFTS}, f AS (SELECT id, {_Q} || '/0/title' AS pointer, pr AS own, pr, st FROM d UNION ALL SELECT id, {_Q} || '/0/value', pr, pr, st FROM d UNION ALL SELECT id, {_Q} || '/1/title', 'Mass', pr, st FROM d UNION ALL SELECT id, {_Q} || '/1/has_quantity_type', 'Mass', pr, st FROM d
+      UNION ALL SELECT id, {_Q} || '/1/unit', 'Mass', pr, st FROM d WHERE st = 'F' UNION ALL SELECT id, '/was_generated_by/0/title', NULL, pr, st FROM d WHERE st <> 'P'
+      UNION ALL SELECT id, '/was_generated_by/0/carried_out_by/0/title', 'NMR instrument', pr, st FROM d WHERE st = 'O' UNION ALL SELECT id, '/was_generated_by/0/carried_out_by/0/id', CASE WHEN st = 'O' THEN 'NMR instrument' END, pr, st FROM d WHERE st <> 'P')
+    SELECT id, pointer, concat_ws(' > ', CASE WHEN st <> 'P' THEN 'Activity ' || pr END, own) AS context FROM f UNION ALL SELECT id, '/has_qualitative_attribute/0/title', st FROM d"""
 )
 def ancestor_labels(spark, sf):
-    made = L.ancestor_labels(_leaves(spark, sf))
-    return made.filter(F.col("pointer").contains("has_quantitative_attribute") & ~F.col("pointer").endswith("unit"))
+    return L.ancestor_labels(_leaves(spark, sf))
 
 
 _BRANCHES = (

@@ -142,12 +142,13 @@ def pdf_texts(spark, sf):
 
 
 @query(
-    """WITH n AS (SELECT n_regionkey AS r, 'http://e.org/n' || n_nationkey AS s, n_name FROM nation) SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://e.org/Nation' AS o, 'iri' AS o_kind, NULL AS o_lang, NULL AS o_datatype FROM n UNION ALL SELECT s, 'http://e.org/label', n_name, 'literal', 'en', NULL FROM n
+    """WITH n AS (SELECT n_regionkey AS r, 'http://e.org/n' || n_nationkey AS s, n_name FROM nation), t AS (SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://e.org/Nation' AS o, 'iri' AS o_kind, NULL AS o_lang, NULL AS o_datatype FROM n UNION ALL SELECT s, 'http://e.org/label', n_name, 'literal', 'en', NULL FROM n
     UNION ALL SELECT s, 'http://e.org/label', n_name || '"' || chr(10), 'literal', NULL, 'http://e.org/t' FROM n UNION ALL SELECT s, 'http://e.org/in', 'http://e.org/r' || r, 'iri', NULL, NULL FROM n UNION ALL SELECT 'http://e.org/r' || r_regionkey, 'http://e.org/key', CAST(r_regionkey AS VARCHAR), 'literal', NULL, 'http://www.w3.org/2001/XMLSchema#integer' FROM region
-    UNION ALL SELECT 'http://e.org/r' || r_regionkey, 'http://e.org/label', r_name, 'literal', 'en', NULL FROM region"""
+    UNION ALL SELECT 'http://e.org/r' || r_regionkey, 'http://e.org/label', r_name, 'literal', 'en', NULL FROM region)
+    SELECT *, NULL AS failed FROM t UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, unnest(['/x.docx', '/y.ttl'])"""
 )
 def rdf_triples(spark, sf):
-    """Regions with their nations as Turtle, the regions' labels as RDF/XML, and a file of another kind, which gives an error row that is left out here."""
+    """Regions with their nations as Turtle, the regions' labels as RDF/XML, a file of another kind and a broken one, which give a row each with their path."""
     n = table(spark, sf, "nation")
     about = F.concat(F.lit("e:n"), F.col("n_nationkey").cast("string"), F.lit(' a e:Nation ; e:label "'), "n_name", F.lit('"@en , """'), "n_name", F.lit('\\"\n"""^^e:t ;\n e:in e:r'), F.col("n_regionkey").cast("string"), F.lit(" .\n"))
     body = n.groupBy("n_regionkey").agg(F.array_join(F.collect_list(about), "# next\n").alias("body"))
@@ -158,7 +159,7 @@ def rdf_triples(spark, sf):
         F.concat(F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e.org/"><rdf:Description rdf:about="http://e.org/r'), F.col("r_regionkey").cast("string"), F.lit('"><e:label xml:lang="en">'), "r_name", F.lit("</e:label></rdf:Description></rdf:RDF>")).alias("content"),
     )
     other = spark.createDataFrame([("/x.docx", "no triples"), ("/y.ttl", "<a> <b>")], "path string, content string")
-    return V.read_rdf(turtle.unionByName(xml).unionByName(other)).filter("error is null").select("s", "p", "o", "o_kind", "o_lang", "o_datatype")
+    return V.read_rdf(turtle.unionByName(xml).unionByName(other)).select("s", "p", "o", "o_kind", "o_lang", "o_datatype", F.when(F.col("error").isNotNull(), F.col("path")).alias("failed"))
 
 
 @query(

@@ -189,10 +189,10 @@ def related_terms(spark, sf):
 
 
 @query(
-    f"WITH {_NODES} SELECT uri, list_last(string_split(uri, '/')) AS local, coalesce(t, '') AS rdf_type FROM nodes WHERE uri NOT LIKE 'order/%'"
+    f"WITH {_NODES} SELECT uri, list_last(string_split(uri, '/')) AS local, coalesce(t, '') AS rdf_type FROM nodes"
 )
 def candidate_titles(spark, sf):
-    n = nodes(spark, sf).filter(~F.col("uri").startswith("order/"))
+    n = nodes(spark, sf)
     made = G.candidate_records(n, ["label"], ["definition"], ["name"])
     return made.join(n, "uri").select("uri", F.col("title").alias("local"), F.array_join("rdf_types", ",").alias("rdf_type"))
 
