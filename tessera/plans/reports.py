@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import reports as R
+from tessera.operators import usage as U
 from tessera.plans.base import query, table
 
 _PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
@@ -32,6 +33,27 @@ def weighted_requirement_score(spark, sf):
     return R.weighted_score(j, ["source"], F.col("quality") * 1.5 - 0.25, 0.75 + (F.col("doc_id") % 3) * 0.25, F.col("toxic") == 0)
 
 
+@query(
+    """WITH t AS (SELECT role, conv_id % 3 + 1 AS requests, ceil(length(text) / 4)::BIGINT AS i, (turn * 7 + 3)::BIGINT AS o, (conv_id % 5) * 100 AS ms, turn FROM conversations), s AS (SELECT role, count(*) AS operations, sum(requests)::BIGINT AS requests, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(ms)::BIGINT AS ms FROM t GROUP BY role),
+    d AS (SELECT role, 'turn_' || (turn % 3) AS k, sum(i) AS n FROM t GROUP BY ALL UNION ALL SELECT role, 'odd', sum(o) FROM t WHERE turn % 2 = 1 GROUP BY role), m AS (SELECT role, string_agg(k || '=' || n, ';' ORDER BY k) AS details FROM d GROUP BY role)
+    SELECT role, operations, requests, input_tokens, output_tokens, details, round((input_tokens + output_tokens) / requests, 4) AS tokens_per_request, CASE WHEN ms > 0 THEN round((input_tokens + output_tokens) * 1000 / ms, 4) END AS tokens_per_second FROM s JOIN m USING (role)"""
+)
+def merged_usage(spark, sf):
+    """Usage of roles with nested counts, merged in two parts and the parts merged."""
+    c = table(spark, sf, "conversations")
+    tokens, out = T.estimated_tokens("text"), F.col("turn") * 7 + 3
+    odd = F.when(F.col("turn") % 2 == 1, F.create_map(F.lit("odd"), out))
+    rows = c.select(
+        "role", "conv_id", (F.col("conv_id") % 3 + 1).alias("requests"), tokens.alias("input_tokens"), out.alias("output_tokens"), (F.col("conv_id") % 5 * 100).alias("total_duration_ms"), F.lit(0).alias("response_duration_ms"),
+        U.added(F.create_map(F.concat(F.lit("turn_"), (F.col("turn") % 3).cast("string")), tokens), odd).alias("details"),
+    )
+    measures = ["requests", "input_tokens", "output_tokens", "response_duration_ms", "total_duration_ms"]
+    parts = [U.merge_usage(rows.filter(F.col("conv_id") % 2 == k), ["role"], measures, "details") for k in (0, 1)]
+    made = U.with_ratios(U.merge_merged(parts[0].unionByName(parts[1]), ["role"], measures, "details"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ";")
+    return made.select("role", "operations", "requests", "input_tokens", "output_tokens", shown.alias("details"), "tokens_per_request", "tokens_per_second")
+
+
 @query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) AS total FROM events GROUP BY user_id")
 def status_counts(spark, sf):
     return R.status_counts(table(spark, sf, "events"), "event_type", ["click", "error", "purchase"], ["user_id"])
