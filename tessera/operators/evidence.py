@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -112,8 +113,8 @@ def merge_contexts(*contexts: DataFrame) -> DataFrame:
     return every.withColumn("__k", first).filter((F.col("__k") == 1) | (F.col("route") == "rejected_evidence")).drop("__k", "__context")
 
 
-#: texts of a cell of compared pairs, from either side
-CELL = 1500
+#: texts of a part of a band of lengths (about), and how much longer the texts of the next band are
+CELL, BAND = 1500, 1.25
 
 
 def _histograms(texts: list[str]) -> np.ndarray:
@@ -124,49 +125,69 @@ def _histograms(texts: list[str]) -> np.ndarray:
     return out
 
 
-def similar_pairs(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int, float]]:
-    """(i, j, ratio) of all pairs whose ratio reaches ``least``. What two texts have in common is never more than their character classes have, which rules most pairs out."""
+def similar_pairs(left: list[str], right: list[str], least: float, turned: Callable[[int, int], bool] = lambda i, j: False) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of all pairs whose ratio reaches ``least``; of ``turned`` pairs the right text comes first (the ratio depends on it). What two texts have in common is never more than their character classes have, which rules most pairs out."""
     a, b = _histograms(left), _histograms(right)
     sizes = b.sum(1)
     matcher = SequenceMatcher(None, autojunk=True)
     for i, text in enumerate(left):
         common = np.minimum(a[i], b).sum(1)
         for j in np.flatnonzero(2 * common >= least * (a[i].sum() + sizes) - 1e-9).tolist():
-            matcher.set_seqs(text, right[j])
+            matcher.set_seqs(*((right[j], text) if turned(i, j) else (text, right[j])))
             ratio = round(matcher.ratio(), 6)
             if ratio >= least:
                 yield i, j, ratio
 
 
 def fuzzy_links(df: DataFrame, id_col: str, text_col: str, class_col: str, least: float = 0.5, min_chars: int = 10, within: Sequence[str] = ()) -> DataFrame:
-    """(a, b, similarity) of texts of ``within`` (such as a package) whose ratio reaches ``least``; pairs of one class link only when equal.
+    """(a, b, similarity) of texts of ``within`` (such as a package) whose ratio, of the text of the smaller id to the other, reaches ``least``; pairs of one class link only when equal.
 
     Equal texts of a class are one node: their rows are linked to the one of least id.
-    All pairs of nodes are compared, in cells of at most ``CELL`` texts
-    from either side, and only links leave a cell; no pair is lost. For a large
-    collection give ``within``: the comparisons grow with the square of its largest part.
+    Nodes are dealt to bands of length, and bands to parts of about ``CELL`` texts. Two parts are compared, in a task of their own, only where
+    lengths from their bands can reach ``least``; no pair is lost, and only links leave a task. For a large
+    collection give ``within`` too: the comparisons grow with the square of its largest band.
     """
     kind = dict(df.dtypes)[id_col]
     key = F.concat_ws("\u0001", *within) if within else F.lit("")
     rows = df.select(F.col(id_col).alias("id"), T.normalise_evidence(text_col).alias("t"), F.col(class_col).cast("string").alias("c"), key.alias("w")).filter(F.length("t") >= min_chars)
     nodes = cut(rows.groupBy("w", "c", "t").agg(F.min("id").alias("id")))
     copies = rows.join(nodes.withColumnRenamed("id", "a"), (rows.w == nodes.w) & (rows.t == nodes.t) & rows.c.eqNullSafe(nodes.c)).filter(F.col("a") < F.col("id")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
-    sized = nodes.join(nodes.groupBy("w").agg(F.count("*").alias("n")), "w")
-    parts = F.ceil(F.col("n") / CELL).cast("int")
-    dealt = sized.withColumn("__n", parts).withColumn("__g", F.pmod(F.xxhash64("t", "c"), F.col("__n")).cast("int"))
-    cells = dealt.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select("w", F.least("__g", "__k").alias("x"), F.greatest("__g", "__k").alias("y"), "__g", "id", "t", "c")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        sides = [pdf[pdf["__g"] == g].reset_index(drop=True) for g in (x, y)]
+    banded = nodes.withColumn("band", F.floor(F.log(F.greatest(F.length("t"), F.lit(1)).cast("double")) / math.log(BAND) + 1e-9).cast("int"))
+    sizes = banded.groupBy("w", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))  # a row for each band
+    dealt = banded.join(sizes, ["w", "band"]).withColumn("part", F.pmod(F.xxhash64("t", "c"), F.col("parts")).cast("int"))
+    # the bands above one whose shortest texts are near enough to its longest
+    reach = max(k for k in range(1, 200) if least <= 0 or 2 / (1 + BAND ** (k - 1)) >= least - 1e-9) if least > 0.02 else 200
+    lower, upper = sizes.alias("l"), sizes.alias("u")
+    meets = lower.join(upper, (F.col("l.w") == F.col("u.w")) & (F.col("u.band") >= F.col("l.band")) & (F.col("u.band") <= F.col("l.band") + reach))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = meets.select(F.col("l.w").alias("w"), F.col("l.band").alias("b1"), F.col("u.band").alias("b2"), F.col("u.parts").alias("n2"), F.explode(F.sequence(F.lit(0), F.col("l.parts") - 1)).alias("p1"))
+    cells = cells.select("w", "b1", "b2", "p1", each("n2").alias("p2")).filter((F.col("b1") < F.col("b2")) | (F.col("p1") <= F.col("p2")))
+    own = dealt.select(F.col("w").alias("__w"), "band", "part", "id", "t", "c")
+    side = lambda band, part: own.join(cells, (F.col("__w") == F.col("w")) & (F.col("band") == F.col(band)) & (F.col("part") == F.col(part)))
+    left = side("b1", "p1").select("w", "b1", "p1", "b2", "p2", "id", "t", "c")
+    right = side("b2", "p2").select(F.col("w").alias("xw"), F.col("b1").alias("x1"), F.col("p1").alias("y1"), F.col("b2").alias("x2"), F.col("p2").alias("y2"), F.col("id").alias("rid"), F.col("t").alias("rt"), F.col("c").alias("rc"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         made = []
-        for i, j, ratio in similar_pairs(sides[0]["t"].tolist(), sides[1]["t"].tolist(), least):
-            p, q = (s.iloc[k] for s, k in zip(sides, (i, j), strict=True))
-            if (x != y or i < j) and p["c"] != q["c"]:
-                made.append((min(p["id"], q["id"]), max(p["id"], q["id"]), ratio))
+        if len(a) and len(b):
+            inside = a["b1"].iloc[0] == a["b2"].iloc[0] and a["p1"].iloc[0] == a["p2"].iloc[0]
+            a, b = a.sort_values("id"), b.sort_values("rid")
+            ids, others, classes, theirs = (s.tolist() for s in (a["id"], b["rid"], a["c"], b["rc"]))
+            for i, j, ratio in similar_pairs(a["t"].tolist(), b["rt"].tolist(), least, lambda i, j: others[j] < ids[i]):
+                if (not inside or ids[i] < others[j]) and classes[i] != theirs[j]:
+                    made.append((min(ids[i], others[j]), max(ids[i], others[j]), ratio))
         return pd.DataFrame(made, columns=["a", "b", "similarity"])
 
-    return copies.unionByName(cells.groupBy("w", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}, similarity double"))
+    found = left.groupBy("w", "b1", "p1", "b2", "p2").cogroup(right.groupBy("xw", "x1", "y1", "x2", "y2")).applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    return copies.unionByName(found)
+
+
+def fuzzy_groups(links: DataFrame) -> DataFrame:
+    """(node, component, ``size``, ``similarity``): the groups that links make, with the largest similarity in each."""
+    own = components(links)
+    best = links.join(own, links.a == own.node).groupBy("component").agg(F.max("similarity").alias("similarity"))
+    sizes = own.groupBy("component").agg(F.count("*").alias("size"))
+    return own.join(sizes, "component").join(best, "component").select("node", "component", "size", "similarity")
 
 
 #: bytes of passages that are broadcast at most, and parts of the documents that meet a block of more

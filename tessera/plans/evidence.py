@@ -26,6 +26,14 @@ def fuzzy_dedup_components(spark, sf):
     return E.components(E.fuzzy_links(items.union(more), "item_id", "text", "kind"))
 
 
+@query()
+def fuzzy_groups(spark, sf):
+    """Groups of benchmark passages and their changed forms, with the largest similarity in each."""
+    items = table(spark, sf, "benchmark").select("item_id", "text", F.lit("benchmark").alias("kind"))
+    more = items.select((F.col("item_id") + 1_000_000).alias("item_id"), F.regexp_replace("text", r"\bthe\b", "a").alias("text"), F.lit("changed").alias("kind"))
+    return E.fuzzy_groups(E.fuzzy_links(items.union(more), "item_id", "text", "kind", least=0.8))
+
+
 _ASSESS = "CASE WHEN quality = 1 THEN 'yes' ELSE 'partial' END"
 
 

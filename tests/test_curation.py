@@ -160,7 +160,7 @@ def test_fuzzy_links_against_brute_force(spark, exact, monkeypatch):
     monkeypatch.setattr(E, "CELL", 7)
     draw = random.Random(3)
     texts = ["temp = 298 k", "te = 298.15", "td = 65536", "td = 65537", "td = 65536", "short"]
-    texts += ["".join(draw.choice("abc =12") for _ in range(draw.randint(10, 18))) for _ in range(40)]
+    texts += ["".join(draw.choice("abc =12") for _ in range(draw.randint(10, 40))) for _ in range(60)]
     rows = [(k, t, "x" if k % 3 else "y") for k, t in enumerate(texts)]
     got = {(r.a, r.b): r.similarity for r in E.fuzzy_links(spark.createDataFrame(rows, "id long, t string, c string"), "id", "t", "c", exact).collect()}
     norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
@@ -170,13 +170,20 @@ def test_fuzzy_links_against_brute_force(spark, exact, monkeypatch):
     want = {(first[norm(t), c], k): 1.0 for k, t, c in rows if first[norm(t), c] < k and len(norm(t)) >= 10}
     nodes = [(k, t, c) for (t, c), k in first.items() if len(t) >= 10]
     for (i, t, c), (j, u, d) in combinations(sorted(nodes), 2):
-        best = max(round(SequenceMatcher(None, *p).ratio(), 6) for p in ((t, u), (u, t)))
-        least = min(round(SequenceMatcher(None, *p).ratio(), 6) for p in ((t, u), (u, t)))
-        if c != d and least >= exact:
-            want[i, j] = best
-        elif c != d and best >= exact and (i, j) in got:  # the ratio depends on the order of the texts
-            want[i, j] = best
-    assert set(got) == set(want) and len(got) > 1
+        ratio = round(SequenceMatcher(None, t, u).ratio(), 6)
+        if c != d and ratio >= exact:
+            want[i, j] = ratio
+    assert got == want
+    groups = {r.node: (r.component, r.size, r.similarity) for r in E.fuzzy_groups(spark.createDataFrame([(a, b, v) for (a, b), v in got.items()], "a long, b long, similarity double")).collect()}
+    head = {k: k for pair in want for k in pair}
+    for _ in head:
+        for a, b in want:
+            head[a] = head[b] = min(head[a], head[b])
+    best = {}
+    for (a, _), v in want.items():
+        best[head[a]] = max(best.get(head[a], 0), v)
+    assert groups == {k: (h, sum(x == h for x in head.values()), best[h]) for k, h in head.items()}
+    assert len(got) > 1
 
 
 def test_passages_that_begin_or_end_inside_a_word(spark):
