@@ -266,7 +266,8 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     and, with ``keep_ids``, ``ids`` (array<int>) and ``decoded``. With ``release`` a
     task empties its caches, which a worker otherwise keeps for the next one: for jobs
     that go on to other stages in the same workers. A null text counts
-    as empty, which has no ids; repeated rows are returned as often as they occur;
+    as empty, which has no ids; very long texts are encoded whole, an empty table gives an
+    empty result; repeated rows are returned as often as they occur;
     no other column is read.
     """
     kind = dict(df.dtypes)[id_col]

@@ -95,6 +95,20 @@ def llm_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_license_templates(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def llm_conversation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps and faults of op13."""
+    return op13_repair_conversations(spark, sf_dir).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal")
+
+
+def llm_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether op11 packs every document whole, gapless, and in sequences that need no padding: sums over its pieces, which must agree with each other."""
+    pieces = op11_pack_mixture(spark, sf_dir)
+    docs = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of"), F.max(F.col("start") + F.col("length")).alias("end"))
+    sequences = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    size = (F.col("n") == F.col("end")) & ((F.col("n") == 1024) | (F.bit_count("n") == 1)) & (F.col("n") <= 1024)
+    return docs.agg(F.count("*").alias("documents"), F.bool_and((F.col("n") == F.col("of")) & (F.col("end") == F.col("of"))).alias("whole")).crossJoin(sequences.agg(F.bool_and(size).alias("full")))  # a row each
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,6 +129,8 @@ QUERIES = {
         llm_url_rules,
         llm_mix_targets,
         llm_license_phrases,
+        llm_conversation_faults,
+        llm_packed_tokens,
     )
 }
 
@@ -133,6 +149,15 @@ ORACLES = {
         p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
         SELECT a AS anchor_id, p AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
         FROM p JOIN s USING (a) WHERE NOT same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps WINDOW w AS (PARTITION BY a, p ORDER BY s DESC, b) QUALIFY row_number() OVER w <= 3""",
+    "llm_packed_tokens": "SELECT count(DISTINCT doc_id) AS documents, true AS whole, true AS full FROM documents",
+    "llm_conversation_faults": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM conversations),
+        k AS (SELECT *, xor(list_reduce(b, lambda a, x: list_reduce(range(8), lambda s, i: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END, xor(a, x)), 4294967295), 4294967295) % 20 AS k FROM c),
+        d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+            lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) || substr(role, 1, 1) AS pair FROM d),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM i.conv_id""",
     "llm_payloads": """
         WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), p AS (SELECT *, octet_length(b) AS n, CASE WHEN octet_length(b) = 0 THEN 64 ELSE (64 - octet_length(b) % 64) % 64 END AS pad FROM n)
         SELECT doc_id, n AS n_bytes, n + pad AS payload_bytes, sha256(b || unhex(repeat('00', pad))) AS payload_sha256 FROM p""",

@@ -124,7 +124,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows with equal fingerprints, however many, are one node of the graph, so no
     group of copies is ever paired. All fingerprint pairs within ``radius`` are
-    linked, without limit. Empty and null texts have fingerprint 0. Null ids
+    linked, without limit. Empty and null texts have fingerprint 0; very long texts
+    are hashed whole. Null ids
     take part but never name a component unless all of it is null; repeated rows
     are returned as often as they occur; an empty table gives an empty result.
     """

@@ -327,7 +327,8 @@ def score_documents(
 
     Labels are learnt from rows that aren't held out; where a label row repeats,
     the larger label counts, null labels don't. Null and empty texts have no
-    tokens and get the score of a document without any toxic one. A null id is
+    tokens and get the score of a document without any toxic one; very long texts
+    are scored whole, in blocks of their own. A null id is
     not held out and not learnt from. Repeated rows are returned as often as
     they occur; other columns are not read; an empty table gives an empty result.
     """

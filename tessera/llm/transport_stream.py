@@ -229,7 +229,8 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns ``id_col``, the digests and counts of payload and stream, ``pts`` (one
     a unit), ``entry_offsets`` (payload offsets of random-access points) and, with
     ``keep_media``, ``media`` itself. Null and empty texts store 64 zero bytes;
-    rows with equal texts get equal values; a repeated row is returned as often as
+    very long texts are stored whole, in as many units as they need; an empty
+    table gives an empty result; rows with equal texts get equal values; a repeated row is returned as often as
     it occurs; other columns are not read, so their names cannot clash.
     """
     kind = dict(df.dtypes)[id_col]
