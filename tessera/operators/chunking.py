@@ -37,9 +37,10 @@ def adjacent_distances(df: DataFrame, order: str, vector: str, partition: Sequen
     return df.withColumn("__next", nxt).withColumn("distance", F.when(F.col("__next").isNotNull(), 1 - cosine(F.col(vector), F.col("__next")))).drop("__next")
 
 
-def percentile_breaks(distances: DataFrame, order: str, percentile: float, partition: Sequence[str]) -> DataFrame:
+def percentile_breaks(distances: DataFrame, order: str, percentile: float, partition: Sequence[str], digits: int | None = None) -> DataFrame:
     """Marks breaks: distances at or above the linear-interpolation percentile of their partition."""
-    cut = distances.groupBy(*partition).agg(F.percentile("distance", F.lit(percentile / 100)).alias("threshold"))
+    threshold = F.percentile("distance", F.lit(percentile / 100))
+    cut = distances.groupBy(*partition).agg((threshold if digits is None else F.round(threshold, digits)).alias("threshold"))
     return distances.join(cut, list(partition)).withColumn("is_break", F.coalesce(F.col("distance") >= F.col("threshold"), F.lit(False)))
 
 
@@ -192,16 +193,20 @@ def hashed_embedding(c: Column | str, dimensions: int = 64) -> Column:
     return F.transform(counts, lambda v: v.cast("float"))
 
 
-def semantic_chunks(lines: DataFrame, percentile: float = 95, buffer: int = 1, min_lines: int = 100, embed=hashed_embedding, id_col: str = "doc_id") -> DataFrame:
+def semantic_chunks(lines: DataFrame, percentile: float = 95, buffer: int = 1, min_lines: int = 100, embed=hashed_embedding, id_col: str = "doc_id", digits: int | None = None) -> DataFrame:
     """(id, chunk_no, start, end): documents cut where windows of neighbouring lines are least alike.
 
     The break line ends one chunk and begins the next, and the last break never
-    cuts. Documents under ``min_lines`` lines are one chunk and aren't embedded.
+    cuts. Documents under ``min_lines`` lines are one chunk and aren't embedded. With
+    ``digits`` distances and their percentile are rounded.
     """
     sized = lines.withColumn("__lines", F.count("*").over(Window.partitionBy(id_col)))
     short = sized.filter(F.col("__lines") < min_lines).groupBy(id_col).agg(F.min("line_no").alias("start"), F.max("line_no").alias("end")).select(id_col, F.lit(0).cast("long").alias("chunk_no"), "start", "end")
     windows = buffer_windows(sized.filter(F.col("__lines") >= min_lines), buffer, id_col).withColumn("__v", embed("window_text"))
-    marked = percentile_breaks(adjacent_distances(windows, "line_no", "__v", [id_col]), "line_no", percentile, [id_col])
+    distances = adjacent_distances(windows, "line_no", "__v", [id_col])
+    if digits is not None:
+        distances = distances.withColumn("distance", F.round("distance", digits))
+    marked = percentile_breaks(distances, "line_no", percentile, [id_col], digits)
     spans = marked.groupBy(id_col).agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.array_sort(F.collect_list(F.when(F.col("is_break"), F.col("line_no")))).alias("b"))
     n = F.greatest(F.size("b"), F.lit(1))
     cut = spans.select(id_col, "first", "last", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"), n.alias("n"))

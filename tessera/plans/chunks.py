@@ -30,6 +30,25 @@ def percentile_breaks(spark, sf):
     return C.percentile_breaks(adjacent_cosine(spark, sf), "vec_id", 95, ["label"]).select("vec_id", "label", F.round("threshold", 6).alias("threshold"), "is_break")
 
 
+_LETTERS_COUNTED = "aeinorst"
+_BY_LETTERS = "[" + ", ".join(f"CAST(length(w) - length(replace(w, '{c}', '')) AS DOUBLE)" for c in _LETTERS_COUNTED) + "]"
+
+
+@query(
+    f"""WITH {_LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS many FROM lines), w AS (SELECT doc_id, line_no, coalesce(lag(line) OVER o, '') || line || coalesce(lead(line) OVER o, '') AS w FROM n WHERE many >= 4 WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+    v AS (SELECT doc_id, line_no, {_BY_LETTERS} AS a, lead({_BY_LETTERS}) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM w), z AS (SELECT *, sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) AS size FROM v),
+    d AS (SELECT doc_id, line_no, round(CASE WHEN b IS NULL THEN NULL WHEN size > 0 THEN 1 - list_dot_product(a, b) / size ELSE 1.0 END, 9) AS d FROM z), t AS (SELECT doc_id, round(quantile_cont(d, 0.8), 9) AS least FROM d GROUP BY doc_id),
+    k AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k, count(*) OVER (PARTITION BY doc_id) AS cuts FROM d JOIN t USING (doc_id) WHERE d >= least), e AS (SELECT doc_id, min(line_no) AS lo, max(line_no) AS hi FROM lines GROUP BY doc_id)
+    SELECT doc_id, CAST(0 AS BIGINT) AS chunk_no, lo AS start, hi AS "end" FROM e WHERE doc_id NOT IN (SELECT doc_id FROM k)
+    UNION ALL SELECT k.doc_id, k.k - 1, CASE WHEN k.k = 1 THEN lo ELSE p.line_no END, CASE WHEN k.k = k.cuts THEN hi ELSE k.line_no END FROM k JOIN e USING (doc_id) LEFT JOIN k p ON p.doc_id = k.doc_id AND p.k = k.k - 1"""
+)
+def semantic_chunks(spark, sf):
+    """Documents cut where counts of letters in windows of lines are least alike; distances to nine places, so that no rounding decides."""
+    lines = explode_lines(table(spark, sf, "documents"))
+    counts = lambda w: F.array(*((F.length(w) - F.length(F.replace(F.col(w), F.lit(c), F.lit("")))).cast("double") for c in _LETTERS_COUNTED))
+    return C.semantic_chunks(lines, percentile=80, buffer=1, min_lines=4, embed=counts, digits=9).select("doc_id", "chunk_no", "start", "end")
+
+
 @query(
     "WITH g AS (SELECT user_id, event_id, epoch(ts) AS t, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w > 86400 THEN 1 ELSE 0 END AS far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts))),"
     " s AS (SELECT user_id, t, sum(far) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM g)"
