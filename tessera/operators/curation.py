@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -262,8 +262,6 @@ def cross_parent_duplicates(attributes: DataFrame, order: str = "position") -> D
     any array are duplicates, if the group has two arrays. Values are compared in order of
     size, so a group is a run whose neighbours are equal, not a set of pairs.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("id", "label", "unit").orderBy("value", order)
     near = same_value(F.col("value"), F.lag("value").over(w))
     runs = attributes.withColumn("__new", F.coalesce((~near).cast("int"), F.lit(1))).withColumn("__run", F.sum("__new").over(w))
@@ -271,6 +269,10 @@ def cross_parent_duplicates(attributes: DataFrame, order: str = "position") -> D
     return runs.join(best.filter("__arrays > 1"), ["id", "label", "unit", "__run"]).filter(F.col(order) != F.col("survivor")).select("id", order, "array", "survivor")
 
 
+#: words that say nothing of where an attribute belongs; fixed values
+INSIGNIFICANT_WORDS = ("the", "of", "for", "in", "and", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did")
+
+
 def misplaced_attributes(attributes: DataFrame) -> DataFrame:
     """(id, activity, index): attributes of an activity that share two significant words with those of the entities it evaluates.
 
@@ -278,7 +280,7 @@ def misplaced_attributes(attributes: DataFrame) -> DataFrame:
     words of its own attributes, so no pair of attributes comes about.
     """
     path = F.regexp_extract("array", r"^(/was_generated_by/\d+)/(?:evaluated_entity/\d+/)?has_quantitative_attribute$", 1)
-    words = F.array_distinct(F.filter(F.split(T.normalise_label("label"), " "), lambda w: (F.length(w) > 1) & ~w.isin("the", "of", "for", "in", "and", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did")))
+    words = F.array_distinct(F.filter(F.split(T.normalise_label("label"), " "), lambda w: (F.length(w) > 1) & ~w.isin(*INSIGNIFICANT_WORDS)))
     own = attributes.select("id", "array", "index", path.alias("activity"), F.explode(words).alias("word")).filter("activity <> ''")
     inner = F.col("array").contains("/evaluated_entity/")
     theirs = own.filter(inner).select("id", "activity", "word").distinct()
