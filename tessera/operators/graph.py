@@ -190,8 +190,9 @@ def import_membership(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def resources_of(membership: DataFrame) -> DataFrame:
-    """(identifier, n_resources, resources) with the sorted uris of each vocabulary."""
-    return membership.distinct().groupBy("identifier").agg(F.count("*").alias("n_resources"), F.array_sort(F.collect_list("uri")).alias("resources"))
+    """(identifier, position, uri): the distinct resources of each vocabulary, numbered from 1 by uri. A row each, so a vocabulary may be of any size."""
+    w = Window.partitionBy("identifier").orderBy("uri")
+    return membership.select("identifier", "uri").distinct().select("identifier", F.row_number().over(w).cast("long").alias("position"), "uri")
 
 
 def scheme_profile(membership: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -204,9 +204,9 @@ def _members(spark, sf):
     return G.import_membership(every.union(every).union(gone), nodes(spark, sf))
 
 
-@query(f"WITH {_SCHEMES} SELECT identifier, count(*) AS n_resources, sha256(string_agg(uri, '|' ORDER BY uri)) AS resources FROM m GROUP BY identifier")
+@query(f"WITH {_SCHEMES} SELECT identifier, row_number() OVER (PARTITION BY identifier ORDER BY uri) AS position, uri FROM m")
 def vocabulary_resources(spark, sf):
-    return G.resources_of(_members(spark, sf)).select("identifier", "n_resources", F.sha2(F.array_join("resources", "|"), 256).alias("resources"))
+    return G.resources_of(_members(spark, sf))
 
 
 @query(
