@@ -82,7 +82,8 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     """All pairs (``a`` < ``b``) of distinct ``fp`` in ``nodes`` that differ in at most ``radius`` bits, each once."""
     masks = cell_masks(radius, blocks)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = nodes.repartition(parts, "fp")  # every row becomes as many as there are masks: dealt to all tasks before that
+    # every row becomes as many as there are masks: dealt to all tasks before that, by another key than the nodes were grouped by (else Spark leaves it out)
+    nodes = nodes.repartition(parts, F.xxhash64("fp"))
     wide = nodes.select("fp", embed(F.col("fp")).alias("e"), F.posexplode(F.array(*map(F.lit, masks))).alias("grid", "mask"))
     cells = wide.select("fp", "e", "grid", F.col("e").bitwiseAND(F.col("mask")).alias("cell"))
     a, b = cells.alias("a"), cells.alias("b")
