@@ -104,7 +104,7 @@ def query_ledger(old: DataFrame, new: DataFrame) -> DataFrame:
 def rank_branches(branches: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     """(query_id, branch_id, score, position): branches (branch_id, slot, range_class, depth, recommended, text) of a schema for queries (query_id, text, hints), by shared words and the hints' points, those above 0, at most ``limit``.
 
-    Ties keep the order of the branches. A schema has a few hundred branches, which is checked.
+    Ties keep the order of the branches.
     """
     from tessera.operators.placement import branch_points
 

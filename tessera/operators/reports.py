@@ -46,15 +46,20 @@ def path_closure(files: DataFrame, path: str) -> DataFrame:
     return up.filter("n > 1").groupBy("directory").agg(F.count("*").alias("files")).withColumn("depth", F.size(F.split("directory", "/")).cast("long"))
 
 
-#: rows of the shorter list of a run matrix, at most
-SHORT = 10_000
+#: configurations that are broadcast at most, and parts of the datasets that meet a block of more
+SHORT, SALTS = 10_000, 64
 
 
 def run_matrix(datasets: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every dataset with every configuration; ValueError where there are more than ``SHORT`` configurations."""
-    if configs.limit(SHORT + 1).count() > SHORT:
-        raise ValueError(f"more than {SHORT} configurations")
-    return datasets.crossJoin(F.broadcast(configs))  # its size is checked above
+    """Every dataset with every configuration: ``SHORT`` configurations at most are broadcast, more are dealt to blocks of about that size, which meet parts of the datasets by a join."""
+    blocks = -(-configs.count() // SHORT)
+    if blocks <= 1:
+        return datasets.crossJoin(F.broadcast(configs))  # its size is checked above
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda df, n: F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(n)).cast("int")
+    left = datasets.withColumn("__salt", own(datasets, SALTS)).withColumn("__block", every(blocks))
+    right = configs.withColumn("__block", own(configs, blocks)).withColumn("__salt", every(SALTS))
+    return left.join(right, ["__block", "__salt"]).drop("__block", "__salt")
 
 
 def pair_status(pairs: DataFrame, compatible: DataFrame, kind: str, unit: str) -> DataFrame:

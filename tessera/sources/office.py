@@ -12,8 +12,6 @@ import zlib
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _ODF = {"table": "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}", "office": "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}", "text": "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"}
-#: an empty run of repeated cells or rows at the end of a sheet is no content
-FILLER = 1000
 
 
 def _column(name: str) -> int:
@@ -66,21 +64,27 @@ def ods_sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
     out = []
     for sheet in root.iter(f"{t}table"):
         rows: list[list[str]] = []
+        skipped = 0
         for row in sheet.iter(f"{t}table-row"):
             cells: list[str] = []
+            blank = 0
             for c in row:
                 if c.tag not in (f"{t}table-cell", f"{t}covered-table-cell"):
                     continue
                 number = c.get(f"{o}value")
                 value = number if number is not None else "\n".join("".join(p.itertext()) for p in c.iter(f"{x}p"))
                 times = int(c.get(f"{t}number-columns-repeated", 1))
-                cells += [value] * (times if value or times < FILLER else 0)
-            while cells and cells[-1] == "":
-                cells.pop()
+                if value:  # empty cells count where something follows; a row may end in millions of them
+                    cells += [""] * blank + [value] * times
+                    blank = 0
+                else:
+                    blank += times
             times = int(row.get(f"{t}number-rows-repeated", 1))
-            rows += [list(cells) for _ in range(times if cells or times < FILLER else 0)]
-        while rows and not rows[-1]:
-            rows.pop()
+            if cells:
+                rows += [[] for _ in range(skipped)] + [list(cells) for _ in range(times)]
+                skipped = 0
+            else:
+                skipped += times
         out.append((sheet.get(f"{t}name"), rows))
     return out
 
