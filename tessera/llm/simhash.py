@@ -86,7 +86,8 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     nodes = nodes.repartition(parts, F.xxhash64("fp"))
     wide = nodes.select("fp", embed(F.col("fp")).alias("e"), F.posexplode(F.array(*map(F.lit, masks))).alias("grid", "mask"))
     cells = wide.select("fp", "e", "grid", F.col("e").bitwiseAND(F.col("mask")).alias("cell"))
-    a, b = cells.alias("a"), cells.alias("b")
+    # sizes are known before the rows are copied, not after: without the hint Spark would broadcast all copies through the driver
+    a, b = cells.alias("a"), cells.hint("merge").alias("b")
     near = (
         (F.col("a.grid") == F.col("b.grid"))
         & (F.col("a.cell") == F.col("b.cell"))
@@ -103,16 +104,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round is two minima by key (combined before the shuffle) joined back to
     the edges, a join that adaptive execution splits where a node is hot; the
     edges are checkpointed each round. Nothing but a count and a sum reaches
-    the driver.
+    the driver, as no table of nodes is broadcast.
     """
     now = cut(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before, after = None, state(now)
     while before != after:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("merge")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).hint("merge")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = cut(small.distinct())
         before, after = after, state(now)
@@ -133,9 +134,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     marked = cut(fingerprints(df.select(id_col, text_col), id_col, text_col, shingle))
     nodes = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = connected_components(near_pairs(nodes.select("fp"), radius, blocks))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    rooted = nodes.join(roots.hint("merge"), nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")).hint("merge"), "root").select("fp", "component_id")
+    return marked.join(named.hint("merge"), "fp").select(id_col, "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -487,6 +487,14 @@ def test_grid_loses_no_pair(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_copies_of_grid_cells_are_not_broadcast(spark):
+    fps = spark.createDataFrame([(k * 0x9E3779B97F4A7C1,) for k in range(200)], "fp long")
+    pairs = simhash.near_pairs(fps)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1000) for i in range(1, 50)] + [(5000, 5000), (-3, -9)]
     random.Random(1).shuffle(edges)
