@@ -1,17 +1,19 @@
 """Hard negatives by a block matrix multiply over rows and dimensions.
 
-Anchors and rows are dealt to shards by hash, their dimensions to chunks. Every
-anchor shard meets every row shard once for each chunk: a task multiplies the two
-blocks to a tile of partial int64 scores. The partial tiles of a pair of shards
-are added after a shuffle. Whole tiles give their best positives, which are
-reduced to the first of each anchor; each anchor and positive then opens a window
-of scores, the tiles give their best negatives inside it, and these are reduced.
-No task holds more than the partial tiles of one pair of shards, whatever the
-number of rows, and nothing leaves a tile but the best few.
+Anchors and rows are dealt to shards by hash, their vectors packed in the fewest
+bytes. Every anchor shard meets every row shard in one task, which multiplies a
+few anchors at a time with the rows, one chunk of dimensions after the other, and
+adds the partial int64 tiles. Tiles give their best positives, which are reduced
+to the first of each anchor; each anchor and positive then opens a window of
+scores, and the tiles, multiplied again, give their best negatives inside it,
+which are reduced. A score is never stored or shuffled: what is, are the vectors, once
+for each shard of the other side, and the best few of a tile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,11 +21,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_schema, cut
 
-#: rows and anchors of a shard (on average); dimensions of a chunk, of which there are ``CHUNKS`` at most
-ROWS, ANCHORS, DEPTH, CHUNKS = 2048, 256, 32, 16
+#: rows and anchors of a shard at most (on average), and bytes of its integers; anchors multiplied at once; dimensions of a chunk
+ROWS, ANCHORS, SHARD_BYTES, TOGETHER, DEPTH = 16384, 16384, 16 << 20, 128, 32
 
-_TILE = "i int, j int, anchors array<bigint>, anchor_labels array<bigint>, ids array<bigint>, labels array<bigint>, tile binary"
-_BEST = "best array<struct<anchor:bigint,id:bigint,score:bigint>>"
+_BEST = "anchor bigint, id bigint, score bigint"
 _FOUND = "anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint"
 RESULT = "anchor_id bigint, positive_id bigint, `rank` int, negative_id bigint, positive_score bigint, negative_score bigint"
 
@@ -78,46 +79,31 @@ def first(scores: np.ndarray, ids: np.ndarray, places: np.ndarray, most: int) ->
     return places[np.lexsort((ids[places], -scores[places]))[:most]]
 
 
-def score_tiles(rows: DataFrame, is_anchor: Column, shape: tuple[int, int, int], positives: int) -> DataFrame:
-    """Whole tiles (shards ``i`` of anchors and ``j`` of rows) with the ``best`` rows of an anchor's own label in each. ``shape``: shards of anchors, of rows, and dimensions."""
-    across, down, dims = shape
-    depth = max(DEPTH, -(-dims // CHUNKS))
-    chunks = max(1, -(-dims // depth))
-    sides = F.pmod(F.xxhash64(F.lit(across), "id"), F.lit(across)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")
-    chunk = F.slice("x", F.col("c") * depth + 1, depth).alias("x")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.filter(is_anchor).select("*", sides[0].alias("i"), each(down).alias("j")).select("*", each(chunks).alias("c")).select("i", "j", "c", "id", "label", chunk)
-    # names of their own: both sides come from the same rows
-    other = rows.select(F.col("id").alias("other_id"), F.col("label").alias("other_label"), F.col("x").alias("other_x"), sides[1].alias("j"), each(across).alias("i"))
-    right = other.select("*", each(chunks).alias("c")).select("i", "j", "c", "other_id", "other_label", F.slice("other_x", F.col("c") * depth + 1, depth).alias("other_x"))
+def packed_rows(rows: DataFrame, dims: int) -> DataFrame:
+    """``x`` as binary, of ``dims`` integers."""
 
-    partial_schema, whole_schema = arrow_schema(_TILE), arrow_schema(f"{_TILE}, {_BEST}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                blobs = [packed(x) for x in _matrix(pa.chunked_array([batch.column(2)]), dims)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["id", "label", "x"])
 
-    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return _table(partial_schema, [])
-        a, b = a.sort_by("id"), b.sort_by("other_id")
-        tile = products(_matrix(a.column("x"), depth), _matrix(b.column("other_x"), depth))
-        names = [a.column("id").to_pylist(), a.column("label").to_pylist(), b.column("other_id").to_pylist(), b.column("other_label").to_pylist()]
-        return _table(partial_schema, [(a.column("i")[0].as_py(), a.column("j")[0].as_py(), *names, packed(tile))])
+    return rows.select("id", "label", "x").mapInArrow(run, "id bigint, label bigint, x binary")
 
-    def add(parts: pa.Table) -> pa.Table:
-        i, j, anchors, anchor_labels, ids, labels = (parts.column(k)[0].as_py() for k in range(6))
-        total = np.zeros((len(anchors), len(ids)), np.int64)
-        for blob in parts.column("tile"):
-            total += unpacked(blob.as_py(), len(anchors), len(ids))
-        known, own, best = np.array(ids), np.array(labels), []
-        for k, (anchor, label) in enumerate(zip(anchors, anchor_labels, strict=True)):
-            for at in first(total[k], known, np.flatnonzero((own == label) & (known != anchor)), positives).tolist():
-                best.append({"anchor": anchor, "id": ids[at], "score": int(total[k, at])})
-        return _table(whole_schema, [(i, j, anchors, anchor_labels, ids, labels, packed(total), best)])
 
-    partial = left.groupBy("i", "j", "c").cogroup(right.groupBy("i", "j", "c")).applyInArrow(multiply, _TILE)
-    return partial.groupBy("i", "j").applyInArrow(add, f"{_TILE}, {_BEST}")
+def tiles(a: pa.Table, b: pa.Table, dims: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Scores of all rows of ``b`` for ``TOGETHER`` rows of ``a`` at a time, with the place of the first."""
+    left, right = (np.stack([unpacked(x, 1, dims)[0] for x in t.column("x").to_pylist()]) for t in (a, b))
+    for at in range(0, len(left), TOGETHER):
+        some = left[at : at + TOGETHER]
+        total = np.zeros((len(some), len(right)), np.int64)
+        for c in range(0, dims, DEPTH):
+            total += products(some[:, c : c + DEPTH], right[:, c : c + DEPTH])
+        yield at, total
 
 
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+def _columns(found: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
 def mine(
@@ -145,32 +131,62 @@ def mine(
     others is filled with 0; an empty one scores 0. Scores beyond 64 bits wrap around. Other columns are not
     read; an empty table, or one without anchors, gives an empty result.
     """
-    rows = cut(usable(df, id_col, vector_col, label_col, scale))
-    count, anchors, dims = rows.agg(F.count("*"), F.count_if(is_anchor), F.max(F.size("x"))).first()
+    whole_rows = cut(usable(df, id_col, vector_col, label_col, scale))
+    count, anchors, dims = whole_rows.agg(F.count("*"), F.count_if(is_anchor), F.max(F.size("x"))).first()
+    spark = df.sparkSession
     if not anchors:
-        return rows.sparkSession.createDataFrame([], RESULT)
-    down, across = -(-count // rows_per_shard), -(-anchors // anchors_per_shard)
-    tiles = cut(score_tiles(rows, is_anchor, (across, down, dims), positives))
-    best = tiles.select("i", "j", F.explode("best").alias("b")).select("i", "b.anchor", "b.id", "b.score")
-    order = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
-    chosen = best.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= positives).drop("k")
-    everywhere = chosen.select(F.col("i").alias("at_i"), F.col("anchor").alias("anchor"), F.col("id").alias("positive"), F.col("score").alias("score"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("at_j"))
+        return spark.createDataFrame([], RESULT)
+    dims = max(1, dims)
+    fit = max(1, SHARD_BYTES // (8 * dims))
+    across = -(-anchors // min(anchors_per_shard, fit))
+    # shards of fewer rows where the tasks would otherwise be too few for the cluster
+    down = max(-(-count // min(rows_per_shard, fit)), min(count, -(-4 * spark.sparkContext.defaultParallelism // across)))
+    rows = cut(packed_rows(whole_rows, dims))
+    shard = lambda n, *seed: F.pmod(F.xxhash64(*seed, "id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = rows.filter(is_anchor).select("*", shard(across, F.lit(across)).alias("i"))
+    dealt = lambda df: df.select("*", each(down).alias("j")).groupBy("i", "j")
+    # names of their own: both sides come from the same rows
+    other = rows.select(F.col("id").alias("other_id"), F.col("label").alias("other_label"), F.col("x").alias("other_x"), shard(down).alias("at_j"), each(across).alias("at_i")).groupBy("at_i", "at_j")
     low, high, whole = window
-    found_schema = arrow_schema(_FOUND)
-
-    def search(tile: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not len(tile) or not len(wanted):
-            return _table(found_schema, [])
-        anchors, anchor_labels, ids, labels = (tile.column(c)[0].as_py() for c in ("anchors", "anchor_labels", "ids", "labels"))
-        scores = unpacked(tile.column("tile")[0].as_py(), len(anchors), len(ids))
-        place, known, own, found = {a: k for k, a in enumerate(anchors)}, np.array(ids), np.array(labels), []
-        for anchor, positive, score in zip(*(wanted.column(c).to_pylist() for c in ("anchor", "positive", "score")), strict=True):
-            row = scores[place[anchor]]
-            inside = (low * score <= whole * row) & (whole * row <= high * score) & (own != anchor_labels[place[anchor]])
-            found += [(anchor, positive, score, ids[at], int(row[at])) for at in first(row, known, np.flatnonzero(inside), negatives).tolist()]
-        return _table(found_schema, found)
-
-    searched = tiles.drop("best").groupBy("i", "j").cogroup(everywhere.groupBy("at_i", "at_j")).applyInArrow(search, _FOUND)
+    best_schema, found_schema = arrow_schema(_BEST), arrow_schema(_FOUND)
+
+    def plain(b: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        return b.select(["other_x"]).rename_columns(["x"]), b.column("other_id").to_numpy(), b.column("other_label").to_numpy()
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(a) and len(b):
+            vectors, ids, labels = plain(b)
+            names, kinds = a.column("id").to_pylist(), a.column("label").to_pylist()
+            same = {kind: np.flatnonzero(labels == kind) for kind in set(kinds)}
+            for at, scores in tiles(a, vectors, dims):
+                for anchor, kind, row in zip(names[at : at + TOGETHER], kinds[at : at + TOGETHER], scores, strict=True):
+                    places = same[kind]
+                    found += [(anchor, int(ids[k]), int(row[k])) for k in first(row, ids, places[ids[places] != anchor], positives).tolist()]
+        return _columns(found, best_schema)
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(a) and len(b):
+            vectors, ids, labels = plain(b)
+            names, kinds, wanted = (a.column(c).to_pylist() for c in ("id", "label", "wanted"))
+            others = {kind: labels != kind for kind in set(kinds)}
+            for at, scores in tiles(a, vectors, dims):
+                for anchor, kind, pairs, row in zip(names[at : at + TOGETHER], kinds[at : at + TOGETHER], wanted[at : at + TOGETHER], scores, strict=True):
+                    scaled = whole * row
+                    for pair in pairs:
+                        score = pair["score"]
+                        inside = (low * score <= scaled) & (scaled <= high * score) & others[kind]
+                        found += [(anchor, pair["id"], score, int(ids[k]), int(row[k])) for k in first(row, ids, np.flatnonzero(inside), negatives).tolist()]
+        return _columns(found, found_schema)
+
+    best = dealt(own).cogroup(other).applyInArrow(nearest, _BEST)
+    order = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
+    chosen = best.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= positives)
+    wanted = chosen.groupBy("anchor").agg(F.collect_list(F.struct("id", "score")).alias("wanted"))  # at most ``positives``
+    asked = own.join(cut(wanted).hint("merge"), F.col("id") == F.col("anchor")).drop("anchor")
+    searched = dealt(asked).cogroup(other).applyInArrow(search, _FOUND)
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = searched.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

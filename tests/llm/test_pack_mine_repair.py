@@ -176,6 +176,17 @@ def test_hard_negatives_of_odd_rows(spark):
     assert hard_negatives.mine(df, F.lit(False)).collect() == [] == hard_negatives.mine(df.filter("false"), F.lit(True)).collect()
 
 
+def test_no_scores_are_shuffled(spark):
+    draw = random.Random(4)
+    rows = [(k, [draw.uniform(-1, 1) for _ in range(64)], k % 10) for k in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = hard_negatives.mine(df, F.col("id") % 10 == 0)
+    assert got.count()
+    assert written() - before < 400 * 4000 * 2  # a tile of the fewest bytes a score
+
+
 def test_products_are_exact():
     r = np.random.default_rng(1)
     for most in (100, 1 << 20, 1 << 28):
