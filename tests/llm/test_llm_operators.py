@@ -488,7 +488,9 @@ def test_grid_loses_no_pair(spark):
 
 
 def test_copies_of_grid_cells_are_not_broadcast(spark):
-    fps = spark.createDataFrame([(k * 0x9E3779B97F4A7C1,) for k in range(200)], "fp long")
+    from pyspark.sql import functions as F
+
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp")).groupBy("fp").count().select("fp")
     pairs = simhash.near_pairs(fps)
     pairs.collect()
     plan = pairs._jdf.queryExecution().executedPlan().toString()
