@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +17,23 @@ def leaf_paths(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, pointer, type, value) of every leaf; documents that aren't JSON give one leaf of type ``invalid``."""
     kind = dict(df.dtypes)[id_col]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf[id_col], pdf[json_col], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, rows = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 if text is None:
                     continue
                 try:
-                    doc = json.loads(text)
+                    own = J.leaves(json.loads(text))
                 except ValueError:
-                    rows.append((i, "", "invalid", text))
-                    continue
-                rows += [(i, *leaf) for leaf in J.leaves(doc)]
-            yield pd.DataFrame(rows, columns=["id", "pointer", "type", "value"])
-
-    return df.select(id_col, json_col).mapInPandas(run, f"id {kind}, pointer string, type string, value string")
+                    own = [("", "invalid", text)]
+                places += [k] * len(own)
+                rows += own
+            if rows:
+                columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *columns], names=["id", "pointer", "type", "value"])
+
+    return df.select(id_col, json_col).mapInArrow(run, f"id {kind}, pointer string, type string, value string")
 
 
 def diff(generated: DataFrame, curated: DataFrame) -> DataFrame:

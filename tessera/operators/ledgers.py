@@ -50,12 +50,18 @@ def path_coverage(requirements: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def ancestor_labels(leaves: DataFrame, label_names: Sequence[str] = ("title", "label", "name"), limit: int = 500) -> DataFrame:
-    """(id, pointer, context): labels that stand beside a leaf or above it, nearest last, each once, at most ``limit`` characters."""
-    parent = F.regexp_replace("pointer", "/[^/]*$", "")
-    labels = leaves.filter(F.element_at(F.split("pointer", "/"), -1).isin(*label_names)).select("id", parent.alias("above"), F.regexp_replace("value", '^"|"$', "").alias("label"))
-    chain = leaves.select("id", "pointer", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("pointer", "/")) - 1), lambda n: F.array_join(F.slice(F.split("pointer", "/"), 1, n), "/"))).alias("above"))
-    joined = chain.join(labels, ["id", "above"]).groupBy("id", "pointer").agg(F.array_sort(F.collect_set(F.struct(F.length("above").alias("n"), "label"))).alias("x"))
-    return joined.select("id", "pointer", F.substring(F.array_join(F.array_distinct(F.transform("x", lambda r: r["label"])), " > "), 1, limit).alias("context"))
+    """(id, pointer, context): labels that stand beside a leaf or above it, nearest last, each once, at most ``limit`` characters.
+
+    A document's leaves meet in one pass, sorted by pointer: nothing is joined or broadcast.
+    """
+    label = F.when(F.element_at(F.split("pointer", "/"), -1).isin(*label_names), F.struct(F.regexp_replace("pointer", "/[^/]*$", "").alias("above"), F.regexp_replace("value", '^"|"$', "").alias("label")))
+    own = leaves.filter("id is not null and pointer is not null").select("id", "pointer", label.alias("__label"))
+    document = Window.partitionBy("id").orderBy("pointer")
+    whole = document.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = own.withColumn("__again", F.lag("pointer").over(document).eqNullSafe(F.col("pointer"))).withColumn("__labels", F.collect_list("__label").over(whole))
+    over = F.filter("__labels", lambda x: F.startswith(F.col("pointer"), F.concat(x["above"], F.lit("/"))) | ((F.col("pointer") == "") & (x["above"] == "")))
+    named = seen.filter("not __again and size(__labels) > 0").select("id", "pointer", F.array_sort(F.array_distinct(F.transform(over, lambda x: F.struct(F.length(x["above"]).alias("n"), x["label"].alias("label"))))).alias("x"))
+    return named.filter(F.size("x") > 0).select("id", "pointer", F.substring(F.array_join(F.array_distinct(F.transform("x", lambda r: r["label"])), " > "), 1, limit).alias("context"))
 
 
 def decompose_ranges(df: DataFrame, title: str, value: str) -> DataFrame:

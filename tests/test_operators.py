@@ -289,6 +289,18 @@ def test_ledgers(spark):
     assert [(r.branch_id, r.score) for r in L.score_branches(b, q).orderBy("position").collect()] == [(2, 3), (1, 2)]
 
 
+def test_ancestor_labels_broadcast_no_leaves(spark):
+    from tessera.operators import ledgers as L
+
+    docs = spark.range(300).selectExpr("id", """concat('{"title": "T', id, '", "a": {"label": "L", "x": [1, {"name": "N"}]}, "b~/c": null}') AS doc""")
+    found = L.ancestor_labels(D.leaf_paths(docs, "id", "doc").union(D.leaf_paths(docs.filter("id = 1"), "id", "doc")))
+    got = {(r.id, r.pointer): r.context for r in found.collect()}
+    assert len(got) == found.count() == 300 * 5
+    assert got[1, "/a/x/1/name"] == "T1 > L > N" and got[2, "/a/x/0"] == "T2 > L" and got[3, "/b~0~1c"] == "T3"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("MapInArrow") <= 4  # the leaves are made once in the initial and in the final plan
+
+
 def test_chunk_documents(spark):
     text = "\n".join(f"the {w} line number {k} speaks of {w}" for k, w in enumerate(["cats"] * 6 + ["ships"] * 6 + ["stones"] * 6))
     docs = spark.createDataFrame([("d", text + "\n" + "-" * 40), ("e", "one short line of text"), ("f", None)], "doc_id string, text string")
