@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.checkpoint import cut
 
 #: Files shown of a package, lines of each, characters of a line.
 TOP_FILES, PREVIEW_LINES, LINE_CHARS, NEIGHBOURS = 16, 80, 500, 4
@@ -92,12 +93,25 @@ def discovery_order(field: Column) -> Column:
     return F.when(field == "has_quantity_type", 0).when(field == "unit", 1).otherwise(2)
 
 
+#: rows of distinct results that are broadcast at most
+BROADCAST = 100_000
+
+
 def joined_candidates(discoveries: DataFrame, results: DataFrame) -> DataFrame:
-    """(pointer, uri, place) of the candidates that a field's queries found, in the order of its queries (``query_ids``) and of their results (query_id, position, uri), each uri once."""
-    asked = discoveries.select("pointer", F.posexplode("query_ids").alias("__q", "query_id"))
-    found = asked.join(results, "query_id").select("pointer", "uri", F.struct("__q", "position").alias("__at"))
+    """(pointer, uri, place) of the candidates that a field's queries found, in the order of its queries (``query_ids``) and of their results (query_id, position, uri), each uri once.
+
+    A query's results are first reduced to a row for each uri, however often it was found, and numbered, so that the
+    order of a field's candidates is one number.
+    """
+    spark = discoveries.sparkSession
+    once = results.groupBy("query_id", "uri").agg(F.min(F.struct("position")).alias("__at"))
+    numbered = cut(once.select("query_id", "uri", F.row_number().over(Window.partitionBy("query_id").orderBy("__at", "uri")).cast("long").alias("__k")))
+    few = numbered.limit(BROADCAST + 1).count() <= BROADCAST
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = discoveries.select("pointer", "query_ids").repartition(parts, "pointer").select("pointer", F.posexplode("query_ids").alias("__q", "query_id"))
+    found = asked.join(F.broadcast(numbered) if few else numbered.hint("merge"), "query_id").select("pointer", "uri", (F.shiftleft(F.col("__q").cast("long"), 40) + F.col("__k")).alias("__at"))
     first = found.groupBy("pointer", "uri").agg(F.min("__at").alias("__at"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("pointer").orderBy("__at", "uri"))).drop("__at")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("pointer").orderBy("__at"))).drop("__at")
 
 
 def route_options(profile: DataFrame) -> DataFrame:

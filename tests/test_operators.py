@@ -301,6 +301,19 @@ def test_ancestor_labels_broadcast_no_leaves(spark):
     assert "Broadcast" not in plan and plan.count("MapInArrow") <= 4  # the leaves are made once in the initial and in the final plan
 
 
+def test_candidates_of_repeated_results(spark):
+    from tessera.operators import selection as S
+
+    asked = spark.createDataFrame([("/a", ["q1", "q0"]), ("/b", ["q0", "q9"]), ("/c", [])], "pointer string, query_ids array<string>")
+    results = spark.range(40_000).selectExpr("concat('q', id % 2) AS query_id", "id AS position", "concat('u', (id * 7) % 10) AS uri")
+    found = S.joined_candidates(asked, results)
+    got = {(r.pointer, r.uri): r.place for r in found.collect()}
+    assert got == {("/a", u): k for k, u in enumerate(["u7", "u1", "u5", "u9", "u3", "u0", "u4", "u8", "u2", "u6"], 1)} | {("/b", u): k for k, u in enumerate(["u0", "u4", "u8", "u2", "u6"], 1)}
+    assert S.joined_candidates(asked, results.limit(0)).count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(position" not in plan and plan.count("shiftleft")  # repeated results are reduced before the join
+
+
 def test_chunk_documents(spark):
     text = "\n".join(f"the {w} line number {k} speaks of {w}" for k, w in enumerate(["cats"] * 6 + ["ships"] * 6 + ["stones"] * 6))
     docs = spark.createDataFrame([("d", text + "\n" + "-" * 40), ("e", "one short line of text"), ("f", None)], "doc_id string, text string")
