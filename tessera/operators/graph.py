@@ -190,9 +190,12 @@ def import_membership(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def resources_of(membership: DataFrame) -> DataFrame:
-    """(identifier, position, uri): the distinct resources of each vocabulary, numbered from 1 by uri. A row each, so a vocabulary may be of any size."""
-    w = Window.partitionBy("identifier").orderBy("uri")
-    return membership.select("identifier", "uri").distinct().select("identifier", F.row_number().over(w).cast("long").alias("position"), "uri")
+    """(identifier, position, uri): the distinct resources of each vocabulary, numbered from 1 by uri. A row each, and ranked over all tasks, so a vocabulary may be of any size."""
+    from tessera.operators.ranking import global_rank
+
+    ranked = global_rank(membership.select("identifier", "uri").distinct(), F.col("identifier"), F.col("uri"), name="__rank")
+    first = ranked.groupBy("identifier").agg(F.min("__rank").alias("__first")).withColumnRenamed("identifier", "__of")
+    return ranked.join(first, F.col("identifier").eqNullSafe(F.col("__of"))).select("identifier", (F.col("__rank") - F.col("__first") + 1).alias("position"), "uri")
 
 
 def scheme_profile(membership: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -314,6 +314,17 @@ def test_candidates_of_repeated_results(spark):
     assert "min(position" not in plan and plan.count("shiftleft")  # repeated results are reduced before the join
 
 
+def test_resources_are_numbered_over_all_tasks(spark):
+    from tessera.operators import graph as G
+
+    members = spark.range(5000).selectExpr("if(id < 4990, 'big', 'small') AS identifier", "concat('u', 10000 + (id * 37) % 5000) AS uri")
+    made = G.resources_of(members.union(members))
+    got = [tuple(r) for r in made.orderBy("identifier", "position").collect()]
+    want = sorted({tuple(r) for r in members.collect()})
+    assert [(i, u) for i, _, u in got] == want and [p for _, p, _ in got] == [*range(1, 4991), *range(1, 11)]
+    assert "windowspecdefinition(identifier" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_chunk_documents(spark):
     text = "\n".join(f"the {w} line number {k} speaks of {w}" for k, w in enumerate(["cats"] * 6 + ["ships"] * 6 + ["stones"] * 6))
     docs = spark.createDataFrame([("d", text + "\n" + "-" * 40), ("e", "one short line of text"), ("f", None)], "doc_id string, text string")
