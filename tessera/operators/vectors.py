@@ -4,8 +4,8 @@ The index deals vectors to the cells of their nearest centroids, two of them
 unless told otherwise (a neighbour just across a border is found in either), and
 keeps eight bits a component. A query probes a few cells; every cell is cut into parts of
 bounded size, each part meets the queries that probe it in one task, and only
-the best few of a part leave it. What is left is ranked again by the exact
-cosine of the whole vectors.
+what may be among the best leaves it: the index knows how far a code can be from its
+vector. What is left is ranked again by the exact cosine of the whole vectors.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ SAMPLE, ROUNDS, SEED = 20_000, 12, 7
 #: vectors of a part of a cell or of a block, queries that are scored at once
 ROWS, TOGETHER = 4096, 512
 
+#: beside the distance of a code: for sums in single precision and scores of six decimals
+MARGIN = 1e-5
+
 _FOUND = "query bigint, id bigint, near float"
 
 
@@ -77,7 +80,7 @@ def fit_cells(df: DataFrame, id_col: str, vector_col: str, cells: int, sample: i
 
 
 def build_index(df: DataFrame, id_col: str, vector_col: str, cells: Cells, copies: int = 2) -> DataFrame:
-    """``id``, ``cell`` and ``code`` (the direction in eight bits a component), for each of the ``copies`` nearest cells. Rows without an id or a finite vector are left out."""
+    """``id``, ``cell``, ``code`` (the direction in eight bits a component), ``slack`` (by how much a cosine by the code may be wrong) and ``twin`` (a hash of the vector), for each of the ``copies`` nearest cells. Rows without an id or a finite vector are left out."""
     shared = df.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches):
@@ -86,10 +89,12 @@ def build_index(df: DataFrame, id_col: str, vector_col: str, cells: Cells, copie
             if len(vectors):
                 codes = np.rint(unit(vectors) * 127).astype(np.int8)
                 cell = shared.value.nearest(vectors, copies).astype(np.int32)
+                slack = np.linalg.norm(unit(vectors) - codes / 127, axis=1) + MARGIN
                 times = pa.array(np.repeat(np.arange(batch.num_rows), cell.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(times), pa.array(cell.reshape(-1)), pa.array([c.tobytes() for c in codes], pa.binary()).take(times)], names=["id", "cell", "code"])
+                own = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(slack, pa.float32()), batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(times), pa.array(cell.reshape(-1)), *(c.take(times) for c in own)], names=["id", "cell", "code", "slack", "twin"])
 
-    return _whole(df, id_col, vector_col).mapInArrow(run, "id bigint, cell int, code binary")
+    return _whole(df, id_col, vector_col).withColumn("twin", F.xxhash64("vector")).mapInArrow(run, "id bigint, cell int, code binary, slack float, twin bigint")
 
 
 def write_index(index: DataFrame, path: str) -> None:
@@ -110,10 +115,14 @@ def _probes(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
     return queries.mapInArrow(run, "query bigint, cell int, vector array<double>")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` highest of each row, ties at the border in any order of ids."""
-    most = min(most, len(ids))
-    return np.argpartition(-scores, most - 1, axis=1)[:, :most]
+def _firsts(ids: np.ndarray, twins: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` smallest ids of each vector; the others are behind them for every query."""
+    order = np.lexsort((ids, twins))
+    i, t = ids[order], twins[order]
+    order = order[np.append(True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]))]
+    t = twins[order]
+    starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    return order[np.arange(len(t)) - np.repeat(starts, np.diff(np.append(starts, len(t)))) < most]
 
 
 def _ranked(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -129,34 +138,42 @@ def _reduced(found: DataFrame, most: int) -> DataFrame:
     return found.groupBy("query", "id").agg(F.max("near").alias("near")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("query", "id")
 
 
-def search_index(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, index: DataFrame, cells: Cells, k: int, probes: int = 8, candidates: int = 4) -> DataFrame:
+def _possible(found: DataFrame, k: int) -> DataFrame:
+    """(query, id) of what may be among the ``k`` nearest of all parts: its cosine can reach the ``k``-th of those that are certain."""
+    each = found.groupBy("query", "id").agg(F.max("near").alias("near"), F.max("slack").alias("slack"))
+    sure = each.select("query", (F.col("near") - F.col("slack")).alias("low")).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low")))).filter(F.col("place") <= k)
+    least = sure.groupBy("query").agg(F.when(F.count("*") == k, F.min("low")).alias("least"))
+    return each.join(least, "query").filter("least is null or near + slack >= least").select("query", "id")
+
+
+def search_index(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, index: DataFrame, cells: Cells, k: int, probes: int = 8) -> DataFrame:
     """(query, id, score, rank): for each row of ``queries`` the ``k`` nearest of those that its cells hold.
 
-    ``queries`` has the columns of ``df``, of which ids and vectors are read. ``candidates`` times ``k`` are
-    taken by their codes and ranked by their exact cosine. More ``probes`` find more of the true nearest; as many as there are cells find all
-    that codes can tell apart.
+    ``queries`` has the columns of ``df``, of which ids and vectors are read. All that may be among them by their
+    codes are ranked by their exact cosine. More ``probes`` find more of the true nearest; as many as there are cells find all.
     """
     vectors, asked = _whole(df, id_col, vector_col), _whole(queries, id_col, vector_col)
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"))  # a row for each cell
-    dealt = index.join(F.broadcast(parts), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "code")
+    dealt = index.join(F.broadcast(parts), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "code", "slack", "twin")
     wanted = _probes(asked, cells, probes).join(F.broadcast(parts), "cell").select(F.col("cell").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"), "query", "vector")
-    most = k * candidates
 
     def scan(own: pa.Table, asks: pa.Table) -> pa.Table:
         out = []
         if len(own) and len(asks):
-            ids = own["id"].to_numpy()
-            codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float32)
+            own = own.take(_firsts(own["id"].to_numpy(), own["twin"].to_numpy(), k))
+            ids, slack = own["id"].to_numpy(), own["slack"].to_numpy()
+            codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float32) / 127
             query, directions = asks["query"].to_numpy(), unit(_matrix(asks["vector"]))
             for at in range(0, len(query), TOGETHER):
                 scores = directions[at : at + TOGETHER] @ codes.T
-                top = _best(scores, ids, most)
-                out.append((np.repeat(query[at : at + TOGETHER], top.shape[1]), ids[top].reshape(-1), np.take_along_axis(scores, top, 1).reshape(-1)))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "id", "near"), columns, (pa.int64(), pa.int64(), pa.float32()), strict=True)})
-
-    found = dealt.groupBy("cell", "part").cogroup(wanted.groupBy("of", "at")).applyInArrow(scan, _FOUND)
-    return _ranked(_reduced(found, most), vectors, asked, k)
+                least = np.partition(scores - slack, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+                row, place = np.nonzero(scores + slack >= least)
+                out.append((query[at : at + TOGETHER][row], ids[place], scores[row, place], slack[place]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "id", "near", "slack"), columns, (pa.int64(), pa.int64(), pa.float32(), pa.float32()), strict=True)})
+
+    found = dealt.groupBy("cell", "part").cogroup(wanted.groupBy("of", "at")).applyInArrow(scan, f"{_FOUND}, slack float")
+    return _ranked(_possible(found, k), vectors, asked, k)
 
 
 def nearest(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int, count: int | None = None) -> DataFrame:

@@ -57,3 +57,14 @@ def test_index_search(spark, monkeypatch, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "cells"))
     assert grouped(V.search_index(df, "vec", "e", queries, stored, cells, 10, 24)).keys() == set(range(0, 3000, 50))
     assert V.recall(V.search_index(df, "vec", "e", queries, stored, cells, 10, 24), true).first().recall >= 0.99
+
+
+def test_all_cells_find_all(spark):
+    """More vectors than are taken by their codes alone, nearer to each other than codes can tell, and more copies than are asked for."""
+    r = np.random.default_rng(3)
+    points = r.normal(size=16) + r.normal(size=(2000, 16)) * 0.005
+    points[1000:1100] = points[7]
+    df = spark.createDataFrame([(int(i), p.tolist()) for i, p in enumerate(points)], "vec long, e array<double>")
+    queries, cells = df.filter("vec % 100 = 0"), V.fit_cells(df, "vec", "e", 4)
+    found = V.search_index(df, "vec", "e", queries, V.build_index(df, "vec", "e", cells), cells, 10, 4)
+    assert grouped(found) == plain(points, range(0, 2000, 100), 10)
