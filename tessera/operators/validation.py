@@ -115,32 +115,45 @@ class Constraints:
         return max((len(r[9]) for r in self.rows), default=0) + 1 if any(r[10] for r in self.rows) else 0
 
 
+def _children(n: Column, below: list[str]) -> Column:
+    """Those children of the node ``n`` that have one of the patterns ``below``, as an array of nodes."""
+    v = n["v"]
+
+    def made(step: Column, pattern: Column, value: Column) -> Column:
+        return F.struct(n["id"].alias("id"), F.concat_ws("/", n["pointer"], step).alias("pointer"), pattern.alias("pattern"), value.alias("v"))
+
+    def named(x: Column) -> Column:
+        key = F.replace(F.replace(x["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        pattern = F.concat_ws("/", n["pattern"], key)
+        return made(key, F.when(pattern.isin(*below), pattern).otherwise(F.concat(n["pattern"], F.lit("/+"))), x["value"])
+
+    def placed(value: Column, k: Column) -> Column:
+        return made(k.cast("string"), F.concat(n["pattern"], F.lit("/*")), value)
+
+    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), named)
+    places = F.transform(F.try_variant_get(v, "$", "array<variant>"), placed)
+    return F.filter(F.coalesce(fields, places, F.array_repeat(n, 0)), lambda x: x["pattern"].isin(*below))
+
+
 def nodes(df: DataFrame, id_col: str, json_col: str, patterns: set[str]) -> DataFrame:
-    """``id``, ``pointer``, ``pattern`` and the variant ``v`` of every node with one of ``patterns``; ``v`` is null where the text is no JSON."""
-    spark, known = df.sparkSession, sorted(patterns)
-    level = df.select(F.col(id_col).alias("id"), F.lit("").alias("pointer"), F.lit("").alias("pattern"), F.try_parse_json(F.col(json_col)).alias("v"))
-    levels = [level]
+    """``id``, ``pointer``, ``pattern`` and the variant ``v`` of every node with one of ``patterns``; ``v`` is null where the text is no JSON.
+
+    A document is parsed once: each step adds the children of the nodes of one depth to the rows of the step before, in the same task.
+    """
+    root = F.struct(F.col(id_col).alias("id"), F.lit("").alias("pointer"), F.lit("").alias("pattern"), F.try_parse_json(F.col(json_col)).alias("v"))
+    level, n = df.select(root.alias("n")), F.col("n")
     for depth in range(max(p.count("/") for p in patterns)):
-        above = sorted({p.rsplit("/", 1)[0] for p in patterns if p.count("/") == depth + 1})
-        kids = level.filter(F.col("pattern").isin(*above)).alias("n").lateralJoin(spark.tvf.variant_explode(F.col("n.v").outer()).alias("k"))
-        key = F.replace(F.replace(F.col("k.key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-        step = F.coalesce(key, F.col("k.pos").cast("string"))
-        named = F.concat_ws("/", "n.pattern", key)
-        pattern = F.when(key.isNull(), F.concat("n.pattern", F.lit("/*"))).when(named.isin(*known), named).otherwise(F.concat("n.pattern", F.lit("/+")))
-        level = kids.select("n.id", F.concat_ws("/", "n.pointer", step).alias("pointer"), pattern.alias("pattern"), F.col("k.value").alias("v")).filter(F.col("pattern").isin(*known))
-        level = cut(level)  # a level is taken apart once, and no further than documents go
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
-
-
-def _kind(v: Column) -> Column:
-    """The JSON type of a variant; numbers without a fraction are integers."""
-    name = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    plain = F.when(F.is_variant_null(v), "null").when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean")
-    return plain.when(number == F.floor(number), "integer").otherwise("number")
+        below = sorted(p for p in patterns if p.count("/") == depth + 1)
+        above = sorted({p.rsplit("/", 1)[0] for p in below})
+        level = level.select(F.explode(F.when(F.col("n.pattern").isin(*above), F.concat(F.array(n), _children(n, below))).otherwise(F.array(n))).alias("n"))
+    return level.select("n.*")
+
+
+def _kind(text: Column) -> Column:
+    """The JSON type that a value's text begins; numbers without a fraction are integers."""
+    first, number = F.substring(text, 1, 1), text.try_cast("double")
+    plain = F.when(first == "n", "null").when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean")
+    return plain.when(number == F.floor(number), "integer").when(text.isNotNull(), "number")
 
 
 def issues(df: DataFrame, id_col: str, json_col: str, schema: dict, depth: int = DEPTH) -> DataFrame:
@@ -151,32 +164,32 @@ def issues(df: DataFrame, id_col: str, json_col: str, schema: dict, depth: int =
     no JSON has one issue; a null text has none. Words of messages are those of the usual validators.
     """
     spark, made = df.sparkSession, Constraints(schema, depth)
-    if not made.rows:
-        made._add("", "never", "", ((-1, 0, 0),))  # a table needs a row; this one is in no group that is asked for
+    made._add("", "json", "", ())
     table = F.broadcast(spark.createDataFrame(made.rows, _CONSTRAINT))  # as many rows as the schema has keywords
-    every = nodes(df.filter(F.col(json_col).isNotNull()), id_col, json_col, made.patterns)
-    bad = every.filter("pattern = '' AND v IS NULL").select("id", F.lit("").alias("path"), F.lit("").alias("schema_path"), F.lit("not JSON").alias("message"))
-    text, kind = F.to_json("v"), F.col("t")
-    seen = every.filter("v IS NOT NULL").withColumn("t", _kind(F.col("v"))).select(
-        "*",
-        text.alias("text"),
+    kind = F.col("t")
+    texts = df.select(id_col, json_col).filter(F.col(json_col).isNotNull())
+    # texts are small for what is done with them, so adaptive execution would give them to few tasks
+    texts = texts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), id_col)
+    every = nodes(texts, id_col, json_col, made.patterns).filter(F.col("pattern").isin(*{r[1] for r in made.rows}))
+    seen = every.withColumn("text", F.to_json("v")).withColumn("t", _kind(F.col("text"))).select(
+        "id", "pointer", "pattern", "text", "t",
         F.when(kind.isin("integer", "number"), F.try_variant_get("v", "$", "double")).alias("value"),
         F.when(kind == "string", F.try_variant_get("v", "$", "string")).alias("string"),
-        F.when(kind == "object", F.json_object_keys(text)).alias("keys"),
-        F.when(kind == "array", F.json_array_length(text)).alias("items"),
     )
-    both = seen.drop("v").join(table.withColumnRenamed("id", "g"), "pattern")
+    both = seen.join(table.withColumnRenamed("id", "g"), "pattern")
     of, number = F.col("kind"), F.col("number")
-    size = F.coalesce(F.when(of.endswith("Length"), F.length("string")), F.when(of.endswith("Items"), F.col("items")), F.when(of.endswith("Properties"), F.size("keys")))
+    keys, items = F.when(kind == "object", F.json_object_keys("text")), F.when(kind == "array", F.json_array_length("text"))
+    size = F.coalesce(F.when(of.endswith("Length"), F.length("string")), F.when(of.endswith("Items"), items), F.when(of.endswith("Properties"), F.size(keys)))
     size = F.when(of.isin(*_SIZES), size)
-    extra = F.array_except("keys", "names")
+    extra = F.array_except(keys, F.col("names"))
     fits = F.array_contains("names", F.col("t")) | (F.col("t") == "integer") & F.array_contains("names", F.lit("number"))
     listed = F.coalesce(F.array_contains("numbers", F.col("value")), F.array_contains("texts", F.col("text")))
     wrong = (
-        F.when(of == "never", True)
+        F.when(F.col("text").isNull() | (of == "json"), F.col("text").isNull() & (of == "json"))
+        .when(of == "never", True)
         .when(of == "type", ~fits)
         .when(of.isin("enum", "const"), ~listed)
-        .when(of == "required", ~F.array_contains("keys", F.col("said")))
+        .when(of == "required", ~F.array_contains(keys, F.col("said")))
         .when(of == "additionalProperties", F.size(extra) > 0)
         .when(of == "pattern", ~F.rlike("string", F.col("said")))
         .when(of == "minimum", F.col("value") < number)
@@ -190,7 +203,8 @@ def issues(df: DataFrame, id_col: str, json_col: str, schema: dict, depth: int =
     shown = F.when(kind == "string", say("'", F.col("string"), "'")).otherwise(F.col("text"))
     bound = F.create_map(*(F.lit(x) for pair in _BOUNDS.items() for x in pair))
     message = (
-        F.when(of == "never", say("False schema does not allow ", shown))
+        F.when(of == "json", "not JSON")
+        .when(of == "never", say("False schema does not allow ", shown))
         .when(of == "type", say(shown, " is not of type ", F.col("said")))
         .when(of == "enum", say(shown, " is not one of ", F.col("said")))
         .when(of == "const", say(F.col("said"), " was expected"))
@@ -203,10 +217,14 @@ def issues(df: DataFrame, id_col: str, json_col: str, schema: dict, depth: int =
         .when(of.startswith("min"), say(shown, " does not have enough ", F.when(of == "minItems", "items").otherwise("properties")))
         .otherwise(say(shown, " has too many ", F.when(of == "maxItems", "items").otherwise("properties")))
     )
-    found = both.filter(F.coalesce(wrong, F.lit(False))).select("id", F.col("pointer").alias("path"), "schema_path", message.alias("message"), "scope")
-    groups = both.filter(of.isin("anyOf", "oneOf")).select("id", F.col("pointer").alias("path"), "schema_path", "scope", F.col("kind"), shown.alias("shown"), "alternatives", "g")
+    group = of.isin("anyOf", "oneOf")
+    kept = both.filter(F.coalesce(wrong, F.lit(False)) | group & F.col("text").isNotNull())
+    # what is wrong, and the nodes of groups: few of all, found once, for every level below asks for them again
+    marks = cut(kept.select("id", F.col("pointer").alias("path"), "schema_path", F.when(~group, message).alias("message"), "scope", "kind", F.when(group, shown).alias("shown"), "alternatives", "g"))
+    found = marks.filter(~group).select("id", "path", "schema_path", "message", "scope")
+    groups = marks.filter(group).drop("message")
     for level in range(made.levels, 0, -1):
-        top = F.element_at("scope", -1)
+        top = F.try_element_at("scope", F.lit(-1))
         inner = found.filter(F.size("scope") == level).select("id", F.array_join(F.slice(F.split("path", "/"), F.lit(1), top["depth"] + 1), "/").alias("path"), top["g"].alias("g"), top["a"].alias("a"))
         failed = inner.groupBy("id", "path", "g").agg(F.count_distinct("a").alias("failed"))
         here = groups.filter(F.size("scope") == level - 1).join(failed, ["id", "path", "g"], "left").withColumn("passed", F.col("alternatives") - F.coalesce("failed", F.lit(0)))
@@ -214,4 +232,4 @@ def issues(df: DataFrame, id_col: str, json_col: str, schema: dict, depth: int =
         said = none.when(F.col("passed") == 0, say(F.col("shown"), " is not valid under any of the given schemas")).otherwise(say(F.col("shown"), " is valid under each of the alternatives"))
         lost = here.filter((F.col("passed") == 0) | (F.col("kind") == "oneOf") & (F.col("passed") > 1)).select("id", "path", "schema_path", said.alias("message"), "scope")
         found = found.filter(F.size("scope") < level).unionByName(lost)
-    return found.filter(F.size("scope") == 0).drop("scope").unionByName(bad).select(F.col("id").alias(id_col), "path", "schema_path", "message")
+    return found.filter(F.size("scope") == 0).select(F.col("id").alias(id_col), "path", "schema_path", "message")

@@ -127,3 +127,18 @@ def test_messages_and_no_python_in_the_plan(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert V.issues(df, "k", "j", {}).collect() == [] and [r.path for r in V.issues(df, "k", "j", {"properties": {"id": False}}).collect()] == ["/id"]
+
+
+def test_documents_are_read_once(spark):
+    sc = spark.sparkContext
+    read = sc.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = [(1, '{"id": 0, "items": [{"n": 11}], "who": 5, "state": null}'), (2, "no JSON"), (3, None), (4, '{"id": 1, "items": [{"n": 1}]}')]
+    df = spark.createDataFrame(sc.parallelize(rows, 2).map(seen), "doc int, body string")
+    found = sorted((r["doc"], r["path"], r["schema_path"]) for r in V.issues(df, "doc", "body", SCHEMA).collect())
+    assert found == [(1, "/id", "/properties/id/minimum"), (1, "/items/0/n", "/properties/items/items/$ref/properties/n/maximum"), (1, "/who", "/properties/who/anyOf"), (2, "", "")]
+    assert read.value == len(rows)
