@@ -23,8 +23,9 @@ def strip(c: Name) -> Column:
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
 
-def matches(c: Name, pattern: str) -> Column:
-    return F.regexp_count(col(c), F.lit(pattern))
+def matches(c: Name, one: str) -> Column:
+    """How many characters of a text the pattern ``one`` of a single character matches: what is missing without its runs."""
+    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"{one}+", ""))
 
 
 def is_missing(c: Name) -> Column:

@@ -64,7 +64,10 @@ def grade(df: DataFrame, line_col: str = "line", config: T.QualityConfig = T.Qua
 def quality_filter(lines: DataFrame, line_col: str = "line", protected: Column | None = None, config: T.QualityConfig = T.QualityConfig()) -> DataFrame:
     """Lines that pass the quality gate, and protected ones whatever their score."""
     keep = F.col("quality.kind") == "keep"
-    return grade(lines, line_col, config).filter(keep if protected is None else keep | protected).drop("quality")
+    graded = grade(lines, line_col, config)
+    # as an only element, so that the filter stays above: pushed down it would count every signal anew wherever the verdict names it
+    held = graded.select(*lines.columns, F.explode(F.array("quality")).alias("quality"))
+    return held.filter(keep if protected is None else keep | protected).drop("quality")
 
 
 def protect(lines: DataFrame, protected: DataFrame, id_col: str = "doc_id") -> DataFrame:

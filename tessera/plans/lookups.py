@@ -19,10 +19,9 @@ from tessera.sources import embeddings, runs
 def protected_lines(spark, sf):
     """Every seventh line stays, whatever its grade; marks of lines that no text has count for nothing."""
     lines = L.explode_lines(table(spark, sf, "documents").select("doc_id", "text"))
-    marks = lines.filter("line_no % 7 = 0").select("doc_id", "line_no")
-    marked = L.protect(lines, marks.union(marks).union(marks.select("doc_id", F.lit(10_000_000).cast("long"))))
-    kept = L.quality_filter(marked, protected=F.col("is_protected")).groupBy("doc_id").agg(F.count("*").alias("kept"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("lines")).join(kept, "doc_id", "left").select("doc_id", "lines", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
+    marks = lines.filter("line_no % 7 = 0").select("doc_id", F.explode(F.array("line_no", "line_no", F.lit(10_000_000).cast("long"))).alias("line_no"))
+    graded = L.grade(lines).select("doc_id", "line_no", (F.col("quality.kind") == "keep").alias("keep"))  # the marks are joined to grades, not to texts
+    return L.protect(graded, marks).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("keep") | F.col("is_protected")).alias("kept"))
 
 
 @query(
