@@ -8,6 +8,7 @@ document always fit one row, as the document itself does.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -151,12 +152,30 @@ def merge_small(pieces: list[Piece], sizes: Mapping[int, int], least: int, most:
 MERGED = "chunk_no bigint, start bigint, `end` bigint, n_lines bigint, tokens bigint, source_chunk_count bigint, operations array<string>"
 
 
-def post_process(chunks: DataFrame, lines: DataFrame, least: int, most: int, gap: int, id_col: str = "doc_id", distances: Mapping[int, float] | None = None) -> DataFrame:
-    """Gap split and small-chunk merge of each document's chunks (id, chunk_no, start, end) over its kept lines (id, line_no, line)."""
-    kind, known = dict(chunks.dtypes)[id_col], dict(distances or {})
-    sized = lines.select(id_col, "line_no", (F.length("line") + 1).cast("long").alias("n"))
-    a = chunks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "start", "end"))).alias("chunks"))
-    b = sized.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("line_no", "n"))).alias("lines"))
+def packed_spans(order: Sequence[int], tokens: Sequence[int], budget: int) -> list[tuple[int, int]]:
+    """(start, end) of the chunks that ``pack`` makes of lines of so many tokens."""
+    spans: list[tuple[int, int]] = []
+    held = 0  # tokens of the open chunk; a line over the budget closes it
+    for at, n in zip(order, tokens, strict=True):
+        if held > 0 and held + n <= budget:
+            spans[-1] = spans[-1][0], at
+        else:
+            spans.append((at, at))
+            held = 0
+        held = 0 if n > budget else held + n
+    return spans
+
+
+def _sizes(lines: DataFrame, id_col: str) -> DataFrame:
+    """The numbers and characters of each text's lines, in order; a text's lines reach one row as numbers."""
+    own = lines.select(id_col, F.struct("line_no", (F.length("line") + 1).cast("long").alias("n")).alias("x"))
+    b = own.groupBy(id_col).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return b.select(id_col, F.col("x.line_no").alias("order"), F.col("x.n").alias("n"))
+
+
+def _finished(sized: DataFrame, least: int, most: int, gap: int, id_col: str, known: Mapping[int, float], budget: int | None = None) -> DataFrame:
+    """Gap split and merge over rows (id, order, n) with the ``chunks`` of the lines, or packed here within ``budget``."""
+    kind = dict(sized.dtypes)[id_col]
 
     def tokens(chars: int) -> int:
         return -(-chars // T.CHARS_PER_TOKEN)
@@ -164,15 +183,23 @@ def post_process(chunks: DataFrame, lines: DataFrame, least: int, most: int, gap
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, cs, ls in zip(pdf[id_col], pdf["chunks"], pdf["lines"], strict=True):
-                sizes = {x["line_no"]: x["n"] for x in ls}
+            for k in range(len(pdf)):
+                i, order, n = pdf[id_col].iloc[k], pdf["order"].iloc[k].tolist(), pdf["n"].iloc[k].tolist()
+                sizes = dict(zip(order, n, strict=True))
                 order = sorted(sizes)
-                parts = [[k for k in order if c["start"] <= k <= c["end"]] for c in cs]
+                spans = packed_spans(order, [tokens(sizes[at]) for at in order], budget) if budget is not None else [(c["start"], c["end"]) for c in pdf["chunks"].iloc[k]]
+                parts = [order[bisect_left(order, start) : bisect_right(order, end)] for start, end in spans]
                 for no, p in enumerate(merge_small(split_at_gaps([p for p in parts if p], gap), sizes, least, most, known, tokens)):
-                    rows.append((i, no, p.lines[0], p.lines[-1], len(p.lines), tokens(sum(sizes[k] for k in p.lines)), p.sources, p.operations))
+                    rows.append((i, no, p.lines[0], p.lines[-1], len(p.lines), tokens(sum(sizes[at] for at in p.lines)), p.sources, p.operations))
             yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "start", "end", "n_lines", "tokens", "source_chunk_count", "operations"])
 
-    return a.join(b, id_col).mapInPandas(run, f"{id_col} {kind}, {MERGED}")
+    return sized.mapInPandas(run, f"{id_col} {kind}, {MERGED}")
+
+
+def post_process(chunks: DataFrame, lines: DataFrame, least: int, most: int, gap: int, id_col: str = "doc_id", distances: Mapping[int, float] | None = None) -> DataFrame:
+    """Gap split and small-chunk merge of each document's chunks (id, chunk_no, start, end) over its kept lines (id, line_no, line)."""
+    a = chunks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "start", "end"))).alias("chunks"))
+    return _finished(a.join(_sizes(lines, id_col), id_col), least, most, gap, id_col, dict(distances or {}))
 
 
 def sample_windows(df: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
@@ -232,5 +259,7 @@ def chunk_documents(docs: DataFrame, strategy: str = "fixed", budget: int = 1024
         raise ValueError("strategy is fixed or semantic")
     lines = explode_lines(docs, id_col, text_col)
     lines = quality_filter(lines) if protected is None else quality_filter(protect(lines, protected, id_col), protected=F.col("is_protected")).drop("is_protected")
-    chunks = pack(lines, budget, id_col) if strategy == "fixed" else cap_chunks(semantic_chunks(lines, id_col=id_col, **semantic), lines, budget, id_col)
+    if strategy == "fixed":  # packing asks for sizes alone, so lines are graded and dealt out once
+        return _finished(_sizes(lines, id_col), least, budget, gap, id_col, {}, budget)
+    chunks = cap_chunks(semantic_chunks(lines, id_col=id_col, **semantic), lines, budget, id_col)
     return post_process(chunks.select(id_col, "chunk_no", "start", "end"), lines, least, budget, gap, id_col)

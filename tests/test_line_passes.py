@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import chunking as C
 from tessera.operators import lines as L
 from tessera.plans import QUERIES
 
@@ -27,3 +28,18 @@ def test_quality_filter_counts_signals_once(spark):
 
 def test_protected_lines_reads_texts_for_marks_and_grades_alone(spark):
     assert plan(QUERIES["protected_lines"](spark, "/root/testdata/sf0.001")).count("parquet") <= 2
+
+
+def test_chunks_read_texts_once_and_pack_alike(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = [(d, "\n".join(f"line {k} of the text {'word ' * (k * d % 23)}" for k in range(40))) for d in range(1, 6)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "doc_id int, text string")
+    got = sorted(map(tuple, C.chunk_documents(docs, "fixed", 24, 10, 32).collect()))
+    assert read.value == len(rows)
+    lines = L.quality_filter(L.explode_lines(docs))
+    assert got == sorted(map(tuple, C.post_process(C.pack(lines, 24), lines, 10, 24, 32).collect())) and len(got) > 50
