@@ -186,7 +186,8 @@ META_TYPES = ("Ontology", "ObjectProperty", "DatatypeProperty", "AnnotationPrope
 
 def import_membership(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(identifier, uri): resources of vocabularies that are nodes, each once."""
-    return members.select("identifier", "uri").join(nodes.select("uri"), "uri", "left_semi").select("identifier", "uri").distinct()
+    # the members are looked up, so that the nodes, which are more, needn't be sorted
+    return nodes.select("uri").join(members.select("identifier", "uri").distinct().hint("shuffle_hash"), "uri").select("identifier", "uri").distinct()
 
 
 def resources_of(membership: DataFrame) -> DataFrame:
@@ -200,10 +201,13 @@ def resources_of(membership: DataFrame) -> DataFrame:
 
 def scheme_profile(membership: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(identifier, rdf_type, count, relationships): types of each vocabulary's nodes, and the types of edges at either end of them; nodes without edges count too."""
-    typed = membership.distinct().join(nodes.select("uri", F.explode("rdf_types").alias("rdf_type")), "uri")
-    ends = edges.select(F.col("s").alias("uri"), "p").union(edges.select(F.col("o").alias("uri"), "p")).distinct()
-    kinds = typed.join(ends, "uri", "left").groupBy("identifier", "rdf_type").agg(F.array_sort(F.collect_set("p")).alias("relationships"))
-    return typed.groupBy("identifier", "rdf_type").agg(F.count_distinct("uri").alias("count")).join(kinds, ["identifier", "rdf_type"])
+    # the members are the lesser side: they are looked up, while nodes and edges stream past them unsorted
+    members = membership.distinct()
+    typed = nodes.select("uri", F.explode("rdf_types").alias("rdf_type")).join(members.hint("shuffle_hash"), "uri").filter("identifier is not null and rdf_type is not null").select("identifier", "rdf_type", "uri").distinct()
+    ends = edges.select(F.explode(F.array("s", "o")).alias("uri"), "p")
+    kinds = ends.join(typed.hint("shuffle_hash"), "uri").groupBy("identifier", "rdf_type", "p").agg(F.count("*").alias("__n")).groupBy("identifier", "rdf_type").agg(F.array_sort(F.collect_list("p")).alias("relationships"))
+    counts = typed.groupBy("identifier", "rdf_type").agg(F.count("*").alias("count"))
+    return counts.join(kinds, ["identifier", "rdf_type"], "left").withColumn("relationships", F.coalesce("relationships", F.array().cast("array<string>")))
 
 
 def fetch_resources(nodes: DataFrame, uris: DataFrame, meta: Sequence[str] = META_TYPES) -> DataFrame:
