@@ -263,10 +263,14 @@ def cross_parent_duplicates(attributes: DataFrame, order: str = "position") -> D
     size, so a group is a run whose neighbours are equal, not a set of pairs.
     """
     w = Window.partitionBy("id", "label", "unit").orderBy("value", order)
-    near = same_value(F.col("value"), F.lag("value").over(w))
-    runs = attributes.withColumn("__new", F.coalesce((~near).cast("int"), F.lit(1))).withColumn("__run", F.sum("__new").over(w))
-    best = runs.groupBy("id", "label", "unit", "__run").agg(F.min_by(F.col(order), F.struct(-F.col("score"), F.col(order))).alias("survivor"), F.count_distinct("array").alias("__arrays"))
-    return runs.join(best.filter("__arrays > 1"), ["id", "label", "unit", "__run"]).filter(F.col(order) != F.col("survivor")).select("id", order, "array", "survivor")
+    near = lambda other: F.coalesce(same_value(F.col("value"), other.over(w)), F.lit(False))
+    marked = attributes.filter("id is not null and label is not null and unit is not null").withColumn("__new", (~near(F.lag("value"))).cast("int")).withColumn("__next", near(F.lead("value"))).withColumn("__run", F.sum("__new").over(w))
+    # a run of one row has no duplicate; the others are few, and stay where they are
+    runs = marked.filter((F.col("__new") == 0) | F.col("__next"))
+    run = Window.partitionBy("id", "label", "unit", "__run")
+    first = F.min(F.struct(-F.col("score"), F.col(order).alias("at"))).over(run)["at"]
+    found = runs.withColumn("survivor", first).withColumn("__arrays", F.min("array").over(run) != F.max("array").over(run))
+    return found.filter(F.col("__arrays") & (F.col(order) != F.col("survivor"))).select("id", order, "array", "survivor")
 
 
 #: words that say nothing of where an attribute belongs; fixed values

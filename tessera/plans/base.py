@@ -22,5 +22,14 @@ def query(sql: str | None = None):
     return add
 
 
+#: rows of a task that sorts or groups; fixed value
+TASK_ROWS = 250_000
+
+
+def tasks_for(rows: DataFrame, most: int = TASK_ROWS) -> int:
+    """How many tasks the rows of a stored table need so that none has many more than ``most``; the count comes from the files' footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

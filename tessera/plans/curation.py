@@ -11,7 +11,7 @@ from tessera.operators import curation as K
 from tessera.operators import documents as D
 from tessera.operators import ledgers as L
 from tessera.operators import placement as W
-from tessera.plans.base import query, table
+from tessera.plans.base import query, table, tasks_for
 from tessera.plans.documents import _orders
 
 # Drafts of datasets, one for each order: an activity with two quantities (the second with a unit if the order is filled) and a quality of the whole.
@@ -190,7 +190,10 @@ _ATTRIBUTES = "a AS (SELECT l_orderkey AS id, l_linenumber AS position, min(l_pa
 
 
 def _attributes(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position")).agg(F.min("l_partkey").alias("p"), F.min("l_discount").alias("value"), F.min("l_returnflag").alias("label"))
+    """An order's lines meet in one of as many tasks as the lines need, so what a task holds doesn't grow with the table."""
+    lines = table(spark, sf, "lineitem")
+    own = lines.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position"), "l_partkey", "l_discount", "l_returnflag").repartition(tasks_for(lines), "id")
+    return own.groupBy("id", "position").agg(F.min("l_partkey").alias("p"), F.min("l_discount").alias("value"), F.min("l_returnflag").alias("label"))
 
 
 @query(

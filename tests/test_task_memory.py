@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.operators import curation as K
 from tessera.operators import graph as G
 
 
@@ -23,3 +24,11 @@ def test_scheme_profile_sorts_neither_nodes_nor_edges(spark):
         assert sorted(map(tuple, bare.collect())) == [("w", "T", 1, []), ("w", "U", 1, [])]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cross_parent_duplicates_join_no_runs(spark):
+    rows = [(1, 0, "/a", "x", 1.0, "m", 1), (1, 1, "/b", "x", 1.0 + 1e-8, "m", 2), (1, 2, "/a", "x", 2.0, "m", 9), (1, 3, "/a", "y", 1.0, "m", 1), (1, 4, "/a", "y", 1.0, "m", 1)]
+    rows += [(2, 0, "/a", "x", None, "m", 1), (2, 1, "/b", "x", None, "m", 1), (2, 2, "/a", None, 1.0, "m", 1), (2, 3, "/b", None, 1.0, "m", 1), (3, 0, "/a", "x", 5.0, "m", 1), (3, 1, "/b", "x", 5.0, "m", 1), (3, 2, None, "x", 5.0, "m", 0)]
+    made = K.cross_parent_duplicates(spark.createDataFrame(rows, "id long, position int, array string, label string, value double, unit string, score int"))
+    assert "Join" not in plan(made)
+    assert sorted(map(tuple, made.collect()), key=str) == [(1, 0, "/a", 1), (3, 1, "/b", 0), (3, 2, None, 0)]
