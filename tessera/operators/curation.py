@@ -280,12 +280,12 @@ INSIGNIFICANT_WORDS = ("the", "of", "for", "in", "and", "a", "an", "is", "are",
 def misplaced_attributes(attributes: DataFrame) -> DataFrame:
     """(id, activity, index): attributes of an activity that share two significant words with those of the entities it evaluates.
 
-    Rows are (id, array, index, label); words of an activity's entities are joined to the
-    words of its own attributes, so no pair of attributes comes about.
+    Rows are (id, array, index, label); a word of an activity's own attributes is marked where
+    its entities have it too, so no pair of attributes comes about and nothing is joined.
     """
     path = F.regexp_extract("array", r"^(/was_generated_by/\d+)/(?:evaluated_entity/\d+/)?has_quantitative_attribute$", 1)
     words = F.array_distinct(F.filter(F.split(T.normalise_label("label"), " "), lambda w: (F.length(w) > 1) & ~w.isin(*INSIGNIFICANT_WORDS)))
-    own = attributes.select("id", "array", "index", path.alias("activity"), F.explode(words).alias("word")).filter("activity <> ''")
-    inner = F.col("array").contains("/evaluated_entity/")
-    theirs = own.filter(inner).select("id", "activity", "word").distinct()
-    return own.filter(~inner).join(theirs, ["id", "activity", "word"]).groupBy("id", "activity", "index").agg(F.count("*").alias("shared")).filter("shared >= 2").select("id", "activity", "index")
+    inner = F.col("array").contains("/evaluated_entity/").alias("inner")
+    own = attributes.filter("id is not null").select("id", inner, "index", path.alias("activity"), F.explode(words).alias("word")).filter("activity <> ''")
+    theirs = F.max("inner").over(Window.partitionBy("id", "activity", "word"))
+    return own.withColumn("theirs", theirs).filter("theirs and not inner").groupBy("id", "activity", "index").agg(F.count("*").alias("shared")).filter("shared >= 2").select("id", "activity", "index")

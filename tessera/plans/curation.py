@@ -214,7 +214,8 @@ def cross_parent_duplicates(spark, sf):
 def misplaced_attributes(spark, sf):
     named = _attributes(spark, sf).join(table(spark, sf, "part"), F.col("p") == F.col("p_partkey"))
     array = F.when(F.col("position") % 2 == 0, "/was_generated_by/0/has_quantitative_attribute").otherwise("/was_generated_by/0/evaluated_entity/0/has_quantitative_attribute")
-    return K.misplaced_attributes(named.select("id", array.alias("array"), F.col("position").alias("index"), F.concat_ws(" ", "p_name", "p_type").alias("label")))
+    rows = named.select("id", array.alias("array"), F.col("position").alias("index"), F.concat_ws(" ", "p_name", "p_type").alias("label"))
+    return K.misplaced_attributes(rows.repartition(tasks_for(table(spark, sf, "lineitem")), "id"))
 
 
 # ---------------------------------------------------------------- documents and schemas

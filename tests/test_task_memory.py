@@ -26,6 +26,14 @@ def test_scheme_profile_sorts_neither_nodes_nor_edges(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_misplaced_attributes_join_no_words(spark):
+    own, theirs = "/was_generated_by/0/has_quantitative_attribute", "/was_generated_by/0/evaluated_entity/1/has_quantitative_attribute"
+    rows = [(1, own, 0, "large flow rate"), (1, own, 1, "flow of the pump"), (1, theirs, 0, "Flow rate"), (1, theirs, 0, "rate"), (2, own, 0, "flow rate"), (None, own, 0, "flow rate"), (None, theirs, 0, "flow rate")]
+    made = K.misplaced_attributes(spark.createDataFrame(rows, "id long, array string, index int, label string"))
+    assert "Join" not in plan(made)
+    assert [tuple(r) for r in made.collect()] == [(1, "/was_generated_by/0", 0)]
+
+
 def test_cross_parent_duplicates_join_no_runs(spark):
     rows = [(1, 0, "/a", "x", 1.0, "m", 1), (1, 1, "/b", "x", 1.0 + 1e-8, "m", 2), (1, 2, "/a", "x", 2.0, "m", 9), (1, 3, "/a", "y", 1.0, "m", 1), (1, 4, "/a", "y", 1.0, "m", 1)]
     rows += [(2, 0, "/a", "x", None, "m", 1), (2, 1, "/b", "x", None, "m", 1), (2, 2, "/a", None, 1.0, "m", 1), (2, 3, "/b", None, 1.0, "m", 1), (3, 0, "/a", "x", 5.0, "m", 1), (3, 1, "/b", "x", 5.0, "m", 1), (3, 2, None, "x", 5.0, "m", 0)]
