@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stemming import STOP_WORDS, analysed, stem, words
+from tessera.operators.checkpoint import cut
 
 K1, B = 1.2, 0.75
 #: partitions of a stored index; a query reads those of its terms
@@ -121,12 +122,16 @@ def postings(df: DataFrame, id_col: str, text_col: str, query: Query | None = No
     left out before rows are made of them (a stem agrees with its word in all but its last two letters).
     """
     rows = df.select(F.col(id_col).alias("id"), words(text_col).alias("words"))
-    marked = F.filter(F.transform("words", lambda w, k: F.struct(w.alias("word"), k.alias("at"))), lambda x: ~x["word"].isin(*STOP_WORDS))
-    lengths = rows.select("id", F.size(F.filter("words", lambda w: ~w.isin(*STOP_WORDS))).cast("long").alias("n_terms"))
-    if query is not None:
+    n_terms = F.size(F.filter("words", lambda w: ~w.isin(*STOP_WORDS))).cast("long").alias("n_terms")
+    places = F.transform("words", lambda w, k: F.struct(w.alias("word"), k.alias("at")))
+    if query is None:
+        rows = rows.select("id", n_terms, F.filter(places, lambda x: ~x["word"].isin(*STOP_WORDS)).alias("marked"))
+    else:
         starts = sorted({t[: max(1, len(t) - 2)] for t in _terms(query)} | {p[: max(1, len(p) - 2)] for p in _prefixes(query)})
-        marked = F.filter(marked, lambda x: _any([x["word"].startswith(s) for s in starts]))
-    one = rows.select("id", F.explode(marked).alias("m")).select("id", stem("m.word").alias("term"), "m.at")
+        kept = F.filter(places, lambda x: _any([x["word"].startswith(s) for s in starts]) & ~x["word"].isin(*STOP_WORDS))
+        rows = cut(rows.select("id", n_terms, kept.alias("marked")))  # few words a text; else each use would read all texts again
+    lengths = rows.select("id", "n_terms")
+    one = rows.select("id", F.explode("marked").alias("m")).select("id", stem("m.word").alias("term"), "m.at")
     if query is not None:
         one = one.filter(_any([F.col("term").isin(*_terms(query)), *(F.col("term").startswith(p) for p in _prefixes(query))]))
     made = one.groupBy("term", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))

@@ -112,3 +112,14 @@ def test_stored_index_reads_the_buckets_of_its_terms(spark, tmp_path):
     assert T.best(T.matches(made, lengths, query), 10).collect() == want and want
     members = spark.createDataFrame([(0,)], "id int")
     assert [r.id for r in T.search(docs, "doc_id", "text", T.Term("dog"), 10, members).collect()] == [0]
+
+
+def test_texts_are_read_once_for_a_query(spark, tmp_path):
+    rows = [(0, "Ones' thing’s end's 's it's"), (1, None), (2, "sheds of ones")]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/d.parquet")
+    q = T.Term("ones") | T.Term("sheds")
+    made, lengths = T.postings(spark.read.parquet(f"{tmp_path}/d.parquet"), "doc_id", "text", q)
+    found = T.matches(made, lengths, q)
+    assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r[0] for r in found.collect()) == [0, 2]
+    assert [r[1] for r in sorted(map(tuple, lengths.collect()))] == [4, 0, 2]
