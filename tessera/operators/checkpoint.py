@@ -27,3 +27,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's address in the checkpoint folder, which driver and executors share."""
     _ensure(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as files in the checkpoint folder: made once, and read by columns as often as they are used."""
+    at = shared_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import ledgers as L
 from tessera.operators import overview as O
-from tessera.plans.base import query, table
+from tessera.operators.checkpoint import stored
+from tessera.plans.base import query, table, tasks_for
 from tessera.plans.documents import _LEAVES, _orders
 
 _SUMMARY = """s AS (SELECT event_id AS id, user_id, CASE event_id % 6 WHEN 0 THEN 'Acquisition parameters and settings' WHEN 1 THEN 'raw data without audit trail' WHEN 2 THEN 'processed data of the experiment' WHEN 3 THEN 'parameter values' WHEN 4 THEN 'protocol; purpose cannot be told' ELSE 'nothing here' END AS summary FROM events)"""
@@ -82,7 +83,7 @@ def field_ledger(spark, sf):
     from tessera.operators.documents import leaf_paths
 
     docs = _orders(spark, sf)
-    old = leaf_paths(docs, "id", "doc")
+    old = stored(leaf_paths(docs, "id", "doc"), "leaves")  # each document is parsed once, whatever reads its leaves
     new = old.filter("not (pointer = '/parties/0/id' and id % 5 = 0)").withColumn("value", F.when((F.col("pointer") == "/order/status") & (F.col("id") % 3 == 0), '"X"').otherwise(F.col("value")))
     paths = docs.select("id", F.explode(F.array(*map(F.lit, ("/order/priority", "/order/status", "/parties/0/id", "/title")))).alias("pointer"))
     errors = docs.filter("id % 7 = 0").select("id", F.lit("/title").alias("pointer"))
