@@ -36,17 +36,22 @@ def requirement_report(requirements: DataFrame, assessments: DataFrame) -> DataF
     return joined.withColumn("quality", quality).withColumn("weighted_score", F.round(F.col("quality") * F.col("weight"), 6))
 
 
-def path_coverage(requirements: DataFrame, leaves: DataFrame) -> DataFrame:
+def path_coverage(requirements: DataFrame, leaves: DataFrame, tasks: int | None = None) -> DataFrame:
     """(id, requirement_id, satisfied): whether any target path of a requirement has a value in the document, itself or below.
 
-    Requirements' paths are joined to the prefixes of the leaves, so only matching pairs come about.
+    Requirements' paths are joined to the prefixes of the leaves, so only matching pairs come about. A
+    document's hits and a mark of its own are dealt out by id once (to ``tasks`` tasks, where given); there it gets every requirement,
+    and nothing is joined by id.
     """
-    filled = leaves.filter(~F.col("value").isin('""', "null", "[]", "{}"))
-    up = filled.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("pointer", "/"))), lambda n: F.array_join(F.slice(F.split("pointer", "/"), 1, n), "/"))).alias("path")).distinct()
+    empty = F.coalesce(F.col("value").isin('""', "null", "[]", "{}"), F.lit(True))
+    up = F.transform(F.sequence(F.lit(1), F.size(F.split("pointer", "/"))), lambda n: F.array_join(F.slice(F.split("pointer", "/"), 1, n), "/"))
     targets = requirements.select("requirement_id", F.explode("target_paths").alias("p")).select("requirement_id", F.regexp_replace("p", "/-$", "").alias("path"))
-    hit = up.join(targets, "path").select("id", "requirement_id").distinct().withColumn("satisfied", F.lit(True))
-    every = run_matrix(leaves.select("id").distinct(), requirements.select("requirement_id").distinct())
-    return every.join(hit, ["id", "requirement_id"], "left").withColumn("satisfied", F.coalesce("satisfied", F.lit(False)))
+    mark = F.array(F.lit(None).cast("string"))
+    marked = leaves.select("id", F.explode(F.when(empty, mark).otherwise(F.concat(mark, up))).alias("path"))
+    met = marked.join(targets.filter("path is not null"), "path", "left").filter("path is null or requirement_id is not null").select("id", "requirement_id", F.col("path").isNotNull().alias("hit"))
+    met = (met.repartition(tasks, "id") if tasks else met.repartition("id")).distinct()
+    every = run_matrix(met.filter("not hit").select("id"), requirements.select("requirement_id").distinct()).withColumn("hit", F.lit(False))
+    return every.unionByName(met.filter("hit")).groupBy("id", "requirement_id").agg(F.max("hit").alias("satisfied"))
 
 
 def ancestor_labels(leaves: DataFrame, label_names: Sequence[str] = ("title", "label", "name"), limit: int = 500) -> DataFrame:

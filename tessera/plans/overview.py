@@ -97,7 +97,8 @@ def requirement_coverage(spark, sf):
     from tessera.operators.documents import leaf_paths
 
     req = spark.createDataFrame([("status", ["/order/status", "/state"]), ("parties", ["/parties/-"]), ("title", ["/title"])], "requirement_id string, target_paths array<string>")
-    return L.path_coverage(req, leaf_paths(_orders(spark, sf), "id", "doc"))
+    docs = _orders(spark, sf)
+    return L.path_coverage(req, stored(leaf_paths(docs, "id", "doc"), "leaves"), tasks_for(docs))
 
 
 @query(

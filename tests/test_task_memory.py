@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tessera.operators import curation as K
 from tessera.operators import graph as G
+from tessera.operators import ledgers as L
+from tessera.plans import QUERIES
 
 
 def plan(df) -> str:
@@ -40,3 +42,22 @@ def test_cross_parent_duplicates_join_no_runs(spark):
     made = K.cross_parent_duplicates(spark.createDataFrame(rows, "id long, position int, array string, label string, value double, unit string, score int"))
     assert "Join" not in plan(made)
     assert sorted(map(tuple, made.collect()), key=str) == [(1, 0, "/a", 1), (3, 1, "/b", 0), (3, 2, None, 0)]
+
+
+def test_path_coverage_joins_nothing_by_id(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        leaves = spark.createDataFrame([(1, "/a/b", '"x"'), (1, "/a/c", "1"), (2, "/a/b", "null"), (3, "/ab", "2"), (4, "", "5"), (5, "/a/b", None)], "id long, pointer string, value string")
+        required = spark.createDataFrame([("r", ["/a/-", "/z"]), ("s", ["/ab"]), ("t", [""])], "requirement_id string, target_paths array<string>")
+        made = L.path_coverage(required, leaves, 3)
+        assert plan(made).count("SortMergeJoin") <= 2  # paths with targets, once for hits and once for marks
+        assert {tuple(r) for r in made.collect() if r[2]} == {(1, "r", True), (1, "t", True), (3, "s", True), (3, "t", True), (4, "t", True)}
+        assert made.count() == 15 and made.distinct().count() == 15
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ledgers_parse_documents_once(spark):
+    for name in ("field_ledger", "requirement_coverage"):
+        made = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
