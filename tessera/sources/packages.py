@@ -18,12 +18,14 @@ import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import ArrowInvalid, fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from tessera.sources.archives import MEMBERS, zip_members
 
@@ -31,6 +33,12 @@ from tessera.sources.archives import MEMBERS, zip_members
 PARTITION_BYTES, PARTITION_MEMBERS = 64 << 20, 10_000
 #: bytes that are inflated at once
 PIECE = 1 << 20
+#: most bytes (but for a single member) and members that are handed on at once
+BATCH_BYTES, BATCH_MEMBERS = 4 << 20, 1_000
+#: most members of an archive that is written; its directory is held until it is closed
+ARCHIVE_MEMBERS = 10_000
+ROWS = pa.schema([(c, pa.binary() if kind == "binary" else pa.string()) for c, kind in (x.split() for x in MEMBERS.split(", "))])
+CONTENT = ROWS.get_field_index("raw_content")
 
 
 @dataclass
@@ -55,7 +63,7 @@ class Range(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str | None
+    names: tuple[str, ...]
 
 
 def _found(path: str) -> tuple[fs.FileSystem, str]:
@@ -165,6 +173,22 @@ def rows_of(part: Range, path: str, nested: bool) -> Iterator[tuple]:
                 yield row(m.path, content, None)
 
 
+def batches_of(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of few bytes; Spark would hold thousands of members at once, as Python objects and again as a batch."""
+    run: list[tuple] = []
+    held = 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*run, strict=True), ROWS, strict=True)], schema=ROWS)
+    for row in rows:
+        size = len(row[CONTENT] or b"")
+        if run and (held + size > BATCH_BYTES or len(run) >= BATCH_MEMBERS):
+            yield made()
+            run, held = [], 0
+        run.append(row)
+        held += size
+    if run:
+        yield made()
+
+
 class _Options:
     def __init__(self, options: dict):
         if not options.get("path"):
@@ -174,8 +198,8 @@ class _Options:
         self.nested = str(options.get("nested", "true")).lower() == "true"
         self.settle = float(options.get("settle", 2))
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        return rows_of(part, self.path, self.nested)
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        return batches_of(rows_of(part, self.path, self.nested))
 
     def ranges(self, archives: list[str]) -> list[Range]:
         store, _ = _found(self.path)
@@ -187,8 +211,8 @@ class PackageReader(_Options, DataSourceReader):
         # without any archive there is still one task, which has nothing to read
         return self.ranges([a.path for a in archives_of(self.path)]) or [Range("", ())]
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        return rows_of(part, self.path, self.nested) if part.archive else iter(())
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        return super().read(part) if part.archive else iter(())
 
 
 class PackageStream(_Options, DataSourceStreamReader):
@@ -217,8 +241,8 @@ class PackageStream(_Options, DataSourceStreamReader):
         pass
 
 
-class PackageWriter(_Options, DataSourceWriter):
-    """An archive for each task; none is seen before all are whole."""
+class PackageWriter(_Options, DataSourceArrowWriter):
+    """Archives for each task, of at most ``ARCHIVE_MEMBERS`` members; none is seen before all are whole."""
 
     def __init__(self, options: dict, overwrite: bool):
         super().__init__(options)
@@ -227,23 +251,29 @@ class PackageWriter(_Options, DataSourceWriter):
     def _unfinished(self) -> str:
         return f"{_found(self.path)[1]}/_unfinished-{self.job}"
 
-    def write(self, rows: Iterator) -> Written:
-        store, name, made = _found(self.path)[0], f"part-{uuid.uuid4().hex}.zip", False
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        store, names, held = _found(self.path)[0], [], 0
         store.create_dir(self._unfinished(), recursive=True)
-        with store.open_output_stream(f"{self._unfinished()}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for row in rows:
-                # a fixed time, so that equal rows make equal archives
-                z.writestr(zipfile.ZipInfo(row["file_path"]), bytes(row["raw_content"] or b""), zipfile.ZIP_DEFLATED)
-                made = True
-        return Written(name if made else None)
+        with ExitStack() as opened:
+            for batch in batches:
+                # a member at a time leaves its batch; whole columns of Python objects would hold it twice
+                for path, content in zip(batch.column("file_path"), batch.column("raw_content"), strict=True):
+                    if not names or held == ARCHIVE_MEMBERS:
+                        opened.close()
+                        names.append(f"part-{uuid.uuid4().hex}.zip")
+                        z = opened.enter_context(zipfile.ZipFile(opened.enter_context(store.open_output_stream(f"{self._unfinished()}/{names[-1]}")), "w", zipfile.ZIP_DEFLATED))
+                        held = 0
+                    # a fixed time, so that equal rows make equal archives
+                    z.writestr(zipfile.ZipInfo(path.as_py()), bytes(content.as_py() or b""), zipfile.ZIP_DEFLATED)
+                    held += 1
+        return Written(tuple(names))
 
     def commit(self, messages: list[Written]) -> None:
         store, at = _found(self.path)
         old = [a.path for a in archives_of(self.path)] if self.overwrite and store.get_file_info(at).type != fs.FileType.NotFound else []
         store.create_dir(at, recursive=True)
-        for m in messages:
-            if m and m.name:
-                store.move(f"{self._unfinished()}/{m.name}", f"{at}/{m.name}")
+        for name in (n for m in messages if m for n in m.names):
+            store.move(f"{self._unfinished()}/{name}", f"{at}/{name}")
         for path in old:
             store.delete_file(path)
         self._clean()

@@ -1,8 +1,10 @@
 """Packages as a data source, against the reader of whole archives."""
 
 import io
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from tessera.sources import archives as A
@@ -92,3 +94,33 @@ def test_new_packages_arrive_in_a_stream_once(spark, tmp_path):
     (tmp_path / "in" / "b.zip").write_bytes(zipped([("b.txt", b"2"), ("c.txt", b"3")]))
     assert run() == [("a.txt", "1"), ("b.txt", "2"), ("c.txt", "3")]
     assert run() == [("a.txt", "1"), ("b.txt", "2"), ("c.txt", "3")]
+
+
+def test_tasks_hand_members_on_by_bytes_and_write_archives_of_few(tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "ARCHIVE_MEMBERS", 30)
+    monkeypatch.setattr(P, "BATCH_BYTES", 10_000)
+    members = [(f"d/{k}.txt", None if k == 5 else bytes([k]) * (50_000 if k == 7 else 1_000)) for k in range(70)]
+    batch = lambda some: pa.record_batch([pa.array([b for _, b in some], pa.binary()), pa.array([a for a, _ in some], pa.string())], ["raw_content", "file_path"])
+    writer = P.PackageWriter({"path": str(tmp_path)}, False)
+    told = writer.write(iter([batch(members[:45]), batch([]), batch(members[45:])]))
+    assert len(told.names) == 3 and not P.archives_of(str(tmp_path))
+    writer.commit([told, None, P.PackageWriter({"path": str(tmp_path)}, False).write(iter([]))])
+    assert sorted(len(zipfile.ZipFile(a.path).namelist()) for a in P.archives_of(str(tmp_path))) == [10, 30, 30]
+    reader = P.PackageReader({"path": str(tmp_path)})
+    made = [b for part in reader.partitions() for b in reader.read(part)]
+    assert all(b.num_rows == 1 or sum(map(len, b.column("raw_content").to_pylist())) <= 10_000 for b in made)
+    assert sorted((r["file_path"], r["raw_content"]) for b in made for r in b.to_pylist()) == sorted((n, d or b"") for n, d in members)
+
+
+def test_a_task_holds_no_second_copy_of_a_batch(tmp_path):
+    content = pa.array([bytes([k % 251]) * 100_000 for k in range(400)], pa.binary())
+    batch = pa.record_batch([pa.array([f"{k}.txt" for k in range(400)]), content], ["file_path", "raw_content"])
+    tracemalloc.start()
+    try:
+        writer = P.PackageWriter({"path": str(tmp_path)}, False)
+        writer.commit([writer.write(iter([batch]))])
+        reader = P.PackageReader({"path": str(tmp_path)})
+        assert sum(b.num_rows for part in reader.partitions() for b in reader.read(part)) == 400
+        assert tracemalloc.get_traced_memory()[1] < 15e6  # of 40 MB
+    finally:
+        tracemalloc.stop()
