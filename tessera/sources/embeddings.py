@@ -7,8 +7,9 @@ stored in it before it is used. So equal texts cost one call, and a second run n
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,19 @@ BATCH = 32
 KEYS = ["digest"]
 
 
+def vectors_of(frames: Iterator[pa.RecordBatch], model: Callable[[Sequence[str]], Sequence[Sequence[float]]], batch: int, attempts: int, wait: float) -> Iterator[pa.RecordBatch]:
+    """``digest`` and ``vector`` of the texts; only those of one call leave Arrow's buffers at a time."""
+    call = with_retries(lambda some: list(model(some)), attempts=attempts, wait=wait)
+    for frame in frames:
+        for at in range(0, frame.num_rows, batch):
+            part = frame.slice(at, batch)
+            vectors = call(part.column("__text").to_pylist())
+            if len(vectors) != part.num_rows:
+                raise ValueError(f"{len(vectors)} vectors for {part.num_rows} texts")
+            made = pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column("digest"), made], ["digest", "vector"])
+
+
 def embed(
     df: DataFrame,
     id_col: str,
@@ -42,17 +56,7 @@ def embed(
     rows = df.select(F.col(id_col), F.col(text_col).alias("__text"), digest.alias("digest"))
     texts = rows.filter("__text is not null").groupBy("digest").agg(F.first("__text").alias("__text"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retries(lambda some: list(model(some)), attempts=attempts, wait=wait)
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                vectors = call(part["__text"].tolist())
-                if len(vectors) != len(part):
-                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
-                yield pd.DataFrame({"digest": part["digest"].to_numpy(), "vector": [[float(x) for x in v] for v in vectors]})
-
     missing = runs.unseen(spark, cache, texts, KEYS)
-    runs.merge(spark, cache, missing.select("digest", "__text").mapInPandas(run, "digest string, vector array<double>"), KEYS)
+    runs.merge(spark, cache, missing.select("digest", "__text").mapInArrow(partial(vectors_of, model=model, batch=batch, attempts=attempts, wait=wait), "digest string, vector array<double>"), KEYS)
     known = runs.look_up(spark, cache, texts, KEYS) if runs.exists(spark, cache) else spark.createDataFrame([], "digest string, vector array<double>")
     return rows.join(known, "digest", "left").select(id_col, "vector")

@@ -1,5 +1,8 @@
 """Run tables in buckets and cached embeddings."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +102,18 @@ def test_equal_texts_are_embedded_once_and_a_second_run_embeds_none(spark, tmp_p
     assert run(more) == [*want, (100, [2.0, 1.0])] and sent.value == 14
     assert run(docs, "other") == want and sent.value == 27
     assert run(docs.filter("false")) == []
+
+
+def test_only_the_texts_of_a_call_leave_their_batch():
+    texts = pa.array([chr(97 + k % 26) * 100_000 for k in range(400)])
+    frame = pa.record_batch([pa.array([str(k) for k in range(400)]), texts], ["digest", "__text"])
+    model = lambda some: [[len(t), t.count("b")] for t in some]
+    tracemalloc.start()
+    try:
+        made = [r for b in embeddings.vectors_of(iter([frame, frame.slice(0, 0), frame.slice(7, 5)]), model, 32, 1, 0.0) for r in b.to_pylist()]
+        assert tracemalloc.get_traced_memory()[1] < 10e6  # of 40 MB
+    finally:
+        tracemalloc.stop()
+    assert made == [{"digest": str(k), "vector": [100_000.0, 100_000.0 * (k % 26 == 1)]} for k in [*range(400), *range(7, 12)]]
+    with pytest.raises(ValueError, match="31 vectors for 32 texts"):
+        list(embeddings.vectors_of(iter([frame]), lambda some: [[0.0]] * 31, 32, 1, 0.0))
