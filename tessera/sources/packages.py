@@ -1,9 +1,9 @@
 """ZIP packages as a Spark data source: one archive is read by many tasks, written by many, and followed as a stream.
 
 ``register(spark)``, then ``spark.read.format("package")``. The driver reads an
-archive's central directory alone; a task gets a range of members and reads their
-bytes by offset, so no archive is ever held whole and none is limited to the size of a
-cell. Options: ``path`` (an archive, or a folder with archives at any depth; any address that pyarrow's
+archive's central directory alone, one at a time, and keeps where its parts lie; a task
+reads its part and the bytes of its members by offset, so no archive is ever held whole
+and none is limited to the size of a cell. Options: ``path`` (an archive, or a folder with archives at any depth; any address that pyarrow's
 file systems know), ``partitionBytes`` and ``partitionMembers`` (the most of a task), ``nested`` (true: archives
 inside are opened, their members stand under their path), ``settle`` (seconds that a stream waits
 before it takes a new archive).
@@ -12,6 +12,7 @@ before it takes a new archive).
 from __future__ import annotations
 
 import bz2
+import io
 import lzma
 import struct
 import time
@@ -54,10 +55,12 @@ class Member:
 
 @dataclass
 class Range(InputPartition):
-    """Members of one archive; ``error`` where it can't be opened."""
+    """A part of an archive's central directory, as place and length, and the bytes before the archive that its offsets leave out; ``error`` where it can't be opened."""
 
     archive: str
-    members: tuple[Member, ...]
+    at: int = 0
+    length: int = 0
+    shift: int = 0
     error: str | None = None
 
 
@@ -85,32 +88,37 @@ def archives_of(path: str) -> list[fs.FileInfo]:
     return sorted((f for f in below if f.type == fs.FileType.File and f.path.lower().endswith(".zip") and not hidden(f.path)), key=lambda f: f.path)
 
 
-def directory(store: fs.FileSystem, archive: str) -> list[Member]:
-    """The members that an archive's central directory lists, folders left out; nothing else of it is read."""
-    with store.open_input_file(archive) as f:
-        try:
-            z = zipfile.ZipFile(f)
-        except ArrowInvalid as e:  # a place before the beginning of a short file
-            raise zipfile.BadZipFile("File is not a zip file") from e
-        return [Member(i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC, bool(i.flag_bits & 1)) for i in z.infolist() if not i.is_dir()]
+def members_of(entries: bytes, shift: int = 0) -> list[Member]:
+    """The members that a part of a central directory lists, folders left out."""
+    # the part stands for a whole directory where an end follows it
+    with zipfile.ZipFile(io.BytesIO(entries + struct.pack("<4s4H2LH", b"PK\x05\x06", 0, 0, 0, 0, len(entries), 0, 0))) as z:
+        return [Member(i.filename, i.header_offset + shift, i.compress_size, i.file_size, i.compress_type, i.CRC, bool(i.flag_bits & 1)) for i in z.infolist() if not i.is_dir()]
 
 
 def ranges(store: fs.FileSystem, archive: str, most_bytes: int, most_members: int) -> Iterator[Range]:
-    try:
-        members = directory(store, archive)
-    except zipfile.BadZipFile as e:
-        yield Range(archive, (), f"not an archive: {e}")
-        return
-    run: list[Member] = []
-    held = 0
-    for m in members:
-        if run and (held + m.packed > most_bytes or len(run) >= most_members):
-            yield Range(archive, tuple(run))
-            run, held = [], 0
-        run.append(m)
-        held += m.packed
-    if run:
-        yield Range(archive, tuple(run))
+    """Parts of an archive's central directory; nothing else of it is read."""
+    with store.open_input_file(archive) as f:
+        try:
+            z = zipfile.ZipFile(f)
+        except (zipfile.BadZipFile, ArrowInvalid) as e:  # the second: a place before the beginning of a short file
+            yield Range(archive, error=f"not an archive: {'File is not a zip file' if isinstance(e, ArrowInvalid) else e}")
+            return
+        f.seek(z.start_dir)
+        entries = f.read()
+    begin = end = held = n = shift = 0
+    for info in z.infolist():
+        after = end + 46 + sum(struct.unpack_from("<3H", entries, end + 28))
+        if not info.is_dir():
+            if n and (held + info.compress_size > most_bytes or n >= most_members):
+                yield Range(archive, z.start_dir + begin, end - begin, shift)
+                begin, held, n = end, 0, 0
+            if not n:
+                shift = info.header_offset - members_of(entries[end:after])[0].offset
+            held += info.compress_size
+            n += 1
+        end = after
+    if n:
+        yield Range(archive, z.start_dir + begin, end - begin, shift)
 
 
 def content_of(f, m: Member) -> bytes:
@@ -160,7 +168,8 @@ def rows_of(part: Range, path: str, nested: bool) -> Iterator[tuple]:
         return
     store, _ = _found(path)
     with store.open_input_file(part.archive) as f:
-        for m in part.members:
+        f.seek(part.at)
+        for m in members_of(f.read(part.length), part.shift):
             try:
                 content = content_of(f, m)
             except ValueError as e:
@@ -209,7 +218,7 @@ class _Options:
 class PackageReader(_Options, DataSourceReader):
     def partitions(self) -> list[Range]:
         # without any archive there is still one task, which has nothing to read
-        return self.ranges([a.path for a in archives_of(self.path)]) or [Range("", ())]
+        return self.ranges([a.path for a in archives_of(self.path)]) or [Range("")]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         return super().read(part) if part.archive else iter(())

@@ -1,6 +1,7 @@
 """Packages as a data source, against the reader of whole archives."""
 
 import io
+import pickle
 import tracemalloc
 import zipfile
 
@@ -124,3 +125,23 @@ def test_a_task_holds_no_second_copy_of_a_batch(tmp_path):
         assert tracemalloc.get_traced_memory()[1] < 15e6  # of 40 MB
     finally:
         tracemalloc.stop()
+
+
+def test_the_driver_keeps_places_and_no_members(tmp_path):
+    members = [(f"folder/{'é' if k % 2 else 'e'}{k}.txt", b"x" * (k % 7)) for k in range(3000)]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, (name, data) in enumerate(members):
+            if k % 10 == 0:
+                z.writestr(f"folder/{k}/", b"")
+            with z.open(zipfile.ZipInfo(name), "w", force_zip64=k % 3 == 0) as f:
+                f.write(data)
+        z.comment = b"last"
+    (tmp_path / "a.zip").write_bytes(b"#!/bin/sh\n" * 50 + out.getvalue())  # its offsets don't count what stands before it
+    (tmp_path / "b.zip").write_bytes(zipped([("only/", b"")]))
+    reader = P.PackageReader({"path": str(tmp_path), "partitionMembers": "100"})
+    parts = reader.partitions()
+    assert len(parts) == 30 and len(pickle.dumps(parts)) < 10_000
+    assert sorted((r["file_path"], r["raw_content"], r["error"]) for part in parts for b in reader.read(part) for r in b.to_pylist()) == sorted((n, d, None) for n, d in members)
+    whole = P.PackageReader({"path": str(tmp_path)})
+    assert sum(b.num_rows for part in whole.partitions() for b in whole.read(part)) == 3000
